@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import langid, packing, sharding, toxicity
 from .common import table
 
 
@@ -18,9 +18,20 @@ def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
+def op8_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lpt_shards": op4_lpt_shards,
     "op6_bounded_packing": op6_bounded_packing,
+    "op7_hyperdimensional_language": op7_hyperdimensional_language,
+    "op8_grammar_toxicity": op8_grammar_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
