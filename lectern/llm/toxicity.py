@@ -14,7 +14,8 @@ A clause scores the sum of gain times word weight over its insults and threats,
 
 Weights: fixed word lists start the lexicon, and labelled rows that are not held out correct and extend it.
 Whole words and word beginnings of four to six letters are counted in toxic and other training texts; one
-enters when the likelihood ratio says that it marks toxic texts, with its smoothed precision as weight. At
+enters when the likelihood ratio says that it marks toxic texts, with its smoothed precision as weight; a
+beginning enters only if no single word makes up half of its toxic texts. At
 most about ``TRAIN_ROWS`` labelled rows are used, drawn by a hash of doc_id, one of each group of texts that
 share their smallest hashed long word, so that copies of one text do not teach their rare words.
 
@@ -196,11 +197,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> dict[
     if whole is None or not whole["k"] or whole["k"] == whole["n"]:
         return weights
     base, needed = whole["k"] / whole["n"], 2 * math.log(whole["n"]) + 12
+    leading: dict[str, int] = {}  # of each beginning, the count of its commonest word
+    for r in kept:
+        if r["term"].startswith("="):
+            for size in PREFIXES:
+                begin = r["term"][1 : 1 + size]
+                leading[begin] = max(leading.get(begin, 0), r["k"])
     for r in kept:
         term, k, n = r["term"], r["k"], r["n"]
         if term in weights:
             weights[term] = max(0.0, (k + 1.6) / (n + 2) - 2 * base) if n >= 5 else weights[term]
-        elif term and k / n >= MIN_PRECISION:
+        elif term and k / n >= MIN_PRECISION and leading.get(term, 0) < k / 2:
             gain = 2 * (k * math.log(k / n / base) + ((n - k) * math.log((n - k) / n / (1 - base)) if n > k else 0))
             if gain >= needed:
                 weights[term] = (k + 0.5) / (n + 1)
