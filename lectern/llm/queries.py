@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, sharding, toxicity
+from . import decontamination, fingerprints, langid, packing, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -27,11 +27,54 @@ def op8_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_lpt_shards": op4_lpt_shards,
     "op6_bounded_packing": op6_bounded_packing,
     "op7_hyperdimensional_language": op7_hyperdimensional_language,
     "op8_grammar_toxicity": op8_grammar_toxicity,
+    "op9_boosted_url_filter": op9_boosted_url_filter,
+    "op10_positional_decontamination": op10_positional_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What DuckDB can say: exact window matches by joining windows as text, with no index.
+ORACLE_SQL: dict[str, str] = {
+    "op10_positional_decontamination": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), b AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), bw AS (
+          SELECT item_id, ws, least(len(ws), 10) AS k, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p FROM b WHERE len(ws) > 0
+        ), win AS (
+          SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS w FROM bw
+        ), ks AS (SELECT DISTINCT k FROM win),
+        dw AS (
+          SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks WHERE len(ws) >= k
+        ), hits AS (
+          SELECT dw.doc_id, dw.p, dw.k, win.item_id FROM dw JOIN win ON win.k = dw.k AND win.w = array_to_string(dw.ws[dw.p:dw.p + dw.k - 1], ' ')
+        ), words AS (
+          SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id
+        ), items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item_id FROM hits) GROUP BY doc_id
+        )
+        SELECT d.doc_id, cast(len(d.ws) AS bigint) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items,
+               sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+}
