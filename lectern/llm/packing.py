@@ -56,7 +56,7 @@ def token_ids(rank_file: str, tokenizer_file: str):
     whole = []
 
     def encode(text: str) -> np.ndarray:
-        if "<|" not in text and (text.isascii() or max(text) < "ɐ"):
+        if "<|" not in text and (text.isascii() or max(text) < "\u0250"):
             return np.array(fast.encode_ordinary(text), dtype="<u4")
         if not whole:
             whole.append(Tokenizer.from_file(tokenizer_file))

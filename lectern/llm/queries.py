@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, langid, packing, sharding, toxicity, urlfilter
+from . import decontamination, fingerprints, htmltext, langid, packing, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op8_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,10 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mincut_html": op2_mincut_html,
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_lpt_shards": op4_lpt_shards,
+    "op5_transducer_token_counts": op5_transducer_token_counts,
     "op6_bounded_packing": op6_bounded_packing,
     "op7_hyperdimensional_language": op7_hyperdimensional_language,
     "op8_grammar_toxicity": op8_grammar_toxicity,
