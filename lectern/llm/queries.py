@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, htmltext, langid, packing, sharding, tokencount, toxicity, urlfilter
+from . import decontamination, fingerprints, htmltext, langid, neardup, packing, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op8_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_mincut_html": op2_mincut_html,
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_lpt_shards": op4_lpt_shards,
