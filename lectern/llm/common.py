@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +22,26 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(True))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the session names and read it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, local runs)
-    a temporary one is made.
+    Only where that is unset (tests, local runs) a temporary one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def scan_partitions(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table into the checkpoint folder, where its columns stay compressed."""
+    path = f"{checkpoint_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
