@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,16 @@ def local_session(cpus: int | str = 8, name: str = "lectern", memory: str = "8g"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there.
+
+    The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset (tests,
+    local runs) a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return df.checkpoint()
