@@ -80,8 +80,9 @@ class Profiler:
         lengths = np.array([len(t.lower()) + 2 for t in texts])
         code = self.slots[points]
         owner = np.repeat(np.arange(len(texts)), lengths)
-        keep = np.ones(len(code), dtype=bool)
-        keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
+        keep = code > 0  # and the separators beside letters
+        keep[1:] |= code[:-1] > 0
+        keep[:-1] |= code[1:] > 0
         code, owner = code[keep].astype(np.int64), owner[keep]
         if len(code) < 3:
             return out
