@@ -102,7 +102,7 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         alignments(docs, items, anchors)
         .join(_small(items), "item")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "window")).alias("candidates"))
+        .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "window")).alias("__candidates"))
     )
     candidates = cut_lineage(candidates)
 
@@ -121,7 +121,7 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = docs.withColumn(row, _row_key()).join(_small(candidates.withColumnRenamed("row", row)), row, "left").withColumn("__words", words_of())
     found = F.filter(
         F.transform(
-            F.coalesce("candidates", F.array()),
+            F.coalesce("__candidates", F.array()),
             lambda c: F.struct(
                 c["item_id"].alias("item_id"),
                 F.flatten(F.transform(starts(F.col("__words"), c), lambda s: F.sequence(c["shift"] + s, c["shift"] + s + c["window"] - 1))).alias("hits"),
@@ -129,7 +129,7 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
         lambda f: F.size(f["hits"]) > 0,
     )
-    found = F.when(F.col("candidates").isNull(), F.lit(None)).otherwise(found)
+    found = F.when(F.col("__candidates").isNull(), F.lit(None)).otherwise(found)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("__words").cast("long").alias("n_words"), found.alias("found"))
 
 
@@ -150,8 +150,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    rows = exact_matches(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), benchmark)
-    return rows.filter(F.col("found").isNull() | (F.size("found") == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # all columns ride in one struct, so that none can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text")
+    rows = exact_matches(whole, benchmark)
+    return rows.filter(F.col("found").isNull() | (F.size("found") == 0)).select("__doc.*")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, span: int = 20) -> DataFrame:
