@@ -48,6 +48,17 @@ def cut_all_buckets(items: DataFrame, st: Settings = DEFAULTS, has_sheet: bool =
     return items.withColumn("bucket", bucket.otherwise("todo"))
 
 
+def unfit_notes(items: DataFrame) -> DataFrame:
+    """O-07: items of the bucket ``unfit`` with what their note says; their cut list goes along (see sheet_updates)."""
+    return items.filter(F.col("bucket") == "unfit").withColumn("note", F.array_join("why", " + "))
+
+
+def unwritten(items: DataFrame) -> DataFrame:
+    """O-07: cut items whose sheet write failed or never happened; their text is written again without a new cut."""
+    written = F.coalesce(F.col("sheet") == "записано", F.lit(False))
+    return items.filter(F.col("has_cut") & F.col("row").isNotNull() & ~written)
+
+
 def needs_words(done_list: Column, wanted: list[str], done_whole: Column, whole: bool) -> Column:
     """P-08: analysed, not cut, not skipped, not edited by hand, and searched for other words."""
     target = F.array(*[F.lit(w) for w in wanted]).cast("array<string>")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,6 +129,25 @@ def music_share(music: DataFrame, segments: DataFrame, found: DataFrame, base_cu
     return series.groupBy(KEY).agg(F.bround(F.count("under") / F.count("*"), 3).alias("share"))
 
 
+def speech_chunks(segments: DataFrame, music: DataFrame, st: Settings = DEFAULTS, most: float = 0.3) -> DataFrame:
+    """I-11: windows of speech in which less than ``most`` of the known seconds pass music_thr."""
+    from .intervals import chop
+
+    windows = chop(segments)
+    last = F.greatest(F.ceil("end_s").cast("int"), F.floor("start_s").cast("int") + 1) - 1
+    covered = windows.select(KEY, "start_s", F.explode(F.sequence(F.floor("start_s").cast("int"), last)).alias("sec"))
+    share = covered.join(music, [KEY, "sec"]).groupBy(KEY, "start_s").agg(F.avg((F.col("prob") >= st.music_thr).cast("double")).alias("share"))
+    return windows.join(share, [KEY, "start_s"], "left").filter(F.coalesce("share", F.lit(0.0)) < most).select(KEY, "start_s", "end_s")
+
+
+def sliding_windows(recordings: DataFrame, length: float = 6.0, hop: float = 1.0) -> DataFrame:
+    """W-04: (rec_id, sec, a_s, b_s): the window around every second that a tagger hears; it is padded beyond the ends."""
+    last = F.greatest(F.ceil(F.col("duration_s") / hop).cast("int") - 1, F.lit(0))
+    seconds = recordings.select(KEY, F.explode(F.sequence(F.lit(0), last)).alias("sec"))
+    middle = (F.col("sec") + 0.5) * hop
+    return seconds.select(KEY, "sec", (middle - length / 2).alias("a_s"), (middle + length / 2).alias("b_s"))
+
+
 def polarity(blocks: DataFrame, block_s: float = 0.5) -> DataFrame:
     """A-13: ranges of blocks (rec_id, block, mid, side, n) whose right channel is inverted, in seconds."""
     inverted = (F.col("side") > 4 * F.col("mid")) & (F.col("side") / F.greatest("n", F.lit(1)) > 1e-7)
@@ -149,44 +167,45 @@ def quiet_levels(frames: DataFrame, segments: DataFrame, recordings: DataFrame,
 
 
 def quiet_speech(frames: DataFrame, segments: DataFrame, recordings: DataFrame, frame_s: float = 0.03, step: float = 5.0, st: Settings = DEFAULTS) -> DataFrame:
-    """W-05: stretches of much quieter speech, grown and shrunk to whole segments.
+    """W-05: stretches of much quieter speech as whole segments.
 
-    Levels, runs and segment percentiles are aggregates; only the walk over the segments of a recording, which
-    depends on its own last step, runs as a function per recording.
+    A run of quiet windows starts from the segments it overlaps. On either side it takes in the stretch of low
+    segments next to it; where there is none it draws back to the nearest low segment inside. All of it is windows
+    over the numbered segments of a recording.
     """
     level = quiet_levels(frames, segments, recordings, frame_s, step, st)
     reference = level.groupBy(KEY).agg(F.percentile("level", 0.8).alias("ref"))
     low = level.join(reference, KEY).withColumn("quiet", (F.col("level") < st.quiet_abs) & (F.col("level") - F.col("ref") < st.quiet_rel))
-    found = runs(low, F.col("quiet"), at="slot").join(reference, KEY).join(recordings, KEY)
-    found = found.select(KEY, (F.col("run_start") * step).alias("a"), F.least((F.col("run_end") - 1) * step + step, "duration_s").alias("b"), F.least(F.lit(st.quiet_abs), F.col("ref") + st.quiet_rel).alias("thr"))
+    found = runs(low, F.col("quiet"), at="slot").join(recordings, KEY)
+    found = found.select(KEY, (F.col("run_start") * step).alias("a"), F.least(F.col("run_end") * step, "duration_s").alias("b"))
+
     own = assign_points(frames, segments).groupBy(KEY, "start_s").agg(F.percentile("db", 0.9).alias("level"))
-    levelled = segments.select(KEY, "start_s", "end_s").join(own, [KEY, "start_s"], "left")
-    loud = F.when(F.col("end_s") - F.col("start_s") > 0.1, F.coalesce("level", F.lit(-120.0))).otherwise(-120.0)
-    listed = levelled.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", loud.alias("level")))).alias("segs"))
-    walked = found.join(listed, KEY)
-
-    def walk(batches):
-        for frame in batches:
-            out = []
-            for rec, a, b, thr, segs in zip(frame[KEY], frame["a"], frame["b"], frame["thr"], frame["segs"], strict=True):
-                segs = [(s["start_s"], s["end_s"], s["level"] < thr + 3) for s in segs]
-                inside = [i for i, s in enumerate(segs) if s[1] > a and s[0] < b]
-                if not inside:
-                    continue
-                first, last = inside[0], inside[-1]
-                while first > 0 and segs[first - 1][2]:
-                    first -= 1
-                while last + 1 < len(segs) and segs[last + 1][2]:
-                    last += 1
-                while first < last and not segs[first][2]:
-                    first += 1
-                while last > first and not segs[last][2]:
-                    last -= 1
-                if segs[last][1] - segs[first][0] >= st.quiet_min:
-                    out.append((rec, segs[first][0], segs[last][1], [QUIET_SPEECH]))
-            yield pd.DataFrame(out, columns=[KEY, "start_s", "end_s", "reasons"])
-
-    return walked.mapInPandas(walk, f"{KEY} long, start_s double, end_s double, reasons array<string>")
+    numbered = segments.select(KEY, "start_s", "end_s", (F.row_number().over(in_order()) - 1).alias("no"))
+    loudness = F.when(F.col("end_s") - F.col("start_s") > 0.1, F.coalesce("level", F.lit(-120.0))).otherwise(-120.0)
+    threshold = F.least(F.lit(st.quiet_abs), F.col("ref") + st.quiet_rel) + 3
+    marked = numbered.join(own, [KEY, "start_s"], "left").join(reference, KEY).withColumn("low", loudness < threshold)
+    order = Window.partitionBy(KEY).orderBy("no")
+    so_far, from_here = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    low_no, loud_no = F.when(F.col("low"), F.col("no")), F.when(~F.col("low"), F.col("no"))
+    marked = marked.withColumns(
+        {
+            "low_before": F.max(low_no).over(so_far),
+            "low_after": F.min(low_no).over(from_here),
+            "stretch_first": F.coalesce(F.max(loud_no).over(so_far), F.lit(-1)) + 1,
+            "stretch_last": F.coalesce(F.min(loud_no).over(from_here) - 1, F.max("no").over(Window.partitionBy(KEY))),
+        }
+    )
+    marked = marked.withColumns({"grown_first": F.when(F.lag("low").over(order), F.lag("stretch_first").over(order)), "grown_last": F.when(F.lead("low").over(order), F.lead("stretch_last").over(order))})
+    touched = found.join(marked.select(KEY, "no", "start_s", "end_s"), KEY).filter((F.col("end_s") > F.col("a")) & (F.col("start_s") < F.col("b")))
+    spans = touched.groupBy(KEY, "a").agg(F.min("no").alias("i"), F.max("no").alias("j"))
+    spans = spans.join(marked.select(KEY, F.col("no").alias("i"), "grown_first", "low_after"), [KEY, "i"]).join(marked.select(KEY, F.col("no").alias("j"), "grown_last", "low_before"), [KEY, "j"])
+    spans = spans.withColumn("reach", F.coalesce("grown_last", "j"))
+    spans = spans.withColumn("first", F.coalesce("grown_first", F.least(F.coalesce("low_after", "reach"), "reach")))
+    spans = spans.withColumn("last", F.coalesce("grown_last", F.greatest(F.coalesce("low_before", "first"), "first")))
+    begin = marked.select(KEY, F.col("no").alias("first"), "start_s")
+    finish = marked.select(KEY, F.col("no").alias("last"), "end_s")
+    whole = spans.select(KEY, "first", "last").join(begin, [KEY, "first"]).join(finish, [KEY, "last"])
+    return whole.filter(F.col("end_s") - F.col("start_s") >= st.quiet_min).select(KEY, "start_s", "end_s", F.array(F.lit(QUIET_SPEECH)).alias("reasons"))
 
 
 def ward_two(vectors: np.ndarray) -> np.ndarray:

@@ -57,7 +57,7 @@ def match_packets(source: DataFrame, result: DataFrame) -> DataFrame:
     """
 
     def ordered(frame: pd.DataFrame) -> list[int]:
-        return frame.sort_values(frame.columns[1])[frame.columns[2]].tolist() if len(frame) else []
+        return frame.sort_values([frame.columns[1], frame.columns[2]])[frame.columns[2]].tolist() if len(frame) else []
 
     def walk(key: tuple, src: pd.DataFrame, dst: pd.DataFrame) -> pd.DataFrame:
         hashes = ordered(src)

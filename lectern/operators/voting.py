@@ -89,12 +89,14 @@ def dialogue_structure(voice: DataFrame, st: Settings = DEFAULTS) -> DataFrame:
         vectors -= vectors.mean(axis=0)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9
         labels = ward_two(vectors)
-        alike, same = vectors @ vectors.T, labels[:, None] == labels[None, :]
-        inside = np.where(same, alike, 0).sum(1) / np.maximum(same.sum(1), 1)
-        across = np.where(~same, alike, 0).sum(1) / np.maximum((~same).sum(1), 1)
-        separation, minor = float(np.mean(inside - across)), float(min((labels == 1).mean(), (labels == 2).mean()))
-        smooth = [np.bincount(labels[max(0, i - 2) : i + 3]).argmax() for i in range(n)]
-        changes = sum(a != b for a, b in zip(smooth, smooth[1:], strict=False))
+        # the mean cosine to a group is the product with the group's mean vector
+        first = labels == 1
+        to_first, to_second = (vectors @ (vectors[g].sum(axis=0) / max(1, g.sum())) for g in (first, ~first))
+        separation = float(np.where(first, to_first - to_second, to_second - to_first).mean())
+        minor = float(min(first.mean(), 1 - first.mean()))
+        near = np.ones(5)
+        ones, around = np.convolve(first, near, "same"), np.convolve(np.ones(n), near, "same")
+        changes = int(np.count_nonzero(np.diff(2 * ones >= around)))
         rate = changes / max(float((frame["end_s"] - frame["start_s"]).sum()) / 60, 1e-6)
         two = separation >= st.separation and minor >= st.minor_share
         talk = two and rate >= st.turns_per_min

@@ -319,6 +319,38 @@ def quiet_speech(spark, sf):
     return W.quiet_speech(S.frames(spark, sf), speech, recs, frame_s=0.6, st=replace(DEFAULTS, quiet_abs=-20.0, quiet_rel=-0.2))
 
 
+@query(
+    f"""WITH {O.SEGMENTS}, {O.SPEECH}, {O.MUSIC}, st AS (SELECT *, unnest(range(0, floor((end_s - start_s) / 8)::BIGINT + 1)) AS k FROM segments),
+    sw AS (SELECT rec_id, start_s + k * 8::DOUBLE AS a, end_s AS e FROM st), ch AS (SELECT rec_id, a AS start_s, CASE WHEN e - least(a + 8, e) < 3 AND e - a <= 12 THEN e ELSE least(a + 8, e) END AS end_s FROM sw WHERE e - a >= 3),
+    cs AS (SELECT rec_id, start_s, unnest(range(floor(start_s)::BIGINT, greatest(ceil(end_s), floor(start_s) + 1)::BIGINT))::INTEGER AS sec FROM ch),
+    sh AS (SELECT rec_id, start_s, avg((prob >= 0.1::DOUBLE)::INTEGER) AS s FROM cs JOIN music USING (rec_id, sec) GROUP BY 1, 2)
+    SELECT rec_id, start_s, end_s FROM ch LEFT JOIN sh USING (rec_id, start_s) WHERE coalesce(s, 0) < 0.3"""
+)
+def speech_chunks(spark, sf):
+    from dataclasses import replace
+
+    return W.speech_chunks(S.segments(spark, sf), S.music(spark, sf), replace(DEFAULTS, music_thr=0.1))
+
+
+@query(
+    """WITH v AS (SELECT vec_id AS rec_id, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+    SELECT rec_id, (pos // 16)::INTEGER AS frame_no, round(20 * log10(sqrt(avg(x * x)) + 1e-9::DOUBLE) + 1e-9::DOUBLE, 4) AS db FROM v GROUP BY 1, 2"""
+)
+def frame_levels(spark, sf):
+    samples = table(spark, sf, "embeddings").select(F.col("vec_id").alias(KEY), F.posexplode("embedding").alias("pos", "v")).withColumn("value", F.col("v").cast("double"))
+    return W.frame_levels(samples, 16).select(KEY, "frame_no", _level(F.col("db")).alias("db"))
+
+
+@query(
+    """WITH b AS (SELECT event_id // 100 AS rec_id, event_id % 100 AS block, value AS mid, value * (event_id % 9) AS side FROM events), r AS (SELECT rec_id, block, block - row_number() OVER (PARTITION BY rec_id ORDER BY block) AS i FROM b WHERE side > 4 * mid AND side / 100 > 1e-7::DOUBLE)
+    SELECT rec_id, min(block) * 0.5::DOUBLE AS start_s, (max(block) + 1) * 0.5::DOUBLE AS end_s FROM r GROUP BY rec_id, i"""
+)
+def polarity_ranges(spark, sf):
+    n = F.col("event_id")
+    blocks = table(spark, sf, "events").select(F.expr("event_id div 100").alias(KEY), (n % 100).alias("block"), F.col("value").alias("mid"), (F.col("value") * (n % 9)).alias("side"), F.lit(100).alias("n"))
+    return W.polarity(blocks)
+
+
 # Text and words
 
 VOCABULARY = ("the", "thing", "ration", "and", "heat", "rest", "that", "tin", "read", "ear")
@@ -613,6 +645,20 @@ def suitability(spark, sf):
     return rows.select("doc_id", F.array_join(U.suitability(), " + ").alias("why"))
 
 
+@query(
+    """WITH i AS (SELECT page_id, page_id % 2 = 0 AS c, page_id % 6 = 0 AS rc, page_id % 5 <> 0 AS ok, page_id % 11 = 0 AS em, CASE page_id % 3 WHEN 0 THEN 'записано' WHEN 1 THEN 'ошибка: x' END AS sh, page_id % 7 <> 0 AS res, page_id % 4 = 1 AS nt, page_id % 3 = 0 AS t, page_id % 9 = 0 AS ft FROM pages)
+    SELECT page_id, CASE WHEN c AND rc THEN 'нужно перерезать: фоновая музыка' WHEN c THEN CASE WHEN em THEN 'вырезано целиком' WHEN ok THEN 'вырезано ✓' ELSE 'вырезано (проверка не прошла!)' END || CASE WHEN sh = 'записано' THEN ', в таблице ✓' WHEN starts_with(sh, 'ошибка') THEN ', таблица: ошибка' ELSE '' END
+    WHEN res THEN CASE WHEN nt THEN 'не подходит' ELSE 'готово' END WHEN t THEN CASE WHEN ft THEN 'расшифровано' ELSE 'только расшифровка' END ELSE 'ожидает анализа' END AS status FROM i"""
+)
+def item_status(spark, sf):
+    n = F.col("page_id")
+    items = table(spark, sf, "pages").select(
+        "page_id", (n % 2 == 0).alias("has_cut"), (n % 6 == 0).alias("recut"), (n % 5 != 0).alias("lossless"), (n % 11 == 0).alias("empty"), F.when(n % 3 == 0, "записано").when(n % 3 == 1, "ошибка: x").alias("sheet"),
+        (n % 7 != 0).alias("has_result"), (n % 4 == 1).alias("noted"), (n % 3 == 0).alias("text_only"), (n % 9 == 0).alias("has_text"),
+    )
+    return items.select("page_id", K.status(items).alias("status"))
+
+
 @query(
     """WITH n AS (SELECT DISTINCT unnest(range(1, 800)) AS n) SELECT n::INTEGER AS number, CASE WHEN n > 702 THEN chr((65 + (n - 703) // 676)::INTEGER) ELSE '' END || CASE WHEN n > 26 THEN chr((65 + ((n - 27) // 26) % 26)::INTEGER) ELSE '' END || chr((65 + (n - 1) % 26)::INTEGER) AS letters, n::INTEGER AS back FROM n"""
 )
