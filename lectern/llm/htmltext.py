@@ -47,6 +47,10 @@ HARD_WORDS = set(
     "alert disclaimer share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar masthead topbar "
     "skip search copyright legal paywall".split()
 )
+#: Words that make a class tell of the page around, as in ``with-sidebar``.
+AROUND = set("has with no without layout columns open closed".split())
+#: An article of these kinds is none of the page's own.
+FOREIGN = set("comment comments reply replies ad ads advert sponsored promo promoted related recommended widget teaser".split())
 HARD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_WORDS = set("article content main post entry story body text maincontent articlebody postbody entrycontent".split())
 
@@ -80,11 +84,14 @@ class Element:
         for name, value in MARKS.findall(marks):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                words = {w.lower() for w in PIECES.findall(value)}
-                if words & GOOD_WORDS and not words & HARD_WORDS:
-                    self.good = True
-                elif (words & HARD_WORDS or "header" in words and not self.good) and self.tag not in ("article", "main"):
-                    self.verdict = -1
+                for part in value.split():
+                    words = {w.lower() for w in PIECES.findall(part)}
+                    if words & AROUND:
+                        continue
+                    if words & GOOD_WORDS and not words & HARD_WORDS:
+                        self.good = True
+                    elif words & (FOREIGN if self.tag in ("article", "main") else HARD_WORDS) or "header" in words and not self.good:
+                        self.verdict = -1
             elif name == "role":
                 if value.lower() in HARD_ROLES:
                     self.verdict = -1

@@ -117,6 +117,33 @@ def test_page():
     assert htmltext.main_text(PAGE).split("\n\n") == ["A title", "First é paragraph with a link and text. After a break.", "one", "two", "Last <b> paragraph."]
 
 
+LONG_TEXT = "This paragraph has a good number of ordinary words in it, as running text does."
+TEMPLATES = [
+    (
+        """<body class="single has-sidebar"><div class="layout with-sidebar"><div class="site-header"><a href=/>Logo</a></div><ul class="menu"><li><a href=a>Home</a></ul><div class="post">
+        <h1 class="post-title">Title words</h1><div class="post-body"><p>@</p><p>Yes.</p></div></div><div class="widget"><p>@</p></div><div id="comments"><p>@</p></div><div class="site-footer">Rights.</div></div></body>""",
+        ["Title words", "@", "Yes."],
+    ),
+    (
+        """<body><div><a href=1>Home</a> | <a href=2>World</a></div><h1>Headline of it all</h1><p>@</p><p>Short one.</p><p>@</p><div>Copyright 2024 Example Ltd.</div><div><a href=x>Terms</a></div></body>""",
+        ["Headline of it all", "@", "Short one.", "@"],
+    ),
+    ("<main><h2>Part</h2><p>@<blockquote>Quoted words.</blockquote><table><tr><th>a<th>b<tr><td>1<td>2</table><pre>x = 1\n  y</pre></main>", ["Part", "@", "Quoted words.", "a", "b", "1", "2", "x = 1 y"]),
+    ("<body><div id=content>@<br><br>@<br/>End.</div><div id=nav><a href=1>x</a></div></body>", ["@ @ End."]),
+    ("<table><tr><td class=menu><a href=1>One</a></td><td class='main'><p>@</p>Bare text here.<p>@</p></td></tr></table>", ["@", "Bare text here.", "@"]),
+    (
+        """<article><p>@</p><script>if (a < b) f("<p>x</p>")</script><noscript><p>Enable</p></noscript><div class="share-buttons"><a href=1>Tweet</a></div><p>a &lt; b &amp;amp; c &#x41; &hellip;</p>
+        <div role="alert">Note!</div><button>Press</button><p>Tail</p></article><!-- <p>hidden</p> --><p style="display:none">@</p><div hidden>@</div>""",
+        ["@", "a < b &amp; c A …", "Tail"],
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "expected"), TEMPLATES)
+def test_templates(page, expected):
+    assert htmltext.main_text(page.replace("@", LONG_TEXT)).split("\n\n") == [e.replace("@", LONG_TEXT) for e in expected]
+
+
 def test_pages_of_the_tables(spark):
     for r in table(spark, SF, "pages").join(queries.op2_mincut_html(spark, SF).select("page_id", F.col("text").alias("found")), "page_id").collect():
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
