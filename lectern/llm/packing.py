@@ -37,7 +37,7 @@ from .common import cut_lineage
 WINDOW = 1024
 OPEN_WINDOWS = 32
 MIN_PIECE = 16
-MERGE_PARTITIONS = 8
+MERGE_PARTITIONS = 2
 END_ID = 0
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
