@@ -27,8 +27,9 @@ from .common import cut_lineage
 
 WINDOW_WORDS = 10
 ANCHORS = 2
-#: A side is broadcast up to so many rows.
+#: A test-side table is broadcast up to so many rows, the alignments up to about so many bytes.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 16_000_000
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,6 +106,8 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "window")).alias("__candidates"))
     )
     candidates = cut_lineage(candidates)
+    weight = F.lit(64) + F.aggregate("__candidates", F.lit(0), lambda total, c: total + 48 + 16 * F.size(c["item_words"]))
+    light = (candidates.agg(F.sum(weight).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES
 
     def starts(words: Column, c: Column) -> Column:
         """Where in the item a window begins that stands in the text."""
@@ -118,7 +121,8 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.filter(F.transform(run, lambda r, i: F.when((r >= c["window"]) & (i < n), i - c["window"] + 1)), lambda s: s.isNotNull())
 
     row = "__row"
-    joined = docs.withColumn(row, _row_key()).join(_small(candidates.withColumnRenamed("row", row)), row, "left").withColumn("__words", words_of())
+    candidates = candidates.withColumnRenamed("row", row)
+    joined = docs.withColumn(row, _row_key()).join(F.broadcast(candidates) if light else candidates, row, "left").withColumn("__words", words_of())
     found = F.filter(
         F.transform(
             F.coalesce("__candidates", F.array()),
