@@ -23,7 +23,7 @@ def test_background_music(spark):
 
 def test_spikes_and_jingle_are_not_music(spark):
     spikes = [0.4 if t % 20 == 0 else 0.0 for t in range(120)]
-    jingle = [0.5 if 10 <= t < 14 else 0.0 for t in range(120)]
+    jingle = [0.3 if 10 <= t < 13 else 0.0 for t in range(120)]
     for probs in (spikes, jingle):
         assert W.background_music(*tables(spark, probs)).count() == 0
 
