@@ -19,7 +19,7 @@ from ..operators import verification as Y
 from ..operators import voting as A
 from ..operators import words as V
 from ..operators.intervals import KEY
-from ..session import table
+from ..session import keep, table
 from ..settings import DEFAULTS, REPEAT_NOTE
 from ..sources import adapters as S
 from ..sources import media as M
@@ -435,7 +435,7 @@ _PHRASES = f"""{_UNITS},
 
 @query(f"WITH {_PHRASES} SELECT rec_id, start_s, end_s FROM hv WHERE NOT coalesce(ps = start_s AND pend = end_s, false)")
 def phrase_cuts(spark, sf):
-    stream = S.words(spark, sf)
+    stream = keep(S.words(spark, sf))
     return V.phrase_cuts(stream, ENTRIES, S.word_recordings(stream)).select(KEY, "start_s", "end_s")
 
 
