@@ -13,6 +13,10 @@ positions, and a pair that reaches the threshold cannot match beyond the band ``
 Inside a bucket not all pairs are made. A pivot is compared with every other member. In even sketches the first
 pivot is the member that shares buckets with most others, in odd ones a member drawn by a hash, so that a text
 meets several pivots. Members that no comparison has linked yet become pivots in the following ``ROUNDS``.
+What is then open is made whole: in each bucket the members outside its largest component meet every member
+of another component, so that no two classes share a bucket with an untried pair that could be similar.
+Pairs whose lengths or parity bitmaps exclude the threshold are left out, which loses none: the bitmaps of two
+texts differ in no more bits than their k-mers differ, and that is at most ``(n + m) / 9``.
 Classes are the connected components of the verified links, found by minimum labels with pointer jumping.
 
 Equal texts are one node from the start; copies are never expanded. Texts enter only for candidates, joined by
@@ -41,6 +45,10 @@ SKETCHES, LENGTH = 28, 5
 ROUNDS = 3
 #: A table of keys is broadcast up to so many rows of two or three numbers; beyond, Spark shuffles.
 BROADCAST_ROWS = 50_000
+#: Bits of the parity bitmap of a text's k-mers.
+PARITY_BITS = 2048
+#: A bucket is dealt to one more task for each so many members.
+DEALT_ROWS = 500
 
 _WORD_BYTE = np.zeros(256, dtype=bool)
 for _a, _b in ((48, 58), (97, 123), (128, 256)):
@@ -131,6 +139,12 @@ def order_minhash(labelled: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity(labelled: np.ndarray) -> np.ndarray:
+    """A bitmap in which each k-mer flips one bit; two texts' bitmaps differ in at most as many bits as they have different k-mers."""
+    flips = np.bincount((labelled % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Matched over all k-mers of the best alignment inside the band; 0 where it cannot reach ``least``."""
     n, m = len(a), len(b)
@@ -170,6 +184,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", *(f"p{i}" for i in range(PARITY_BITS // 64))]
+    for batch in batches:
+        if batch.num_rows:
+            made = np.stack([parity(kmers(t.as_py())) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(column) for column in made.T)], names=names)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pivot, pivot_kmers = None, None
     for batch in batches:
@@ -211,8 +233,67 @@ def _candidates(members: DataFrame, tried: DataFrame | None, settled: DataFrame
     return pairs.select("p.a", "p.b")
 
 
-def links(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The nodes (key, first_doc), the verified links (a, b) between different texts, and the number of links.
+def _open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, n_labels: int, tried: DataFrame, n_tried: int) -> DataFrame:
+    """a, b: untried pairs that share a bucket, are in different components and may be similar.
+
+    Each has a member outside the bucket's largest component; pairs inside one need no comparison. In a bucket
+    of two the first pivot has met the other.
+    """
+    words = [f"p{i}" for i in range(PARITY_BITS // 64)]
+    placed = members.select("bucket", "key", "n").join(_light(labels, n_labels), "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
+    held = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    mixed = held.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("classes"))
+    mixed = mixed.filter("classes > 1 AND size > 2").select("bucket", "main", F.expr(f"int(1 + size div {DEALT_ROWS})").alias("parts"))
+    # written, so that hot buckets are skewed joins that Spark can split
+    mixed = cut_lineage(placed.join(mixed, "bucket"))
+    asked = texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", "text")
+    bits = asked.mapInArrow(_parities, "key long, " + ", ".join(f"{w} long" for w in words)).dropDuplicates(["key"])
+    # never null, which keeps the generated code of the comparison short
+    mixed = cut_lineage(mixed.join(bits, "key").select("bucket", "key", "n", "label", "main", "parts", *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in words]))
+    part = F.pmod("key", "parts").cast("int").alias("part")
+    theirs = mixed.select("bucket", part, F.col("key").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), *[F.col(w).alias(f"{w}_b") for w in words])
+    mine = mixed.filter("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("a"), "label", "main", "n", *words)
+    differ = F.expr(" + ".join(f"bit_count({w} ^ {w}_b)" for w in words))
+    fits = (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")) & (differ * (1 + SIMILARITY) <= (F.col("n") + F.col("m")) * (1 - SIMILARITY) + 1e-6)
+    once = (F.col("label_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = mine.join(theirs, ["bucket", "part"]).filter((F.col("label") != F.col("label_b")) & once & fits)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(_light(known, n_tried), ["a", "b"], "left_anti")
+
+
+def _joined(labels: DataFrame, n_labels: int, late: DataFrame, n_late: int) -> DataFrame:
+    """The components after the late links, found on the smaller graph whose nodes are the components before."""
+    ends = late.select(F.col("a").alias("key")).union(late.select("b")).distinct()
+    known = labels.join(_light(ends, 2 * n_late), "key")
+    if n_late <= BROADCAST_ROWS:  # as few as a broadcast table
+        label = {r["key"]: r["label"] for r in known.collect()}
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for r in late.collect():
+            a, b = sorted(top(label.setdefault(r[end], r[end])) for end in ("a", "b"))
+            if a != b:
+                up[b] = a
+        over = labels.sparkSession.createDataFrame([(x, top(x)) for x in {*label.values()}], "label long, least long")
+    else:
+        named = cut_lineage(ends.join(known, "key", "left").select("key", F.coalesce("label", "key").alias("label")))
+        joined = late
+        for end in ("a", "b"):
+            joined = joined.join(named.withColumnsRenamed({"key": end, "label": f"label_{end}"}), end)
+        over = components(joined.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), n_late)
+        over = over.select(F.col("key").alias("label"), F.col("label").alias("least"))
+    new = ends.join(_light(labels.select("key"), n_labels), "key", "left_anti").select("key", F.col("key").alias("label"))
+    moved = labels.unionByName(new).join(_light(over, 2 * n_late), "label", "left")
+    return cut_lineage(moved.select("key", F.coalesce("least", "label").alias("label")))
+
+
+def links(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """The nodes (key, first_doc), the verified links (a, b) between different texts, their number, and the components (key, label).
 
     ``sketched``: doc_id, key, n, sketches of every row; ``docs``: doc_id, key, text.
     """
@@ -228,28 +309,41 @@ def links(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, i
     # repeated rows give the same text more than once, which only repeats verdicts
     texts = stored(texts.join(needed, ["key", "at", "no_id"], "left_semi").select("key", "text"))
 
-    tried, settled, n_tried = None, None, 0
-    for turn in range(1 + ROUNDS):
-        pairs = cut_lineage(_candidates(members, tried, settled, n_tried, turn))
-        n_pairs = pairs.count()
-        if not n_pairs:
-            break
+    def verified(pairs: DataFrame, n_pairs: int) -> DataFrame:
         asked = (
             texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
             .join(_light(pairs, n_pairs), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b")
         )
-        verdicts = cut_lineage(asked.mapInArrow(_verify, "a long, b long, linked boolean"))
+        return cut_lineage(asked.mapInArrow(_verify, "a long, b long, linked boolean"))
+
+    tried, settled, n_tried = None, None, 0
+    for turn in range(1 + ROUNDS):
+        pairs = cut_lineage(_candidates(members, tried, settled, n_tried, turn))
+        n_pairs = pairs.count()
+        if not n_pairs:
+            break
+        verdicts = verified(pairs, n_pairs)
         tried = verdicts if tried is None else tried.unionByName(verdicts)
         n_tried += n_pairs
         hits = tried.filter("linked")
         settled = hits.select(F.col("a").alias("key")).union(hits.select("b")).union(tried.select("b"))
-    nodes = nodes.select("key", "first_doc")
+    names = nodes.select("key", "first_doc")
     if tried is None:
-        return nodes, docs.sparkSession.createDataFrame([], "a long, b long"), 0
+        none = docs.sparkSession.createDataFrame([], "a long, b long, key long, label long")
+        return names, none.select("a", "b"), 0, none.select("key", "label")
     found = cut_lineage(tried.filter("linked").select("a", "b").distinct())
-    return nodes, found, found.count()
+    n_found = found.count()
+    labels = components(found, n_found)
+    pairs = cut_lineage(_open_pairs(members, texts, labels, 2 * n_found, tried, n_tried))
+    n_pairs = pairs.count()
+    late = cut_lineage(verified(pairs, n_pairs).filter("linked").select("a", "b").distinct()) if n_pairs else None
+    n_late = late.count() if n_pairs else 0
+    if n_late:
+        labels = _joined(labels, 2 * n_found, late, n_late)
+        found, n_found = found.unionByName(late), n_found + n_late
+    return names, found, n_found, labels
 
 
 def components(edges: DataFrame, n_edges: int | None = None) -> DataFrame:
@@ -276,8 +370,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketched = cut_lineage(keyed.mapInArrow(_sketch, "doc_id long, key long, n int, sketches array<long>"))
-    nodes, edges, n_edges = links(sketched, keyed)
-    labels = components(edges, n_edges)
+    nodes, edges, n_edges, labels = links(sketched, keyed)
     counts = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     linked = cut_lineage(nodes.join(_light(labels.join(counts, "key"), 2 * n_edges), "key"))
     # written, so that a class of many texts is a skewed join that Spark can split

@@ -97,6 +97,29 @@ def test_classes_equal_all_pairs(spark, documents):
     assert found == {i: root(texts[d.text]) for i, d in documents.items()}
 
 
+def test_one_group_of_many_copies(spark):
+    """Copies of one unseen text share buckets that few pivots cannot clear; their classes still equal those of all pairs in a bucket."""
+    rng = random.Random(3)
+    original = [f"o{i}" for i in range(200)]
+    texts = []
+    for i in range(400):
+        words = list(original)
+        for at in rng.sample(range(200), rng.choice((2, 3, 4, 5, 6, 7))):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.duplicate_classes(df).collect()}
+    kms = [neardup.kmers(t) for t in texts]
+    sketches = [set(neardup.order_minhash(k).tolist()) for k in kms]
+    lost = [
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i)
+        if found[i] != found[j] and sketches[i] & sketches[j] and neardup.aligned_similarity(kms[i], kms[j]) >= neardup.SIMILARITY
+    ]
+    assert lost == []
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     found = {r.key: r.label for r in neardup.components(edges).collect()}
