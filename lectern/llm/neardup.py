@@ -5,6 +5,8 @@ five-word k-mers, each labelled with its occurrence (the second "a b c d e" is a
 first); a text of fewer words is one k-mer of them all. An Order MinHash sketch takes the ``LENGTH`` k-mers of
 least hash and lists them in text order, so two texts share it with about the probability ``J**LENGTH`` if
 their k-mers stand in the same order, and not if they are shuffled. Each of ``SKETCHES`` sketches is a bucket.
+A text of four to ``SHORT`` k-mers has further buckets: what is left of it without any ``r`` of its ``n`` k-mers,
+for each ``r`` up to ``n / 5``. Two such texts of the threshold's similarity always share one.
 
 Similarity is the alignment's: matched k-mers over all different ones, ``L / (n + m - L)``, with ``L`` the
 longest common subsequence. Since labelled k-mers are unique, this is the longest increasing run of
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, LENGTH = 28, 5
 ROUNDS = 3
+SHORT = 10
 #: A table of keys is broadcast up to so many rows of two or three numbers; beyond, Spark shuffles.
 BROADCAST_ROWS = 50_000
 #: Bits of the parity bitmap of a text's k-mers.
@@ -139,6 +143,21 @@ def order_minhash(labelled: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def short_buckets(labelled: np.ndarray) -> np.ndarray:
+    """The buckets of a short text besides its sketches: its k-mers in text order with up to a fifth of them left out."""
+    n = len(labelled)
+    if not 4 <= n <= SHORT:
+        return np.zeros(0, dtype=np.int64)
+    out = []
+    for r in range(n // 5 + 1):
+        left = np.array(list(combinations(range(n), n - r)))
+        bucket = np.full(len(left), _ODD)
+        for column in labelled[left].T:
+            bucket = _mix(bucket * _ODD + column)
+        out.append(bucket)
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
 def parity(labelled: np.ndarray) -> np.ndarray:
     """A bitmap in which each k-mer flips one bit; two texts' bitmaps differ in at most as many bits as they have different k-mers."""
     flips = np.bincount((labelled % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
@@ -178,7 +197,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column(0)[a : a + 2048],
                     batch.column(1)[a : a + 2048],
                     pa.array([len(k) for k in made], pa.int32()),
-                    pa.array([order_minhash(k) for k in made], pa.list_(pa.int64())),
+                    pa.array([np.concatenate([order_minhash(k), short_buckets(k)]) for k in made], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "key", "n", "sketches"],
             )

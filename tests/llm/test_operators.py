@@ -120,6 +120,20 @@ def test_one_group_of_many_copies(spark):
     assert lost == []
 
 
+def test_short_texts_always_meet(spark):
+    """Pairs of 4 to 10 k-mers at 0.8 or more share a bucket, whatever the hashes say."""
+    pairs = []
+    for i in range(40):
+        words = [f"s{i}w{j}" for j in range(14)]
+        pairs += [(words[:8], words[:9]), (words[:8], ["zz", *words[:8]]), (words[:13], [*words[:12], "zz"]), (words[:12], words[:14])]
+    for a, b in pairs:
+        ka, kb = neardup.kmers(" ".join(a)), neardup.kmers(" ".join(b))
+        assert neardup.aligned_similarity(ka, kb) >= 0.8
+        assert set(neardup.short_buckets(ka).tolist()) & set(neardup.short_buckets(kb).tolist())
+    df = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "one two three four five six seven eight nine")], "doc_id long, text string")
+    assert {r.class_id for r in neardup.duplicate_classes(df).collect()} == {1}
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     found = {r.key: r.label for r in neardup.components(edges).collect()}
