@@ -381,11 +381,10 @@ def components(edges: DataFrame, n_edges: int | None = None) -> DataFrame:
     return labels
 
 
-def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, same_text_id, n_links of every row.
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and key of every row, and of every key its label, class_id, same_text_id and n_links.
 
-    class_id is the least doc_id of the class, same_text_id that of the equal texts; n_links counts the
-    verified links of the text to other texts, among the pairs that were compared.
+    The label is the class: unlike class_id it is never null and no other class has it.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketched = cut_lineage(keyed.mapInArrow(_sketch, "doc_id long, key long, n int, sketches array<long>"))
@@ -394,21 +393,36 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     linked = cut_lineage(nodes.join(_light(labels.join(counts, "key"), 2 * n_edges), "key"))
     # written, so that a class of many texts is a skewed join that Spark can split
     first = cut_lineage(linked.groupBy("label").agg(F.min("first_doc").alias("class_id")))
-    classes = linked.join(_light(first, n_edges), "label").select("key", "class_id", "n_links")
+    classes = linked.join(_light(first, n_edges), "label").select("key", "label", "class_id", "n_links")
     own = nodes.join(_light(classes.withColumn("in_class", F.lit(True)), 2 * n_edges), "key", "left").select(
         "key",
+        F.coalesce("label", "key").alias("label"),
         F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_doc")).alias("class_id"),
         F.col("first_doc").alias("same_text_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    return sketched.select("doc_id", "key").join(own, "key").select("doc_id", "class_id", "same_text_id", "n_links")
+    return sketched.select("doc_id", "key"), own
+
+
+def duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, same_text_id, n_links of every row.
+
+    class_id is the least doc_id of the class, same_text_id that of the equal texts; n_links counts the
+    verified links of the text to other texts, among the pairs that were compared.
+    """
+    rows, own = _classes(docs)
+    return rows.join(own, "key").select("doc_id", "class_id", "same_text_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class; one row where rows are repeated."""
-    classes = cut_lineage(duplicate_classes(docs))
-    names = classes.select(F.col("class_id").alias("doc_id"))
-    kept = names.distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = classes.groupBy("doc_id").count().filter("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id"])
+    """Of each class the row of the least doc_id, a null one last; one row where rows are repeated."""
+    rows, own = _classes(docs)
+    first = F.struct(F.col("same_text_id").isNull().alias("no_id"), F.col("same_text_id").alias("doc_id"), "key")
+    chosen = cut_lineage(own.groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.key").alias("__key"), F.col("first.doc_id").alias("__doc_id")))
+    marked = docs.withColumns({"__row_key": _key(), "__row_doc_id": F.col("doc_id").cast("long")})
+    # both, so that the copies of one text do not meet in one task
+    same = (F.col("__row_key") == F.col("__key")) & F.col("__row_doc_id").eqNullSafe(F.col("__doc_id"))
+    kept = marked.join(chosen, same, "left_semi")
+    repeated = rows.groupBy("doc_id", "key").count().filter("count > 1")
+    kept = kept if repeated.isEmpty() else kept.dropDuplicates(["__row_key", "__row_doc_id"])
+    return kept.drop("__row_key", "__row_doc_id")

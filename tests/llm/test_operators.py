@@ -134,6 +134,24 @@ def test_short_texts_always_meet(spark):
     assert {r.class_id for r in neardup.duplicate_classes(df).collect()} == {1}
 
 
+def test_one_row_of_each_class(spark):
+    """Null and repeated doc_ids with unlike texts stay apart; a null id yields to a known one."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [
+        (None, "a first text that nobody named"),
+        (None, "a second text that nobody named either"),
+        (None, "a second text that nobody named either"),
+        (7, "seven of one kind"),
+        (7, "seven of quite another kind"),
+        (7, "seven of one kind"),
+        (None, " ".join(base)),
+        (9, " ".join([*base, "more"])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in neardup.keep_one_of_each(df).collect())
+    assert kept == sorted([(0, rows[0][1]), (0, rows[1][1]), (7, rows[3][1]), (7, rows[4][1]), (9, rows[7][1])])
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     found = {r.key: r.label for r in neardup.components(edges).collect()}
