@@ -184,8 +184,10 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray] | None
 
 
 def keep_known_languages(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """The rows of ``docs`` in a learned language; a row without a letter goes."""
+    """The rows of ``docs`` in a learned language, or in any where none was learned; a row without a letter goes."""
     langs, prototypes = model or fit(docs)
+    if not langs:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     columns = docs.columns
     predict = _predict(langs, prototypes)
 

@@ -371,6 +371,11 @@ def test_languages(spark):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_no_language_learned_drops_no_text(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "\u00e9\u4e2d", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_known_languages(df).collect()) == [1, 4]
+
+
 def test_profile_is_the_sum_of_bound_letters():
     p = langid.Profiler()
     a, b, sep = p.third[1], p.third[2], p.third[0]
