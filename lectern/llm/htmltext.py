@@ -36,6 +36,8 @@ INLINE = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg math textarea select option button form title head audio video canvas noframes map".split())
 OPAQUE = set("script style textarea title iframe noframes".split())
+#: What may stand in a page's head; any other opened tag ends it.
+IN_HEAD = set("html head title meta link script style base basefont bgsound noscript noframes template".split())
 BOILER = set("nav footer aside menu dialog".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = {"p"}
@@ -147,6 +149,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag is None:
                 continue
         tag = tag.lower()
+        if muted == ["head"] and not closing and tag not in IN_HEAD:
+            muted.clear()
         if tag in RAW:
             if closing:
                 if tag in muted:

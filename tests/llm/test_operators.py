@@ -208,6 +208,14 @@ def test_pages_of_the_tables(spark):
         assert r.found == "\n\n".join(p for p in parts if p)
 
 
+def test_head_without_an_end():
+    """A head that nothing closes ends at the first tag that cannot stand in it."""
+    body = "<article><p>A first sentence of the text.</p><p>And a second one.</p></article>"
+    expected = "A first sentence of the text.\n\nAnd a second one."
+    for head in ("<head><title>t</title>", "<html><head><meta charset=x><script>var a;</script><noscript><img src=x></noscript>", "<head><title>t</title></head><body>"):
+        assert htmltext.main_text(head + body) == expected
+
+
 def test_minimum_cut_equals_all_labellings():
     random.seed(4)
     for _ in range(80):
