@@ -11,9 +11,9 @@ The memory of a task is its batch and its open windows. The pass over the texts
 checkpoint folder, so that emitted and leftover pieces always come from the same pass, also after an
 executor is lost.
 
-Ids are those of the byte-level BPE of 50,257 entries, made with the rank file of the same vocabulary,
-which is about four times as fast; texts that hold characters beyond Latin letters and the token string
-itself go to the tokenizer file, so that ids are equal there by construction.
+Ids are the tokenizer file's. Its encoding is that of the words its pattern cuts, one after the other, so a
+worker encodes each different word once and keeps its ids; texts that hold characters beyond Latin letters or
+the beginning of a special token's string are encoded whole.
 
 Defined results: a null or empty text is the single end id; repeated rows are packed one by one; an empty
 table gives no pieces; columns other than doc_id and text are ignored; a very long text is cut into whole
@@ -22,9 +22,10 @@ windows and one remainder.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +45,38 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 FIRST_PASS = PIECES + ", part int, is_open boolean"
 
 
-def token_ids(rank_file: str, tokenizer_file: str):
-    """A function from a text to its ids as an array of unsigned 32-bit numbers."""
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
+#: The tokenizer's word pattern for texts of Latin letters, and characters it does not hold for.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]")
+KEPT_WORDS, KEPT_LENGTH = 400_000, 64
 
-    with open(rank_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = []
 
-    def encode(text: str) -> np.ndarray:
-        if "<|" not in text and (text.isascii() or max(text) < "\u0250"):
-            return np.array(fast.encode_ordinary(text), dtype="<u4")
-        if not whole:
-            whole.append(Tokenizer.from_file(tokenizer_file))
-        return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+class TokenIds:
+    """Ids of texts by the tokenizer file, as arrays of unsigned 32-bit numbers."""
 
-    return encode
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.kept: dict[str, list[int]] = {}
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.kept.get(word)
+        if ids is None:
+            ids = self._whole(word)
+            if len(word) <= KEPT_LENGTH:
+                if len(self.kept) >= KEPT_WORDS:
+                    self.kept.clear()
+                self.kept[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        if "<|" in text or not (text.isascii() or max(text) < "\u0250") or ODD.search(text):
+            return np.array(self._whole(text), dtype="<u4")
+        return np.array(list(chain.from_iterable(map(self._word, WORDS.findall(text)))), dtype="<u4")
 
 
 class OpenWindows:
@@ -104,12 +118,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _LONGS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-_FIRST_SCHEMA = pa.schema([(c, pa.int64()) for c in _LONGS] + [("part", pa.int32()), ("is_open", pa.bool_())])
+_MERGED_SCHEMA = pa.schema([(c, pa.int64()) for c in _LONGS])
+_FIRST_SCHEMA = pa.schema([*_MERGED_SCHEMA, ("part", pa.int32()), ("is_open", pa.bool_())])
 
 
-def _first_pass(rank_file: str, tokenizer_file: str, window: int):
+def _first_pass(tokenizer_file: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(rank_file, tokenizer_file)
+        encode = TokenIds(tokenizer_file)
         part = TaskContext.get().partitionId()
         out: list[tuple] = []
         numbered = 0
@@ -148,48 +163,42 @@ def _first_pass(rank_file: str, tokenizer_file: str, window: int):
 
 
 def _merge(window: int):
-    def run(key, frame):
-        import pandas as pd
-
-        rows = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        pieces = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        first = (1 << 62) + (key[0].as_py() << 32)
         out, numbered = [], 0
 
         def emit(pieces: list[tuple]) -> None:
             nonlocal numbered
             offset = 0
             for piece in pieces:
-                out.append((*piece, (1 << 62) + (int(key[0]) << 32) + numbered, offset))
+                out.append((*piece, first + numbered, offset))
                 offset += piece[2]
             numbered += 1
 
         # from the longest down with no bound but the leftovers themselves, which are bounded
-        space = OpenWindows(emit, window, slots=len(rows), cut=False)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        for row in zip(*(rows[c].tolist() for c in names), strict=True):
-            row = tuple(None if v != v else int(v) for v in row)
+        space = OpenWindows(emit, window, slots=pieces.num_rows, cut=False)
+        for row in zip(*(pieces.column(c).to_pylist() for c in _LONGS[:5]), strict=True):
             space.place(row[2], lambda a, b, row=row: row)
-        for _, pieces in space.windows:
-            emit(pieces)
-        return pd.DataFrame(out, columns=_LONGS).astype({c: "Int64" for c in _LONGS})
+        for _, left in space.windows:
+            emit(left)
+        return pa.Table.from_batches([_batch(out, _MERGED_SCHEMA)])
 
     return run
 
 
-def pack_documents(docs: DataFrame, rank_file: str | None = None, tokenizer_file: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    if rank_file is None or tokenizer_file is None:
+    if tokenizer_file is None:
         import public_tokenizers
 
-        rank_file = rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        tokenizer_file = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
-    first = cut_lineage(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first_pass(rank_file, tokenizer_file, window), FIRST_PASS)
-    )
+        tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
+    first = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first_pass(tokenizer_file, window), FIRST_PASS))
     closed = first.filter(~F.col("is_open")).drop("part", "is_open")
     merged = (
         first.filter("is_open")
         .withColumn("meeting", F.floor(F.col("part") / MERGE_PARTITIONS).cast("int"))
         .groupBy("meeting")
-        .applyInPandas(_merge(window), PIECES)
+        .applyInArrow(_merge(window), PIECES)
     )
     return closed.unionByName(merged)

@@ -352,10 +352,28 @@ def test_ids_of_odd_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.token_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("", "<|endoftext|>", "a<|endoftext|>b", "   x  \n\n y\t", "I'll don't 123²½ é", "中文 한국어 🙂", "\x00\x1c\x85\xa0"):
-        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(path), packing.TokenIds(path)
+    texts = ["", "<|endoftext|>", "a<|endoftext|>b", "   x  \n\n y\t", "I'll don't 123²½ é", "中文 한국어 🙂", "\x00\x1c\x85\xa0"]
+    texts += [" " * 10**6, "\n" * 10**6, "a" * 10**6, " \n" * 10**5 + "x", "é" * 10**5, "!" * 10**5]
+    rng = random.Random(5)
+    letters = "ab'sdtrlvem’éñßªºµ 　\t\n\r\x0b\x0c\x1d\x85\xa0!?._-<|>0189²¾ĳſƏɏɐЖ中"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for text in texts:
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text[:40]
+
+
+def test_packing_keeps_ids_and_hostile_texts(spark):
+    """Ids beyond 2**53 beside null ones, and texts of white space or of one long word."""
+    rows = [(2**53 + 1, "one text"), (None, "two"), (None, None), (-(2**62), " " * 10**6), (5, "\n" * 300_000), (6, "a" * 10**6), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack_documents(df).collect()
+    held, totals = collections.Counter(), {}
+    for p in pieces:
+        held[p.doc_id] += p.length
+        totals.setdefault(p.doc_id, set()).add(p.doc_tokens)
+    assert set(held) == {r[0] for r in rows}
+    assert all(held[i] == sum(totals[i]) for i in held if i is not None) and held[None] == 3
 
 
 def test_windows_stay_bounded():
