@@ -22,6 +22,11 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(True))
 
 
+def drawn(hashed: Column, share: float) -> Column:
+    """True for about ``share`` of the hashes, for shares of any smallness."""
+    return hashed.bitwiseAND(F.lit(2**63 - 1)).cast("double") < F.lit(float(min(1.0, share)) * 2.0**63) if share < 1 else F.lit(True)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 

@@ -10,8 +10,9 @@ Letters are lower-cased; everything else is one separator, so that trigrams see
 a to z share ``OTHER_SLOTS`` vectors by a hash of the code point, so the model's size does not depend on
 the scripts of the corpus.
 
-Training takes at most about ``TRAIN_ROWS`` labelled rows, drawn by a hash of doc_id from those that are
-not held out; each partition sends one sum per language, added by Spark.
+Training takes at most about ``TRAIN_ROWS`` labelled rows of each language, drawn by a hash of doc_id and text
+from those that are not held out, so that a rare language is learned from all its rows; each partition sends one
+sum per language, added by Spark.
 
 Defined results: a null text and a text without a letter give ``und`` and score 0; without any training
 row every prediction is ``und``; equal cosines go to the language that sorts first; repeated rows are
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import drawn, held_out
 
 DIMENSIONS = 512
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 5_000
 TEMPERATURE = 0.05
 ASCII_SLOTS, OTHER_SLOTS = 27, 101
 SLOT_BITS = 7
@@ -132,10 +133,14 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """The learned languages, sorted, and their unit prototypes."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    share = min(1.0, max_rows / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("count") > max_rows).collect()}
+    taken = F.lit(True)
+    for lang, n in many.items():
+        taken = F.when(F.col("lang") == lang, drawn(F.xxhash64("doc_id", "text"), max_rows / n)).otherwise(taken)
     sums = (
-        drawn.select(F.col("lang").cast("string"), F.col("text").cast("string"))
+        rows.filter(taken)
+        .select("lang", "text")
         .mapInArrow(_partial_sums, "lang string, sums array<double>")
         .select("lang", F.posexplode("sums").alias("i", "v"))
         .groupBy("lang", "i")

@@ -397,6 +397,47 @@ def test_languages(spark):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_predictions_equal_plain_cosines(spark, documents):
+    """The query's rows from letter vectors bound and added one trigram after the other, in plain numpy."""
+    p = langid.Profiler()
+
+    def profile(text):
+        out = np.zeros(p.dimensions)
+        code = [0, *(int(p.slots[ord(c)]) for c in text.lower()), 0]
+        for i in range(len(code) - 2):
+            a, b, c = code[i : i + 3]
+            if (a or b) and (b or c):
+                out += np.roll(p.third[a], 2) * np.roll(p.third[b], 1) * p.third[c]
+        return out
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    profiles = {i: unit(profile(d.text or "")) for i, d in documents.items()}
+    learned = [i for i, d in documents.items() if d.lang and d.text and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({documents[i].lang for i in learned})
+    prototypes = [unit(sum(profiles[i] for i in learned if documents[i].lang == lang)) for lang in langs]
+    for r in queries.op7_hyperdimensional_language(spark, SMALL).collect():
+        cosines = np.array([profiles[r.doc_id] @ q for q in prototypes])
+        if not profiles[r.doc_id].any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        odds = np.exp(cosines / langid.TEMPERATURE)
+        assert r.lang_pred == langs[cosines.argmax()] and r.score == pytest.approx(odds.max() / odds.sum(), abs=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    """A draw bounds each language by itself; one row in a thousand is enough to be learned."""
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(3000)] + [(10_000 + i, f"żółw je świeże liście {i}", "pl") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, _ = langid.fit(df, max_rows=5)
+    assert langs == ["en", "pl"]
+
+
+def test_an_empty_draw_keeps_every_text(spark):
+    df = spark.createDataFrame([(i, f"some words {i}", "en") for i in range(50)], "doc_id long, text string, lang string")
+    model = langid.fit(df, max_rows=1e-12)
+    assert model[0] == [] and langid.keep_known_languages(df, model).count() == 50
+
+
 def test_no_language_learned_drops_no_text(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "\u00e9\u4e2d", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.keep_known_languages(df).collect()) == [1, 4]
@@ -414,27 +455,62 @@ def test_profile_is_the_sum_of_bound_letters():
 # 8. toxicity
 
 
+TOXIC = [
+    "You are an idiot.", "You clown!", "I will kill you.", "You, I will destroy you", "Trash like him.", "He is stupid", "what a moron", "Du Idiot", "Ich werde dich töten.", "Je vais te tuer",
+]
+CLEAN = [
+    "", "A fine day.", "Take out the trash.", "The clown made the children laugh.", "A loser of the game shakes hands.", "Kill the process.", "You are not an idiot.", "He said that you are an idiot.",
+    "You are an idiot, he said.", "I will not hurt you", "They beat the record.", "Ich schlage dich nicht.",
+]
+
+
 def test_clauses():
     g = toxicity.Grammar(toxicity.fixed_weights())
-    plain = g.score("You are an idiot.")
-    assert plain >= 0.3 and g.score("You are not an idiot.") < 0.3
-    assert g.score("He said that you are an idiot.") < 0.3 < g.score("He said so. You are an idiot.")
-    assert g.score("I will kill you.") < g.score("You, I will kill you.") and g.score("A fine day.") == 0 == g.score("")
+    assert [t for t in TOXIC if g.score(t) < toxicity.THRESHOLD] == [] == [t for t in CLEAN if g.score(t) >= toxicity.THRESHOLD]
+    assert g.score("He said so. You are an idiot.") >= toxicity.THRESHOLD and g.score("A fine day.") == 0
+    # the length of a text of mild words does not make it toxic
+    assert g.score("The trash is out. " * 500) < toxicity.THRESHOLD
 
 
 def test_composition_is_the_product():
     machines = [toxicity.insult_machine(), toxicity.threat_machine(), toxicity.target_machine(), toxicity.negation_machine(), toxicity.report_machine()]
-    state, moves = toxicity.compose(*machines)
+    composed = toxicity.Composed(*machines)
     random.seed(6)
     for _ in range(200):
-        own, at = [m.start for m in machines], state
-        for symbol in (random.randrange(6) for _ in range(12)):
-            gain = 1.0
-            for k, m in enumerate(machines):
-                own[k], part = m.step(own[k], symbol)
-                gain *= part
-            at, product = moves[at, symbol]
-            assert product == pytest.approx(gain)
+        symbols = [random.choice(toxicity.SYMBOLS) for _ in range(12)]
+        found = composed.read(symbols)
+        for at, x in enumerate(symbols):
+            framed, gain = False, 1.0
+            for m in machines:
+                left = right = 0
+                for y in symbols[:at]:
+                    left = m.left(left, y)
+                for y in reversed(symbols[at + 1 :]):
+                    right = m.right(right, y)
+                f, g = m.out(x, left, right)
+                framed, gain = framed or f, gain * g
+            assert found[at][1] == pytest.approx(gain) and (gain == 0 or found[at][0] == framed)
+
+
+def test_toxic_texts_held_out(spark):
+    """Of each language nine in ten toxic texts that were not learned from are found, and two in a hundred clean ones marked at most."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op8_grammar_toxicity(spark, sf).filter("held_out").join(table(spark, sf, "labels"), "doc_id").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    found = collections.defaultdict(list)
+    for r in rows.select("lang", "toxic", "predicted").collect():
+        found[r.lang, r.toxic].append(r.predicted)
+    for (lang, toxic), marks in found.items():
+        assert np.mean(marks) >= 0.9 if toxic else np.mean(marks) <= 0.02, lang
+
+
+def test_a_small_draw_is_not_empty(spark):
+    """Shares far under a millionth still draw their part of the rows."""
+    from lectern.llm.common import drawn
+
+    n = spark.range(4_000_000).filter(drawn(F.xxhash64("id"), 2e-5)).count()
+    assert 40 <= n <= 130
+    assert spark.range(1000).filter(drawn(F.xxhash64("id"), 1.0)).count() == 1000
+    assert spark.range(1000).filter(drawn(F.xxhash64("id"), 1e-30)).count() == 0
 
 
 def test_labels_extend_the_lexicon(spark):
