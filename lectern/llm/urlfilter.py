@@ -3,9 +3,13 @@
 The rules label the URLs that they fit; the trees learn from these. Features: lengths of URL, host, path and
 query, path depth, host labels, digit ratio, letter entropy, parameter count, hyphens, whether a fragment or a
 file ending is there, and suffix statistics: the smoothed share of blocked training URLs under the same last
-host label and under the same last two labels, kept in ``SUFFIX_BUCKETS`` hash buckets each, so that their
-table has a fixed size. At most about ``TRAIN_ROWS`` labelled rows are drawn by a hash of the URL. The fitted
-trees become CASE expressions, so judging is one projection after two joins with tables of fixed size.
+host label, under the same last two labels and in the same first folder of the path, kept in ``SUFFIX_BUCKETS``
+hash buckets each, so that their table has a fixed size.
+
+A training row never sees its own label in a statistic: hosts are dealt to ``FOLDS`` folds, and a row gets the
+statistics of the other folds. At most about ``TRAIN_ROWS`` labelled rows are drawn by a hash of the URL and written
+once; a host of many rows weighs as the root of their number, and both labels weigh the same in all. The fitted
+trees become CASE expressions, so judging is one projection after joins with tables of fixed size.
 
 Everything is DataFrame functions and Spark's own JVM learner; no Python runs on executors.
 
@@ -21,6 +25,9 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import cut_lineage, drawn
 
 #: The policy, longest first where two fit.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -28,9 +35,11 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, STEP = 10, 4, 0.3
 SUFFIX_BUCKETS = 1024
 SMOOTHING = 20.0
+FOLDS = 4
+STATISTICS = ("last", "last_two", "folder")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
-    "url_length host_length path_length query_length depth labels digit_ratio entropy parameters hyphens has_fragment has_ending last_rate last_two_rate"
+    "url_length host_length path_length query_length depth labels digit_ratio entropy parameters hyphens has_fragment has_ending last_rate last_two_rate folder_rate"
 ).split()
 
 
@@ -54,7 +63,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def lexical(frame: DataFrame) -> DataFrame:
-    """Adds the lexical features of ``url``, ``host`` and ``path`` and the two suffix buckets."""
+    """Adds the lexical features of ``url``, ``host`` and ``path`` and the buckets of its suffix statistics."""
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.length(url)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -64,6 +73,7 @@ def lexical(frame: DataFrame) -> DataFrame:
         F.lit(0.0),
         lambda total, s: total - (F.length(url) - F.length(F.replace(F.lower(url), s, F.lit("")))) / n * F.log2((F.length(url) - F.length(F.replace(F.lower(url), s, F.lit("")))) / n),
     )
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(SUFFIX_BUCKETS)).cast("int")
     return frame.withColumns(
         {
             "url_length": n.cast("double"),
@@ -78,22 +88,22 @@ def lexical(frame: DataFrame) -> DataFrame:
             "hyphens": F.regexp_count(url, F.lit("-")).cast("double"),
             "has_fragment": url.contains("#").cast("double"),
             "has_ending": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"),
-            "last": F.pmod(F.xxhash64(F.substring_index("host", ".", -1)), F.lit(SUFFIX_BUCKETS)).cast("int"),
-            "last_two": F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(SUFFIX_BUCKETS)).cast("int"),
+            "last": bucket(F.substring_index("host", ".", -1)),
+            "last_two": bucket(F.substring_index("host", ".", -2)),
+            "folder": bucket(F.regexp_extract("path", r"^/([^/]*)/", 1)),
         }
     )
 
 
-def _suffix_rates(labelled: DataFrame, base: float) -> list[DataFrame]:
-    """Per bucket the smoothed share of blocked URLs; at most SUFFIX_BUCKETS rows each."""
-    return [
-        labelled.groupBy(c).agg(((F.sum("label") + SMOOTHING * base) / (F.count("*") + SMOOTHING)).alias(f"{c}_rate")) for c in ("last", "last_two")
-    ]
+def _rates(weighed: DataFrame, *keys: str) -> list[DataFrame]:
+    """Per bucket of each statistic the smoothed share of blocked weight; at most SUFFIX_BUCKETS rows each (per fold)."""
+    rate = (F.sum(F.col("label") * F.col("weight")) + SMOOTHING * 0.5) / (F.sum("weight") + SMOOTHING)
+    return [weighed.groupBy(*keys, c).agg(rate.alias(f"{c}_rate")) for c in STATISTICS]
 
 
-def _with_rates(frame: DataFrame, rates: list[DataFrame], base: float) -> DataFrame:
-    for c, rate in zip(("last", "last_two"), rates, strict=True):
-        frame = frame.join(F.broadcast(rate), c, "left").withColumn(f"{c}_rate", F.coalesce(f"{c}_rate", F.lit(base)))
+def _with_rates(frame: DataFrame, rates: list[DataFrame], *keys: str) -> DataFrame:
+    for c, rate in zip(STATISTICS, rates, strict=True):
+        frame = frame.join(F.broadcast(rate), [*keys, c], "left").withColumn(f"{c}_rate", F.coalesce(f"{c}_rate", F.lit(0.5)))
     return frame
 
 
@@ -105,24 +115,47 @@ def _tree(node) -> Column:
     return F.when(F.col(FEATURES[split.featureIndex()]) <= float(split.threshold()), _tree(node.leftChild())).otherwise(_tree(node.rightChild()))
 
 
+def margin_of(model) -> Column:
+    """The weighted sum of a fitted model's trees; above 0: block."""
+    return sum((F.lit(float(w)) * _tree(t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)), F.lit(0.0))
+
+
+def weigh(labelled: DataFrame) -> DataFrame:
+    """Adds weight: a host's rows together as the root of their number, both labels alike in all. The rows are a bounded sample."""
+    hosts = labelled.withColumn("weight", 1 / F.sqrt(F.count("*").over(Window.partitionBy("host"))))
+    sums = hosts.groupBy("label").agg(F.sum("weight").alias("all_weight"), F.count("*").alias("all_rows"))
+    total = F.sum("all_rows").over(Window.partitionBy())  # of two rows
+    sums = sums.select("label", (total / 2 / F.col("all_weight")).alias("factor"))
+    return hosts.join(F.broadcast(sums), "label").withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+
+
+def train(labelled: DataFrame) -> tuple[object, list[DataFrame]]:
+    """The fitted model and the suffix statistics for judging; ``labelled``: url, host, path, label of both kinds."""
+    weighed = cut_lineage(weigh(lexical(labelled)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")))
+    # each row once for every other fold, so that a fold's statistics lack its own hosts
+    others = weighed.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).filter("own <> fold")
+    rows = _with_rates(weighed, _rates(others, "fold"), "fold")
+    features = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "weight", "features"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, weightCol="weight", checkpointInterval=-1).fit(features)
+    return model, [cut_lineage(rate) for rate in _rates(weighed)]
+
+
 def judge_urls(pages: DataFrame, rules=RULES, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict and margin (above 0: block) of every row."""
     host, path = host_and_path(F.col("url"))
     frame = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
     frame = frame.withColumns({"rule": rule, "ruled": ruled})
-    labelled = frame.filter(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    counts = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("k")).first()
-    n, k = counts["n"], counts["k"] or 0.0
-    if k in (0, n):
-        verdict = F.coalesce("ruled", F.lit("block" if n and k == n else "allow"))
+    labelled = frame.filter(F.col("ruled").isNotNull()).select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(counts) == 2:
+        share = max_rows / sum(counts.values())
+        sample = cut_lineage(labelled.filter(drawn(F.xxhash64("url"), share)))
+        counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        verdict = F.coalesce("ruled", F.lit("block" if 1.0 in counts else "allow"))
         return frame.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(0.0).alias("margin"))
-    drawn = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / n)))
-    drawn = lexical(drawn)
-    rates = _suffix_rates(drawn, k / n)
-    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_rates(drawn, rates, k / n)).select("label", "features")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, checkpointInterval=-1).fit(train)
-    margin = sum((F.lit(float(w)) * _tree(t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)), F.lit(0.0))
-    judged = _with_rates(lexical(frame), rates, k / n).withColumn("margin", margin)
+    model, rates = train(sample)
+    judged = _with_rates(lexical(frame), rates).withColumn("margin", margin_of(model))
     verdict = F.coalesce("ruled", F.when(F.col("margin") > 0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "margin")

@@ -549,11 +549,71 @@ def test_rules_and_hosts(spark):
         assert r.verdict == (dict(urlfilter.RULES)[r.rule] if r.rule else r.verdict) and r.verdict in ("allow", "block")
 
 
-def test_trees_learn_the_labels(spark):
-    pages = spark.createDataFrame([(i, f"https://h{i % 7}.example.{'net' if i % 2 else 'org'}/{'x' * (i % 5)}fr/{i}") for i in range(400)], "page_id long, url string")
-    rules = (("net/", "block"), ("org/", "allow"))
-    found = urlfilter.judge_urls(pages, rules).collect()
-    assert np.mean([(r.margin > 0) == (r.verdict == "block") for r in found]) > 0.98
+def _urls(rng, hosts):
+    """URLs of the hosts; on each host, trackers have long queries with many digits and articles have long wordy paths."""
+    rows = []
+    for host in hosts:
+        for i in range(40):
+            bad = rng.random() < 0.5
+            if bad:
+                rows.append((f"https://{host}/t/{rng.randrange(10**9)}?" + "&".join(f"k{j}={rng.randrange(10**6)}" for j in range(5)), True))
+            else:
+                rows.append((f"https://{host}/a/" + "-".join(rng.choice(("some", "quiet", "words", "of", "prose")) for _ in range(6)), False))
+    return rows
+
+
+def test_trees_judge_hosts_that_no_rule_knows(spark):
+    rng = random.Random(9)
+    rules = tuple((f"h{i}.example.{tld}/{folder}/", what) for i in range(12) for tld in ("net", "org") for folder, what in (("t", "block"), ("a", "allow")))
+    known = _urls(rng, [f"h{i}.example.{tld}" for i in range(12) for tld in ("net", "org")])
+    # the unknown hosts' folders say nothing
+    unknown = [(u.replace("/t/", "/x/").replace("/a/", "/x/"), bad) for u, bad in _urls(rng, [f"www.new{i}.example.{tld}" for i in range(5) for tld in ("com", "net", "org", "info")])]
+    rows = known + unknown
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    found = {r.page_id: r for r in urlfilter.judge_urls(pages, rules).collect()}
+    unruled = [(found[i].verdict == "block", bad, found[i].host.rsplit(".", 1)[1]) for i, (_, bad) in enumerate(rows) if found[i].rule is None]
+    assert len(unruled) == len(unknown) and np.mean([v == bad for v, bad, _ in unruled]) > 0.95
+    # neither label of the host alone decides
+    assert all({v for v, _, t in unruled if t == tld} == {True, False} for tld in ("com", "net", "org", "info"))
+
+
+def test_verdicts_are_no_function_of_the_last_label(spark):
+    rows = [r for r in queries.op9_boosted_url_filter(spark, "/root/testdata/sf0.1").collect() if r.rule is None]
+    by_label = collections.defaultdict(set)
+    for r in rows:
+        by_label[r.host.rsplit(".", 1)[-1]].add(r.verdict)
+    assert any(len(v) == 2 for v in by_label.values())
+
+
+def test_case_expressions_equal_the_model(spark):
+    """The margins of the CASE expressions against the learner's own predictions, and the statistics against plain sums."""
+    rng = random.Random(10)
+    rows = [(u, float(bad)) for u, bad in _urls(rng, [f"h{i}.example.{t}" for i in range(6) for t in ("net", "org")])]
+    labelled = spark.createDataFrame(rows, "url string, label double")
+    host, path = urlfilter.host_and_path(F.col("url"))
+    labelled = labelled.select("url", host.alias("host"), path.alias("path"), "label")
+    model, rates = urlfilter.train(labelled)
+    weighed = urlfilter.weigh(urlfilter.lexical(labelled)).collect()
+    for name, rate in zip(urlfilter.STATISTICS, rates, strict=True):
+        for r in rate.collect():
+            mine = [w for w in weighed if w[name] == r[name]]
+            expected = (sum(w.weight * w.label for w in mine) + 0.5 * urlfilter.SMOOTHING) / (sum(w.weight for w in mine) + urlfilter.SMOOTHING)
+            assert r[f"{name}_rate"] == pytest.approx(expected)
+    sums = collections.Counter()
+    for w in weighed:
+        sums[w.label] += w.weight
+    assert sums[0.0] == pytest.approx(sums[1.0])
+    judged = urlfilter._with_rates(urlfilter.lexical(labelled), rates).withColumn("margin", urlfilter.margin_of(model))
+    judged = urlfilter.VectorAssembler(inputCols=urlfilter.FEATURES, outputCol="features").transform(judged)
+    for r in model.transform(judged).select("margin", "prediction", "rawPrediction").collect():
+        assert (r.margin > 0) == (r.prediction == 1.0) and 2 * r.margin == pytest.approx(2 * r.rawPrediction[1])
+
+
+def test_one_label_or_none(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.com/"), (3, None)], "page_id long, url string")
+    verdicts = lambda rules: {r.page_id: r.verdict for r in urlfilter.judge_urls(pages, rules).collect()}
+    assert verdicts((("net/", "block"),)) == {1: "block", 2: "block", 3: "block"}
+    assert verdicts((("net/", "allow"),)) == {1: "allow", 2: "allow", 3: "allow"} == verdicts((("gov/", "block"),))
 
 
 # 10. benchmark leaks
