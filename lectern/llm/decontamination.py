@@ -1,15 +1,17 @@
 """Benchmark decontamination through a positional inverted index.
 
 Test items are cut into windows of ten words (an item of fewer words is one window). A count of the test
-terms over all training texts tells for each window its rarest words; the postings (text, position) of those
-*anchor* terms are the part of the index that a search from the rarest term reads. Postings minus the offset
-of the anchor in its item give an alignment of item and text; an alignment that holds a whole window is hit by
-both of its anchors, so alignments with fewer hits fall away, and the offset-adjusted comparison of all words
-along the others gives the exact matches. ``proximity_matches`` finds items whose rarest terms stand close
+terms over all training texts tells for each different window its two rarest words, its *anchors*, with their
+places. The postings (text, position) of anchor terms are the part of the index that a search from the rarest
+terms reads. Intersecting them by offset, that is joining pairs of postings that stand within a window's
+width in a text with the pairs of anchors of the same two terms and the same distance, gives the places where
+a window may begin; a place is kept once, however many windows ask for it. Comparing the words at these places
+with all windows gives the exact matches. ``proximity_matches`` finds items whose rarest terms stand close
 together without being a phrase.
 
-Only test-side tables are ever broadcast, and only if a count shows them small; likewise the alignments.
-Otherwise Spark shuffles. A text's words stay in its row, so a very long text is one row, never one group.
+Postings, places and matches are rows of their own until they are gathered per text, as pieces of its own
+positions, so nothing grows with the length of items or with how often their words repeat. Tables are
+broadcast only up to ``BROADCAST_BYTES`` of summed size; otherwise Spark shuffles.
 
 Words: A to Z lower-cased, then runs of characters outside ASCII punctuation, space and control characters.
 Defined results: a null or empty text has no words, an item without words has no window; repeated rows are
@@ -26,9 +28,6 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 
 WINDOW_WORDS = 10
-ANCHORS = 2
-#: A test-side table is broadcast up to so many rows, the alignments up to about so many bytes.
-BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 16_000_000
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,131 +38,130 @@ def words_of(text: str | Column = "text") -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _light(df: DataFrame) -> DataFrame:
+    """``df``, which has been written, with a broadcast hint if its summed size is small."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if f.dataType.typeName() in ("string", "array") else F.lit(16) for f in df.schema.fields]
+    size = df.agg(F.sum(sum(sizes, F.lit(48)).cast("long")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """96 bits of a row; rows of equal doc_id and text are equal."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.struct(F.xxhash64("doc_id", text).alias("x"), F.hash(text, F.lit(1), "doc_id").alias("y"))
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item, item_id, words and window length of each different item with words."""
-    return (
-        benchmark.select("item_id", words_of().alias("item_words"))
-        .filter(F.size("item_words") > 0)
-        .distinct()
-        .select(
-            F.xxhash64("item_id", "item_words").alias("item"),
-            "item_id",
-            "item_words",
-            F.least(F.size("item_words"), F.lit(WINDOW_WORDS)).alias("window"),
-        )
-    )
+def _item_words(benchmark: DataFrame) -> DataFrame:
+    """item_id and words of each different item with words."""
+    return benchmark.select("item_id", words_of().alias("item_words")).filter(F.size("item_words") > 0).distinct()
 
 
-def _rarity(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """term, n: how often each test term stands in the training texts."""
-    vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
-    counts = docs.select(F.explode(words_of()).alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return vocabulary.join(counts, "term", "left").fillna(0, "n")
+def _windows(items: DataFrame) -> DataFrame:
+    """item_id and phrase, the words of a window joined by spaces, once for each item."""
+    n = F.size("item_words")
+    width = F.least(n, F.lit(WINDOW_WORDS))
+    phrases = F.transform(F.sequence(F.lit(1), n - width + 1), lambda at: F.array_join(F.slice("item_words", at, width), " "))
+    return items.select("item_id", F.explode(F.array_distinct(phrases)).alias("phrase"))
 
 
-def _anchors(items: DataFrame, rarity: DataFrame, per_window: int = ANCHORS) -> DataFrame:
-    """term, item, at, needed: the positions of each item that are among the rarest of some window."""
-    placed = items.select("item", "window", F.size("item_words").alias("n_words"), F.posexplode("item_words").alias("at", "term")).join(rarity, "term")
-    covered = placed.select(
-        "*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("window") + 1), F.least("at", F.col("n_words") - F.col("window")))).alias("start")
-    )
-    rank = F.row_number().over(Window.partitionBy("item", "start").orderBy("n", "term", "at"))
-    return covered.withColumn("rank", rank).filter(F.col("rank") <= per_window).select("term", "item", "at", F.least("window", F.lit(per_window)).alias("needed")).distinct()
+def _rarity(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each test term stands in the training texts."""
+    counts = docs.select(F.explode(words_of()).alias("term")).join(_light(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return terms.join(counts, "term", "left").fillna(0, "n")
 
 
-def alignments(docs: DataFrame, items: DataFrame, anchors: DataFrame) -> DataFrame:
-    """row, item, shift: where both anchors of some window of the item may stand."""
-    postings = docs.select(_row_key().alias("row"), F.posexplode(words_of()).alias("pos", "term"))
-    return (
-        postings.join(_small(anchors), "term")
-        .groupBy("row", "item", (F.col("pos") - F.col("at")).alias("shift"))
-        .agg(F.count_distinct("at").alias("hits"), F.first("needed").alias("needed"))
-        .filter(F.col("hits") >= F.col("needed"))
-        .select("row", "item", "shift")
+def _anchors(phrases: DataFrame, rarity: DataFrame) -> DataFrame:
+    """a, b, gap, at, width: the two rarest words of a window in its order, how far apart, where the first stands.
+
+    A window of one word has itself twice, with gap 0.
+    """
+    placed = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("at", "term")).join(rarity, "term")
+    two = F.array_sort(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "at"))), 1, 2), lambda t: F.struct(t["at"].alias("at"), t["term"].alias("term"))))
+    first, last = F.col("two")[0], F.element_at("two", -1)
+    made = placed.groupBy("phrase").agg(two.alias("two"), F.count("*").cast("int").alias("width"))
+    return made.select(first["term"].alias("a"), last["term"].alias("b"), (last["at"] - first["at"]).alias("gap"), first["at"].alias("at"), "width").distinct()
+
+
+def places(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """row, places: for each row the different (start, width) at which the anchors of some window stand."""
+    terms = cut_lineage(anchors.select(F.explode(F.array("a", "b")).alias("term")).distinct())
+    postings = docs.select(_row_key().alias("row"), F.posexplode(words_of()).alias("pos", "term")).join(_light(terms), "term")
+    # gathered as a set, so that many copies of one row are one before they are shuffled
+    listed = postings.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", F.xxhash64("term").alias("term")))).alias("list"))
+    following = lambda x, i: F.filter(F.slice("list", i + 1, WINDOW_WORDS), lambda y: y["pos"] - x["pos"] < WINDOW_WORDS)
+    pairs = F.flatten(
+        F.transform("list", lambda x, i: F.transform(following(x, i), lambda y: F.struct(x["term"].alias("a"), y["term"].alias("b"), (y["pos"] - x["pos"]).alias("gap"), x["pos"].alias("pos"))))
     )
+    pairs = listed.select("row", F.explode(pairs).alias("p")).select("row", "p.*")
+    hashed = cut_lineage(anchors.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "gap", "at", "width").distinct())
+    found = pairs.join(_light(hashed), ["a", "b", "gap"]).select("row", F.struct((F.col("pos") - F.col("at")).alias("start"), "width").alias("place"))
+    return found.filter(F.col("place.start") >= 0).groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their words, the items found and the positions hit.
+def exact_matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows``: row, doc_id, n_words of every row; ``matches``: row, start, width, item_id of the windows that stand in a row.
 
-    Adds n_words, found (array of item_id, hits) to the columns of ``docs``.
+    Both are written; equal rows share their matches.
     """
-    items = cut_lineage(_items(benchmark))
-    anchors = cut_lineage(_anchors(items, _rarity(docs, items)))
-    candidates = (
-        alignments(docs, items, anchors)
-        .join(_small(items), "item")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "window")).alias("__candidates"))
-    )
-    candidates = cut_lineage(candidates)
-    weight = F.lit(64) + F.aggregate("__candidates", F.lit(0), lambda total, c: total + 48 + 16 * F.size(c["item_words"]))
-    light = (candidates.agg(F.sum(weight).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES
-
-    def starts(words: Column, c: Column) -> Column:
-        """Where in the item a window begins that stands in the text."""
-        n = F.size(c["item_words"])
-        same = F.transform(c["item_words"], lambda w, i: F.coalesce(F.get(words, c["shift"] + i) == w, F.lit(False)))
-        run = F.aggregate(
-            same,
-            F.array().cast("array<int>"),
-            lambda runs, x: F.concat(runs, F.array(F.when(x, F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), runs), -1), F.lit(0)) + 1).otherwise(0))),
-        )
-        return F.filter(F.transform(run, lambda r, i: F.when((r >= c["window"]) & (i < n), i - c["window"] + 1)), lambda s: s.isNotNull())
-
-    row = "__row"
-    candidates = candidates.withColumnRenamed("row", row)
-    joined = docs.withColumn(row, _row_key()).join(F.broadcast(candidates) if light else candidates, row, "left").withColumn("__words", words_of())
-    found = F.filter(
-        F.transform(
-            F.coalesce("__candidates", F.array()),
-            lambda c: F.struct(
-                c["item_id"].alias("item_id"),
-                F.flatten(F.transform(starts(F.col("__words"), c), lambda s: F.sequence(c["shift"] + s, c["shift"] + s + c["window"] - 1))).alias("hits"),
-            ),
-        ),
-        lambda f: F.size(f["hits"]) > 0,
+    windows = cut_lineage(_windows(_item_words(benchmark)))
+    phrases = cut_lineage(windows.select("phrase").distinct())
+    terms = cut_lineage(phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct())
+    anchors = cut_lineage(_anchors(phrases, _rarity(docs, terms)))
+    asked = cut_lineage(places(docs, anchors))
+    joined = docs.select("doc_id", "text", _row_key().alias("row")).join(_light(asked), "row", "left").select("row", "doc_id", "places", words_of().alias("words"))
+    n = F.size("words")
+    held = F.transform(
+        F.filter("places", lambda p: p["start"] + p["width"] <= n),
+        lambda p: F.struct(p["start"].alias("start"), p["width"].alias("width"), F.array_join(F.slice("words", p["start"] + 1, p["width"]), " ").alias("phrase")),
     )
-    found = F.when(F.col("__candidates").isNull(), F.lit(None)).otherwise(found)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("__words").cast("long").alias("n_words"), found.alias("found"))
+    rows = cut_lineage(joined.select("row", "doc_id", n.cast("long").alias("n_words"), held.alias("held")))
+    spread = rows.filter(F.size("held") > 0).dropDuplicates(["row"]).select("row", F.explode("held").alias("h")).select("row", "h.*")
+    matches = cut_lineage(spread.join(_light(windows), "phrase").select("row", "start", "width", "item_id"))
+    return rows.drop("held"), matches
+
+
+def _covered(stretches: Column) -> Column:
+    """How many positions a sorted array of (start, width) covers."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(state: Column, s: Column) -> Column:
+        end = s["start"] + s["width"]
+        new = F.greatest(end - F.greatest(s["start"], state["end"]), F.lit(0))
+        return F.struct(F.greatest(state["end"], end).alias("end"), (state["n"] + new).alias("n"))
+
+    return F.aggregate(stretches, zero, step, lambda state: state["n"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    ids = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"].cast("string"))))
-    hit = F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("found", lambda f: f["hits"])))).cast("long"), F.lit(0).cast("long"))
-    rows = exact_matches(docs.select("doc_id", "text"), benchmark)
-    return rows.select(
+    rows, matches = exact_matches(docs.select("doc_id", "text"), benchmark)
+    ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
+    found = matches.groupBy("row").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "width")))).alias("n_hit"), ids.alias("ids"))
+    found = cut_lineage(found.select("row", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return rows.join(_light(found), "row", "left").select(
         "doc_id",
         "n_words",
-        F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(hit).alias("n_hit"),
-        F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(F.size(ids).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        F.coalesce(F.size("found") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", none).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
+    _, matches = exact_matches(docs.select("doc_id", "text"), benchmark)
+    leaks = cut_lineage(matches.select(F.col("row.x").alias("x"), F.col("row.y").alias("y")).distinct())
     # all columns ride in one struct, so that none can clash
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text")
-    rows = exact_matches(whole, benchmark)
-    return rows.filter(F.col("found").isNull() | (F.size("found") == 0)).select("__doc.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row_key().alias("row")).select("doc", "row.x", "row.y")
+    return whole.join(_light(leaks), ["x", "y"], "left_anti").select("doc.*")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, span: int = 20) -> DataFrame:
     """doc_id, item_id, at: positions where the ``terms`` rarest different terms of an item end within ``span`` words."""
-    items = _items(benchmark)
-    rarity = _rarity(docs, items)
+    items = cut_lineage(_item_words(benchmark).select(F.xxhash64("item_id", "item_words").alias("item"), "item_id", "item_words"))
+    rarity = cut_lineage(_rarity(docs, cut_lineage(items.select(F.explode("item_words").alias("term")).distinct())))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))
     rare = (
         items.select("item", "item_id", F.explode(F.array_distinct("item_words")).alias("term"))
@@ -172,13 +170,14 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, spa
         .filter(F.col("rank") <= terms)
         .select("item", "item_id", "term", "rank")
     )
-    needed = rare.groupBy("item").agg(F.max("rank").alias("needed"))
+    rare = cut_lineage(rare)
+    needed = cut_lineage(rare.groupBy("item").agg(F.max("rank").alias("needed")))
     postings = docs.select(_row_key().alias("row"), "doc_id", F.posexplode(words_of()).alias("pos", "term"))
     near = Window.partitionBy("row", "item").orderBy("pos").rangeBetween(-(span - 1), 0)
     return (
-        postings.join(_small(rare), "term")
+        postings.join(_light(rare), "term")
         .withColumn("seen", F.size(F.collect_set("term").over(near)))
-        .join(needed, "item")
+        .join(_light(needed), "item")
         .filter(F.col("seen") == F.col("needed"))
         .select("doc_id", "item_id", F.col("pos").alias("at"))
     )

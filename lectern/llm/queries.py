@@ -51,6 +51,10 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_mincut_html": op2_mincut_html,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grammar_toxicity": op8_grammar_toxicity,
     "op9_boosted_url_filter": op9_boosted_url_filter,
     "op10_positional_decontamination": op10_positional_decontamination,
+    "proximity_matches": proximity_matches,
 }
 
 #: What DuckDB can say: exact window matches by joining windows as text, with no index.
@@ -92,4 +97,25 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "proximity_matches": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), b AS (
+          SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), postings AS (
+          SELECT r, doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS term FROM d
+        ), terms AS (SELECT item_id, ws, unnest(list_distinct(ws)) AS term FROM b),
+        counts AS (SELECT t.term, count(p.pos) AS n FROM (SELECT DISTINCT term FROM terms) t LEFT JOIN postings p ON p.term = t.term GROUP BY t.term),
+        rare AS (
+          SELECT item_id, ws, term FROM terms JOIN counts USING (term) QUALIFY row_number() OVER (PARTITION BY item_id, ws ORDER BY n, term) <= 4
+        ), need AS (SELECT item_id, ws, count(*) AS needed FROM rare GROUP BY item_id, ws),
+        near AS (
+          SELECT doc_id, item_id, ws, pos,
+                 len(list_distinct(list(term) OVER (PARTITION BY r, item_id, ws ORDER BY pos RANGE BETWEEN 19 PRECEDING AND CURRENT ROW))) AS seen
+          FROM postings JOIN rare USING (term)
+        )
+        SELECT doc_id, item_id, cast(pos AS integer) AS "at" FROM near JOIN need USING (item_id, ws) WHERE seen = needed
+    """,
 }

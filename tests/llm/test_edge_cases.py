@@ -56,7 +56,7 @@ def test_odd_rows(spark, folders, name):
     if name.startswith("op6_"):
         ids = {r.doc_id for r in found["odd"]}
         assert ids == {r[0] for r in ROWS}
-    else:
+    elif name != "proximity_matches":  # which has a row for each match
         assert len(found["odd"]) == (6 if pages else len(ROWS))
     plain = lambda rows: sorted(map(repr, rows))
     if not name.startswith("op6_"):

@@ -619,14 +619,30 @@ def test_one_label_or_none(spark):
 # 10. benchmark leaks
 
 
-def test_leaks_equal_sql(spark):
+@pytest.mark.parametrize("name", ["op10_positional_decontamination", "proximity_matches"])
+def test_leaks_equal_sql(spark, name):
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
-        con.sql(f"CREATE VIEW {name} AS FROM '{SMALL}/{name}.parquet'")
-    twin = con.sql(queries.ORACLE_SQL["op10_positional_decontamination"])
-    rows = queries.op10_positional_decontamination(spark, SMALL)
+    for source in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {source} AS FROM '{SMALL}/{source}.parquet'")
+    twin = con.sql(queries.ORACLE_SQL[name])
+    rows = queries.QUERIES[name](spark, SMALL)
     assert sorted(twin.columns) == sorted(rows.columns)
-    assert sorted(map(tuple, rows.select(*twin.columns).collect())) == sorted(twin.fetchall())
+    found = sorted(map(tuple, rows.select(*twin.columns).collect()))
+    assert found and found == sorted(twin.fetchall())
+
+
+def test_long_items_of_few_words(spark):
+    """An item of 20,000 words over 500 different ones, four copies of it, and rows that are repeated."""
+    rng = random.Random(11)
+    item = " ".join(f"w{rng.randrange(500)}" for _ in range(20_000))
+    docs = [(i, "before " + item) for i in range(4)] + [(3, "before " + item)] * 3 + [(9, " ".join(f"w{rng.randrange(500)}" for _ in range(20_000))), (None, "w1 w2"), (None, None)]
+    spark_docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "w7"), (3, "nowhere"), (4, "")], "item_id long, text string")
+    found = sorted(map(tuple, decontamination.contamination(spark_docs, items).select("n_words", "n_hit", "n_items").collect()))
+    alone = sum(w == "w7" for w in docs[-3][1].split())
+    assert found == sorted([(20_001, 20_000, 2)] * 7 + [(20_000, alone, 1), (2, 0, 0), (0, 0, 0)])
+    kept = decontamination.drop_contaminated(spark_docs.withColumn("x", F.lit(1)).withColumn("row", F.lit(2)), items)
+    assert kept.columns == ["doc_id", "text", "x", "row"] and sorted(r.text or "" for r in kept.collect()) == ["", "w1 w2"]
 
 
 def test_leaks_equal_plain_search(spark):
