@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,23 +32,43 @@ def drawn(hashed: Column, share: float) -> Column:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) a temporary one is made.
+    Only where that is unset and the master is local (tests) a temporary one is made.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+#: The paths written in each open ``scratch``, innermost last.
+_written: list[list[str]] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table into the checkpoint folder, where its columns stay compressed."""
-    path = f"{checkpoint_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """``df`` written as a table into the checkpoint folder and read from there.
+
+    Inside ``scratch`` the table goes when that ends, a ``lasting`` one when the one around it does.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    depth = len(_written) - 1 - lasting
+    if depth >= 0:
+        _written[depth].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stored inside it; nothing that reads them may be run later."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        configuration = spark._jsc.hadoopConfiguration()
+        for path in _written.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)

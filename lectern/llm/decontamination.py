@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage
+from .common import stored
 
 WINDOW_WORDS = 10
 BROADCAST_BYTES = 16_000_000
@@ -84,7 +84,7 @@ def _anchors(phrases: DataFrame, rarity: DataFrame) -> DataFrame:
 
 def places(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """row, places: for each row the different (start, width) at which the anchors of some window stand."""
-    terms = cut_lineage(anchors.select(F.explode(F.array("a", "b")).alias("term")).distinct())
+    terms = stored(anchors.select(F.explode(F.array("a", "b")).alias("term")).distinct())
     postings = docs.select(_row_key().alias("row"), F.posexplode(words_of()).alias("pos", "term")).join(_light(terms), "term")
     # gathered as a set, so that many copies of one row are one before they are shuffled
     listed = postings.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", F.xxhash64("term").alias("term")))).alias("list"))
@@ -93,7 +93,7 @@ def places(docs: DataFrame, anchors: DataFrame) -> DataFrame:
         F.transform("list", lambda x, i: F.transform(following(x, i), lambda y: F.struct(x["term"].alias("a"), y["term"].alias("b"), (y["pos"] - x["pos"]).alias("gap"), x["pos"].alias("pos"))))
     )
     pairs = listed.select("row", F.explode(pairs).alias("p")).select("row", "p.*")
-    hashed = cut_lineage(anchors.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "gap", "at", "width").distinct())
+    hashed = stored(anchors.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "gap", "at", "width").distinct())
     found = pairs.join(_light(hashed), ["a", "b", "gap"]).select("row", F.struct((F.col("pos") - F.col("at")).alias("start"), "width").alias("place"))
     return found.filter(F.col("place.start") >= 0).groupBy("row").agg(F.collect_set("place").alias("places"))
 
@@ -103,20 +103,20 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
 
     Both are written; equal rows share their matches.
     """
-    windows = cut_lineage(_windows(_item_words(benchmark)))
-    phrases = cut_lineage(windows.select("phrase").distinct())
-    terms = cut_lineage(phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct())
-    anchors = cut_lineage(_anchors(phrases, _rarity(docs, terms)))
-    asked = cut_lineage(places(docs, anchors))
+    windows = stored(_windows(_item_words(benchmark)))
+    phrases = stored(windows.select("phrase").distinct())
+    terms = stored(phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct())
+    anchors = stored(_anchors(phrases, _rarity(docs, terms)))
+    asked = stored(places(docs, anchors))
     joined = docs.select("doc_id", "text", _row_key().alias("row")).join(_light(asked), "row", "left").select("row", "doc_id", "places", words_of().alias("words"))
     n = F.size("words")
     held = F.transform(
         F.filter("places", lambda p: p["start"] + p["width"] <= n),
         lambda p: F.struct(p["start"].alias("start"), p["width"].alias("width"), F.array_join(F.slice("words", p["start"] + 1, p["width"]), " ").alias("phrase")),
     )
-    rows = cut_lineage(joined.select("row", "doc_id", n.cast("long").alias("n_words"), held.alias("held")))
+    rows = stored(joined.select("row", "doc_id", n.cast("long").alias("n_words"), held.alias("held")))
     spread = rows.filter(F.size("held") > 0).dropDuplicates(["row"]).select("row", F.explode("held").alias("h")).select("row", "h.*")
-    matches = cut_lineage(spread.join(_light(windows), "phrase").select("row", "start", "width", "item_id"))
+    matches = stored(spread.join(_light(windows), "phrase").select("row", "start", "width", "item_id"))
     return rows.drop("held"), matches
 
 
@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, matches = exact_matches(docs.select("doc_id", "text"), benchmark)
     ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
     found = matches.groupBy("row").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "width")))).alias("n_hit"), ids.alias("ids"))
-    found = cut_lineage(found.select("row", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
+    found = stored(found.select("row", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
     none = F.sha2(F.lit("").cast("binary"), 256)
     return rows.join(_light(found), "row", "left").select(
         "doc_id",
@@ -152,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
     _, matches = exact_matches(docs.select("doc_id", "text"), benchmark)
-    leaks = cut_lineage(matches.select(F.col("row.x").alias("x"), F.col("row.y").alias("y")).distinct())
+    leaks = stored(matches.select(F.col("row.x").alias("x"), F.col("row.y").alias("y")).distinct())
     # all columns ride in one struct, so that none can clash
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row_key().alias("row")).select("doc", "row.x", "row.y")
     return whole.join(_light(leaks), ["x", "y"], "left_anti").select("doc.*")
@@ -160,8 +160,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, span: int = 20) -> DataFrame:
     """doc_id, item_id, at: positions where the ``terms`` rarest different terms of an item end within ``span`` words."""
-    items = cut_lineage(_item_words(benchmark).select(F.xxhash64("item_id", "item_words").alias("item"), "item_id", "item_words"))
-    rarity = cut_lineage(_rarity(docs, cut_lineage(items.select(F.explode("item_words").alias("term")).distinct())))
+    items = stored(_item_words(benchmark).select(F.xxhash64("item_id", "item_words").alias("item"), "item_id", "item_words"))
+    rarity = stored(_rarity(docs, stored(items.select(F.explode("item_words").alias("term")).distinct())))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))
     rare = (
         items.select("item", "item_id", F.explode(F.array_distinct("item_words")).alias("term"))
@@ -170,8 +170,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 4, spa
         .filter(F.col("rank") <= terms)
         .select("item", "item_id", "term", "rank")
     )
-    rare = cut_lineage(rare)
-    needed = cut_lineage(rare.groupBy("item").agg(F.max("rank").alias("needed")))
+    rare = stored(rare)
+    needed = stored(rare.groupBy("item").agg(F.max("rank").alias("needed")))
     postings = docs.select(_row_key().alias("row"), "doc_id", F.posexplode(words_of()).alias("pos", "term"))
     near = Window.partitionBy("row", "item").orderBy("pos").rangeBetween(-(span - 1), 0)
     return (

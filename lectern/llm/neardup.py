@@ -21,8 +21,9 @@ Pairs whose lengths or parity bitmaps exclude the threshold are left out, which
 texts differ in no more bits than their k-mers differ, and that is at most ``(n + m) / 9``.
 Classes are the connected components of the verified links, found by minimum labels with pointer jumping.
 
-Equal texts are one node from the start; copies are never expanded. Texts enter only for candidates, joined by
-id; links and classes stay distributed.
+Equal texts, known by 128 bits, are one node from the start; copies are never expanded. Texts enter only for
+candidates: each once with all its pivots where the pivots' texts are few enough to broadcast, else once a pair.
+Links and classes stay distributed.
 
 Defined results: equal texts are always one class, also null (an empty text) and texts without a word, which
 have no other link; a class is named by its least doc_id, null where none is known; repeated rows get the
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, stored
+from .common import scratch, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,8 +50,12 @@ ROUNDS = 3
 SHORT = 10
 #: A table of keys is broadcast up to so many rows of two or three numbers; beyond, Spark shuffles.
 BROADCAST_ROWS = 50_000
+#: Texts of pivots are broadcast up to so many bytes.
+BROADCAST_BYTES = 32_000_000
 #: Bits of the parity bitmap of a text's k-mers.
 PARITY_BITS = 2048
+#: K-mers of pivots that a worker keeps.
+KEPT_KMERS = 4_000_000
 #: A bucket is dealt to one more task for each so many members.
 DEALT_ROWS = 500
 
@@ -189,17 +194,16 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2)
+        texts = batch.column(3)
         for a in range(0, len(texts), 2048):
             made = [kmers(t.as_py()) for t in texts[a : a + 2048]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0)[a : a + 2048],
-                    batch.column(1)[a : a + 2048],
+                    *(batch.column(c)[a : a + 2048] for c in range(3)),
                     pa.array([len(k) for k in made], pa.int32()),
                     pa.array([np.concatenate([order_minhash(k), short_buckets(k)]) for k in made], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n", "sketches"],
+                names=["doc_id", "x", "y", "n", "sketches"],
             )
 
 
@@ -212,18 +216,30 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pivot, pivot_kmers = None, None
+    member, member_kmers = None, None
+    pivots: dict[int, np.ndarray] = {}
+    held = 0
     for batch in batches:
         linked = []
-        for key, text, other in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if key != pivot:
-                pivot, pivot_kmers = key, kmers(other.as_py())
-            linked.append(aligned_similarity(kmers(text.as_py()), pivot_kmers) >= SIMILARITY)
+        for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if a != member:
+                member, member_kmers = a, kmers(text_a.as_py())
+            pivot_kmers = pivots.get(b)
+            if pivot_kmers is None:
+                pivot_kmers = kmers(text_b.as_py())
+                if held > KEPT_KMERS:
+                    pivots.clear()
+                    held = 0
+                pivots[b] = pivot_kmers
+                held += len(pivot_kmers) + 64
+            linked.append(aligned_similarity(member_kmers, pivot_kmers) >= SIMILARITY)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _identity() -> tuple[Column, Column]:
+    """128 bits of a text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def _light(df: DataFrame, rows: int) -> DataFrame:
@@ -264,21 +280,25 @@ def _open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, n_label
     mixed = held.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("classes"))
     mixed = mixed.filter("classes > 1 AND size > 2").select("bucket", "main", F.expr(f"int(1 + size div {DEALT_ROWS})").alias("parts"))
     # written, so that hot buckets are skewed joins that Spark can split
-    mixed = cut_lineage(placed.join(mixed, "bucket"))
+    mixed = stored(placed.join(mixed, "bucket"))
     asked = texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", "text")
     bits = asked.mapInArrow(_parities, "key long, " + ", ".join(f"{w} long" for w in words)).dropDuplicates(["key"])
+    mixed = stored(mixed.join(bits, "key").select("bucket", "key", "n", "label", "main", "parts", *words))
     # never null, which keeps the generated code of the comparison short
-    mixed = cut_lineage(mixed.join(bits, "key").select("bucket", "key", "n", "label", "main", "parts", *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in words]))
+    known = {"key": "long", "n": "int", "label": "long", "main": "long", **dict.fromkeys(words, "long")}
+    mixed = mixed.select("bucket", "parts", *[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in known.items()])
     part = F.pmod("key", "parts").cast("int").alias("part")
     theirs = mixed.select("bucket", part, F.col("key").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), *[F.col(w).alias(f"{w}_b") for w in words])
     mine = mixed.filter("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("a"), "label", "main", "n", *words)
     differ = F.expr(" + ".join(f"bit_count({w} ^ {w}_b)" for w in words))
     fits = (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")) & (differ * (1 + SIMILARITY) <= (F.col("n") + F.col("m")) * (1 - SIMILARITY) + 1e-6)
     once = (F.col("label_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    # small in bytes and heavy in pairs, so the number of tasks goes by the rows
+    theirs = theirs.repartition(1 + mixed.count() // DEALT_ROWS, "bucket", "part")
     pairs = mine.join(theirs, ["bucket", "part"]).filter((F.col("label") != F.col("label_b")) & once & fits)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(_light(known, n_tried), ["a", "b"], "left_anti")
+    before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(_light(before, n_tried), ["a", "b"], "left_anti")
 
 
 def _joined(labels: DataFrame, n_labels: int, late: DataFrame, n_late: int) -> DataFrame:
@@ -300,7 +320,7 @@ def _joined(labels: DataFrame, n_labels: int, late: DataFrame, n_late: int) -> D
                 up[b] = a
         over = labels.sparkSession.createDataFrame([(x, top(x)) for x in {*label.values()}], "label long, least long")
     else:
-        named = cut_lineage(ends.join(known, "key", "left").select("key", F.coalesce("label", "key").alias("label")))
+        named = stored(ends.join(known, "key", "left").select("key", F.coalesce("label", "key").alias("label")))
         joined = late
         for end in ("a", "b"):
             joined = joined.join(named.withColumnsRenamed({"key": end, "label": f"label_{end}"}), end)
@@ -308,38 +328,50 @@ def _joined(labels: DataFrame, n_labels: int, late: DataFrame, n_late: int) -> D
         over = over.select(F.col("key").alias("label"), F.col("label").alias("least"))
     new = ends.join(_light(labels.select("key"), n_labels), "key", "left_anti").select("key", F.col("key").alias("label"))
     moved = labels.unionByName(new).join(_light(over, 2 * n_late), "label", "left")
-    return cut_lineage(moved.select("key", F.coalesce("least", "label").alias("label")))
+    return stored(moved.select("key", F.coalesce("least", "label").alias("label")))
+
+
+def _nodes(sketched: DataFrame) -> DataFrame:
+    """key, x, y, first_doc, n, sketches of the different texts. The key is x, and another hash for all but one of the texts that share an x."""
+    nodes = stored(sketched.groupBy("x", "y").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sketches").alias("sketches")))
+    shared = stored(nodes.groupBy("x").agg(F.min("y").alias("owner"), F.count("*").alias("texts")).filter("texts > 1"))
+    n_shared = shared.count()
+    if not n_shared:
+        return nodes.withColumn("key", F.col("x"))
+    joined = nodes.join(_light(shared, n_shared), "x", "left")
+    return stored(joined.select(F.when(F.col("y") == F.coalesce("owner", "y"), F.col("x")).otherwise(F.xxhash64("y", "x")).alias("key"), "x", "y", "first_doc", "n", "sketches"))
 
 
 def links(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, int, DataFrame]:
-    """The nodes (key, first_doc), the verified links (a, b) between different texts, their number, and the components (key, label).
+    """The nodes (key, x, y, first_doc), the verified links (a, b) between different texts, their number, and the components (key, label).
 
-    ``sketched``: doc_id, key, n, sketches of every row; ``docs``: doc_id, key, text.
+    ``sketched``: doc_id, x, y, n, sketches of every row; ``docs``: doc_id, x, y, text.
     """
-    nodes = sketched.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    nodes = cut_lineage(nodes)
-    placed = nodes.select("key", "first_doc", "n", F.posexplode("sketches").alias("band", "bucket"))
+    nodes = _nodes(sketched)
+    placed = nodes.select("key", "n", F.posexplode("sketches").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut_lineage(placed.join(shared, "bucket"))
-    spread = members.groupBy("key", "first_doc").agg(F.sum("size").alias("spread"))
-    needed = spread.select("key", F.coalesce("first_doc", F.lit(0)).alias("at"), F.col("first_doc").isNull().alias("no_id"))
-    members = cut_lineage(members.join(spread.select("key", "spread"), "key").select("bucket", "band", "key", "n", "spread"))
-    texts = docs.select("key", F.coalesce("doc_id", F.lit(0)).alias("at"), F.col("doc_id").isNull().alias("no_id"), "text")
+    members = stored(placed.join(shared, "bucket"))
+    spread = stored(members.groupBy("key").agg(F.sum("size").alias("spread")))
+    members = stored(members.join(spread, "key").select("bucket", "band", "key", "n", "spread"))
+    needed = nodes.join(spread.select("key"), "key").select("key", "x", "y", F.coalesce("first_doc", F.lit(0)).alias("at"), F.col("first_doc").isNull().alias("no_id"))
+    texts = docs.select("x", "y", F.coalesce("doc_id", F.lit(0)).alias("at"), F.col("doc_id").isNull().alias("no_id"), "text")
     # repeated rows give the same text more than once, which only repeats verdicts
-    texts = stored(texts.join(needed, ["key", "at", "no_id"], "left_semi").select("key", "text"))
+    texts = stored(texts.join(needed, ["x", "y", "at", "no_id"]).select("key", "text"))
 
     def verified(pairs: DataFrame, n_pairs: int) -> DataFrame:
-        asked = (
-            texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-            .join(_light(pairs, n_pairs), "a")
-            .join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-        )
-        return cut_lineage(asked.mapInArrow(_verify, "a long, b long, linked boolean"))
+        pivots = texts.join(_light(pairs.select(F.col("b").alias("key")).distinct(), n_pairs), "key", "left_semi").select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+        pivots = stored(pivots)
+        of_a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+        if (pivots.agg(F.sum(F.octet_length("text_b") + 64).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES:
+            listed = pairs.groupBy("a").agg(F.collect_list("b").alias("bs"))
+            asked = of_a.join(_light(listed, n_pairs), "a").select("a", F.explode("bs").alias("b"), "text_a").join(F.broadcast(pivots), "b")
+        else:
+            asked = of_a.join(_light(pairs, n_pairs), "a").join(pivots, "b")
+        return stored(asked.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean"))
 
     tried, settled, n_tried = None, None, 0
     for turn in range(1 + ROUNDS):
-        pairs = cut_lineage(_candidates(members, tried, settled, n_tried, turn))
+        pairs = stored(_candidates(members, tried, settled, n_tried, turn))
         n_pairs = pairs.count()
         if not n_pairs:
             break
@@ -348,16 +380,16 @@ def links(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, i
         n_tried += n_pairs
         hits = tried.filter("linked")
         settled = hits.select(F.col("a").alias("key")).union(hits.select("b")).union(tried.select("b"))
-    names = nodes.select("key", "first_doc")
+    names = nodes.select("key", "x", "y", "first_doc")
     if tried is None:
         none = docs.sparkSession.createDataFrame([], "a long, b long, key long, label long")
         return names, none.select("a", "b"), 0, none.select("key", "label")
-    found = cut_lineage(tried.filter("linked").select("a", "b").distinct())
+    found = stored(tried.filter("linked").select("a", "b").distinct())
     n_found = found.count()
     labels = components(found, n_found)
-    pairs = cut_lineage(_open_pairs(members, texts, labels, 2 * n_found, tried, n_tried))
+    pairs = stored(_open_pairs(members, texts, labels, 2 * n_found, tried, n_tried))
     n_pairs = pairs.count()
-    late = cut_lineage(verified(pairs, n_pairs).filter("linked").select("a", "b").distinct()) if n_pairs else None
+    late = stored(verified(pairs, n_pairs).filter("linked").select("a", "b").distinct()) if n_pairs else None
     n_late = late.count() if n_pairs else 0
     if n_late:
         labels = _joined(labels, 2 * n_found, late, n_late)
@@ -368,13 +400,13 @@ def links(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, i
 def components(edges: DataFrame, n_edges: int | None = None) -> DataFrame:
     """key, label of every node that an edge touches; the label is the least key of its component."""
     n_nodes = 2 * (edges.count() if n_edges is None else n_edges)
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("label")).select("key", F.least("key", "label").alias("label")))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = stored(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("label")).select("key", F.least("key", "label").alias("label")))
     while n_nodes:
         seen = both.join(_light(labels, n_nodes), both.b == labels.key).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         lower = seen.join(_light(labels, n_nodes), "key").select("key", "label", F.least("label", "near").alias("low"))
         far = labels.select(F.col("key").alias("low"), F.col("label").alias("jump"))
-        after = cut_lineage(lower.join(_light(far, n_nodes), "low").select("key", F.col("label").alias("was"), F.least("low", "jump").alias("label")))
+        after = stored(lower.join(_light(far, n_nodes), "low").select("key", F.col("label").alias("was"), F.least("low", "jump").alias("label")))
         labels = after.select("key", "label")
         if after.filter("was <> label").isEmpty():
             break
@@ -382,47 +414,53 @@ def components(edges: DataFrame, n_edges: int | None = None) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and key of every row, and of every key its label, class_id, same_text_id and n_links.
+    """doc_id, x and y of every row, and of every text x, y, its label, class_id, same_text_id and verified_links.
 
     The label is the class: unlike class_id it is never null and no other class has it.
     """
-    keyed = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = cut_lineage(keyed.mapInArrow(_sketch, "doc_id long, key long, n int, sketches array<long>"))
+    x, y = _identity()
+    keyed = docs.select(F.col("doc_id").cast("long"), x.alias("x"), y.alias("y"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sketched = stored(keyed.mapInArrow(_sketch, "doc_id long, x long, y long, n int, sketches array<long>"), lasting=True)
     nodes, edges, n_edges, labels = links(sketched, keyed)
-    counts = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    linked = cut_lineage(nodes.join(_light(labels.join(counts, "key"), 2 * n_edges), "key"))
+    counts = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("verified_links"))
+    linked = stored(nodes.join(_light(labels.join(counts, "key"), 2 * n_edges), "key"))
     # written, so that a class of many texts is a skewed join that Spark can split
-    first = cut_lineage(linked.groupBy("label").agg(F.min("first_doc").alias("class_id")))
-    classes = linked.join(_light(first, n_edges), "label").select("key", "label", "class_id", "n_links")
+    first = stored(linked.groupBy("label").agg(F.min("first_doc").alias("class_id")))
+    classes = linked.join(_light(first, n_edges), "label").select("key", "label", "class_id", "verified_links")
     own = nodes.join(_light(classes.withColumn("in_class", F.lit(True)), 2 * n_edges), "key", "left").select(
-        "key",
+        "x",
+        "y",
         F.coalesce("label", "key").alias("label"),
         F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_doc")).alias("class_id"),
         F.col("first_doc").alias("same_text_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"),
     )
-    return sketched.select("doc_id", "key"), own
+    return sketched.select("doc_id", "x", "y"), stored(own, lasting=True)
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, same_text_id, n_links of every row.
+    """doc_id, class_id, same_text_id, verified_links of every row.
 
-    class_id is the least doc_id of the class, same_text_id that of the equal texts; n_links counts the
-    verified links of the text to other texts, among the pairs that were compared.
+    class_id is the least doc_id of the class, same_text_id that of the equal texts; verified_links counts the
+    links of the text to other texts among the pairs that were compared, which in a large class are not all.
     """
-    rows, own = _classes(docs)
-    return rows.join(own, "key").select("doc_id", "class_id", "same_text_id", "n_links")
+    with scratch(docs.sparkSession):
+        rows, own = _classes(docs)
+    return rows.join(own, ["x", "y"]).select("doc_id", "class_id", "same_text_id", "verified_links")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Of each class the row of the least doc_id, a null one last; one row where rows are repeated."""
-    rows, own = _classes(docs)
-    first = F.struct(F.col("same_text_id").isNull().alias("no_id"), F.col("same_text_id").alias("doc_id"), "key")
-    chosen = cut_lineage(own.groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.key").alias("__key"), F.col("first.doc_id").alias("__doc_id")))
-    marked = docs.withColumns({"__row_key": _key(), "__row_doc_id": F.col("doc_id").cast("long")})
-    # both, so that the copies of one text do not meet in one task
-    same = (F.col("__row_key") == F.col("__key")) & F.col("__row_doc_id").eqNullSafe(F.col("__doc_id"))
+    with scratch(docs.sparkSession):
+        rows, own = _classes(docs)
+        first = F.struct(F.col("same_text_id").isNull().alias("no_id"), F.col("same_text_id").alias("doc_id"), "x", "y")
+        chosen = own.groupBy("label").agg(F.min(first).alias("first")).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("x", "y", "doc_id")])
+        chosen = stored(chosen, lasting=True)
+        repeated = not rows.groupBy("doc_id", "x", "y").count().filter("count > 1").isEmpty()
+    x, y = _identity()
+    marked = docs.withColumns({"__row_x": x, "__row_y": y, "__row_doc_id": F.col("doc_id").cast("long")})
+    # with the id, so that the copies of one text do not meet in one task
+    same = (F.col("__row_x") == F.col("__x")) & (F.col("__row_y") == F.col("__y")) & F.col("__row_doc_id").eqNullSafe(F.col("__doc_id"))
     kept = marked.join(chosen, same, "left_semi")
-    repeated = rows.groupBy("doc_id", "key").count().filter("count > 1")
-    kept = kept if repeated.isEmpty() else kept.dropDuplicates(["__row_key", "__row_doc_id"])
-    return kept.drop("__row_key", "__row_doc_id")
+    kept = kept.dropDuplicates(["__row_x", "__row_y", "__row_doc_id"]) if repeated else kept
+    return kept.drop("__row_x", "__row_y", "__row_doc_id")

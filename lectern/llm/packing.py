@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import stored
 
 WINDOW = 1024
 OPEN_WINDOWS = 32
@@ -193,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str | None = None, window: i
         import public_tokenizers
 
         tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
-    first = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first_pass(tokenizer_file, window), FIRST_PASS))
+    first = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first_pass(tokenizer_file, window), FIRST_PASS))
     closed = first.filter(~F.col("is_open")).drop("part", "is_open")
     merged = (
         first.filter("is_open")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut_lineage
+from .common import stored
 
 HEAVY_PARTS = 512
 LEVELS, SLOTS = 13, 512
@@ -61,7 +61,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; sizes of shards are near equal."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut_lineage(
+    rows = stored(
         docs.select(
             F.col("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),

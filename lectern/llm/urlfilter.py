@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage, drawn
+from .common import drawn, stored
 
 #: The policy, longest first where two fit.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -131,13 +131,13 @@ def weigh(labelled: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame) -> tuple[object, list[DataFrame]]:
     """The fitted model and the suffix statistics for judging; ``labelled``: url, host, path, label of both kinds."""
-    weighed = cut_lineage(weigh(lexical(labelled)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")))
+    weighed = stored(weigh(lexical(labelled)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")))
     # each row once for every other fold, so that a fold's statistics lack its own hosts
     others = weighed.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).filter("own <> fold")
     rows = _with_rates(weighed, _rates(others, "fold"), "fold")
-    features = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "weight", "features"))
+    features = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "weight", "features"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, weightCol="weight", checkpointInterval=-1).fit(features)
-    return model, [cut_lineage(rate) for rate in _rates(weighed)]
+    return model, [stored(rate) for rate in _rates(weighed)]
 
 
 def judge_urls(pages: DataFrame, rules=RULES, max_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -150,7 +150,7 @@ def judge_urls(pages: DataFrame, rules=RULES, max_rows: int = TRAIN_ROWS) -> Dat
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(counts) == 2:
         share = max_rows / sum(counts.values())
-        sample = cut_lineage(labelled.filter(drawn(F.xxhash64("url"), share)))
+        sample = stored(labelled.filter(drawn(F.xxhash64("url"), share)))
         counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         verdict = F.coalesce("ruled", F.lit("block" if 1.0 in counts else "allow"))

@@ -158,6 +158,29 @@ def test_chain_of_components(spark):
     assert set(found.values()) == {0, 100} and found[20] == 0
 
 
+def test_texts_that_share_64_bits(spark):
+    """Texts of one x are told apart by y, and only one of them keeps x as its key."""
+    rows = [(7, 1, 4, 9), (7, 2, 3, 9), (8, 1, 1, 9), (7, 1, 2, 9), (7, -5, None, 9)]
+    sketched = spark.createDataFrame([(x, y, d, n, [x, y]) for x, y, d, n in rows], "x long, y long, doc_id long, n int, sketches array<long>")
+    found = {(r.x, r.y): (r.key, r.first_doc) for r in neardup._nodes(sketched).collect()}
+    assert set(found) == {(7, 1), (7, 2), (8, 1), (7, -5)} and len({k for k, _ in found.values()}) == 4
+    assert found[7, -5] == (7, None) and found[7, 1][1] == 2 and found[8, 1] == (8, 1)
+
+
+def test_scratch_deletes_what_was_written_in_it(spark):
+    import os
+
+    from lectern.llm.common import scratch, stored
+
+    with scratch(spark):
+        with scratch(spark):
+            short, long = stored(spark.range(5)), stored(spark.range(7), lasting=True)
+            paths = [f.split("file:")[1] for df in (short, long) for f in df.inputFiles()[:1]]
+            assert short.count() == 5
+        assert [os.path.exists(p) for p in paths] == [False, True] and long.count() == 7
+    assert not os.path.exists(paths[1])
+
+
 # 2. html
 
 
