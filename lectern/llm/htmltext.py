@@ -1,27 +1,30 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes a sequence of blocks: runs of text between block-level tags. Inline tags stay inside a block,
-a line break is white space, and nothing of scripts, styles, forms and the page head becomes a block. A
+a line break is white space, and nothing of scripts, styles, form controls and the page head becomes a block. A
 small linear classifier over tags, class and id words, length, link share and punctuation gives each block
 the log odds of being content. These are the capacities of its edges to the two terminals: a content block
 costs its odds to label as boilerplate, and the other way round. Smoothness edges tie each block to the next
 (stronger the closer they stand in the document tree) and to the next block under the same parent. The
 minimum cut, found by augmenting paths, separates content from boilerplate at least cost.
 
-Elements whose kind is certain (menus, footers, sidebars, notices, adverts, reader comments) have a capacity
-that no sum of smoothness edges reaches.
+Class and id words, roles and forms enter as costs. A name whose last word tells of boilerplate (``site-footer``,
+``ad-slot``) costs much, one that only holds such a word (``legal-news``) little. An element of the first kind that
+turns out to wrap the page (it holds ``main``, the only article, or most of the text with the only top heading; a form:
+most of the text) costs nothing. Only menus, footers, sidebars and dialogs by their tags, page headers and what is
+hidden have a capacity that no sum of smoothness edges reaches.
 
 Defined results: null or empty html gives an empty text of 0 characters; a page without an accepted block
-likewise; stray, unclosed and nested tags are read as a browser would close them, as far as blocks go; repeated
-rows are extracted one by one; an empty table gives an empty result; columns other than page_id, url and html
-are ignored.
+likewise; stray, unclosed and nested tags are read as a browser would close them, as far as blocks go, and an
+element whose text would be dropped is read through if it is never closed; repeated rows are extracted one by
+one; an empty table gives an empty result; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +37,7 @@ INLINE = set(
     "sub sup time tt u var wbr".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math textarea select option button form title head audio video canvas noframes map".split())
+RAW = set("script style noscript template iframe object svg math textarea select option button title head audio video canvas noframes map".split())
 OPAQUE = set("script style textarea title iframe noframes".split())
 #: What may stand in a page's head; any other opened tag ends it.
 IN_HEAD = set("html head title meta link script style base basefont bgsound noscript noframes template".split())
@@ -43,16 +46,24 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = {"p"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": set(), "tbody": {"thead", "tbody", "tr", "td", "th"}}
 LIST_ROOTS = set("ul ol dl table".split())
+#: What a button or a list of options cannot hold; a tag of these ends it.
+SHORT = set("select option button".split())
 HARD_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets comment comments reply replies respond disqus cookie cookies consent gdpr notice notices notification "
     "alert disclaimer share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar masthead topbar "
-    "skip search copyright legal paywall".split()
+    "skip search copyright legal paywall teaser teasers".split()
 )
+#: Words that say nothing of the kind of an element.
+PLAIN_WORDS = set(
+    "wrap wrapper container outer inner area box block slot list item items section group left right top bottom primary secondary col column row grid bar panel button buttons "
+    "link links icon icons unit holder zone region module media form field id js the of and".split()
+)
+#: With these before them, words for texts mean the texts of other pages.
+OTHERS = set("related recommended sponsored promoted".split())
+TEXTS = set("posts articles stories links content items news reading videos entries".split())
 #: Words that make a class tell of the page around, as in ``with-sidebar``.
 AROUND = set("has with no without layout columns open closed".split())
-#: An article of these kinds is none of the page's own.
-FOREIGN = set("comment comments reply replies ad ads advert sponsored promo promoted related recommended widget teaser".split())
 HARD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_WORDS = set("article content main post entry story body text maincontent articlebody postbody entrycontent".split())
 
@@ -65,44 +76,94 @@ PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 CERTAIN = 1000.0
+MUCH, LITTLE, GOOD = -8.0, -1.0, 4.5
 NEAR, FAR, SIBLING = 1.2, 0.35, 0.5
+#: How far up an element is looked for that a tag closes.
+UPWARDS = 64
+
+
+def name_kind(name: str) -> str:
+    """What a class or id says: ``boiler``, ``perhaps`` (holds a word of boilerplate), ``header``, ``good`` or nothing."""
+    words = [w.lower() for w in PIECES.findall(name)]
+    if not words or AROUND.intersection(words):
+        return ""
+    telling = [w for w in words if w not in PLAIN_WORDS]
+    hard = HARD_WORDS.intersection(telling)
+    if hard:
+        # a container of several kinds, as in content-sidebar-wrap, is none of them
+        mixed = len(telling) < len(words) and len(hard) < len(telling) and words[-1] in PLAIN_WORDS
+        of_others = len(telling) > 1 and telling[0] in OTHERS and telling[-1] in TEXTS
+        return "boiler" if (telling[-1] in HARD_WORDS and not mixed) or of_others or len(hard) == len(telling) else "perhaps"
+    if telling and telling[-1] == "header":
+        return "header"
+    return "good" if GOOD_WORDS.intersection(words) else ""
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "verdict", "good")
+    """An element with what its own tag and attributes say; ``state`` adds what the elements around it say."""
+
+    __slots__ = ("tag", "parent", "depth", "certain", "boiler", "perhaps", "header", "good", "wraps", "known", "n_chars", "holder", "sealed")
 
     def __init__(self, tag: str, parent: Element | None, marks: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        inside = parent.good if parent else False
-        self.verdict = parent.verdict if parent else 0  # -1: certainly no content, by this element or one around it
-        self.good = inside or tag in ("article", "main")
-        if tag in BOILER or tag == "header" and not inside:
-            self.verdict = -1
+        self.certain = tag in BOILER
+        self.boiler = tag == "form"
+        self.header = tag == "header"
+        self.good = tag in ("article", "main")
+        self.perhaps = self.wraps = False
+        self.known = None
+        self.n_chars = 0
         if marks and tag not in ("html", "body"):
             self._read(marks)
+        #: The nearest element, from itself on, that looks like boilerplate, and whether one around it is so for certain.
+        self.holder = self if self.boiler else parent.holder if parent else None
+        self.sealed = self.certain or bool(parent and parent.sealed)
+
+    def holders(self) -> Iterator[Element]:
+        node = self.holder
+        for _ in range(UPWARDS):
+            if node is None:
+                return
+            yield node
+            node = node.parent.holder if node.parent else None
 
     def _read(self, marks: str) -> None:
         for name, value in MARKS.findall(marks):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                for part in value.split():
-                    words = {w.lower() for w in PIECES.findall(part)}
-                    if words & AROUND:
-                        continue
-                    if words & GOOD_WORDS and not words & HARD_WORDS:
-                        self.good = True
-                    elif words & (FOREIGN if self.tag in ("article", "main") else HARD_WORDS) or "header" in words and not self.good:
-                        self.verdict = -1
+                kinds = {name_kind(part) for part in value.split()}
+                self.boiler = self.boiler or "boiler" in kinds
+                self.perhaps = self.perhaps or "perhaps" in kinds
+                self.header = self.header or "header" in kinds
+                self.good = self.good or "good" in kinds
             elif name == "role":
-                if value.lower() in HARD_ROLES:
-                    self.verdict = -1
-                elif value.lower() in ("main", "article"):
-                    self.good = True
+                self.boiler = self.boiler or value.lower() in HARD_ROLES
+                self.good = self.good or value.lower() in ("main", "article")
             elif name == "itemprop":
                 self.good = self.good or value.lower() == "articlebody"
             elif name == "hidden" and "until" not in value or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-                self.verdict = -1
+                self.certain = True
+
+    def state(self) -> tuple[bool, float, bool]:
+        """(certainly boilerplate, cost, inside something good)."""
+        chain, node = [], self
+        while node is not None and node.known is None:
+            chain.append(node)
+            node = node.parent
+        certain, cost, good = node.known if node is not None else (False, 0.0, False)
+        for node in reversed(chain):
+            if node.certain or node.header and not good and not node.wraps:
+                certain = True
+            elif node.boiler and not node.wraps:
+                cost, good = MUCH, False
+            elif cost > MUCH:
+                if node.good:
+                    good, cost = True, 0.0
+                elif node.perhaps:
+                    cost = LITTLE
+            node.known = (certain, cost, good)
+        return certain, cost, good
 
 
 class Block:
@@ -113,7 +174,8 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, each with its innermost block-level element."""
+    """The text blocks of a page in order, each with its innermost block-level element, whose wrappers are marked."""
+    heads: list[Element] = []
     top = Element("", None, "")
     pieces: list[str] = []
     blocks: list[Block] = []
@@ -121,6 +183,9 @@ def blocks_of(page: str) -> list[Block]:
     muted: list[str] = []  # open elements whose text is dropped
     end = 0
     page_length = len(page)
+    lower = page.lower() if len(page.lower()) == page_length else page
+    last_end: dict[str, int] = {}  # of each dropped kind of element, where its last closing tag stands
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def flush() -> None:
         nonlocal linked
@@ -131,9 +196,10 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             linked = 0
 
-    scan = TAG.finditer(page)
+    # no tag ends after the last ">", and only up to it a search for one cannot fail from every "<" anew
+    last = page.rfind(">") + 1
     skip_to = 0
-    for match in scan:
+    for match in TAG.finditer(page, 0, last):
         start = match.start()
         if start < skip_to:
             continue
@@ -143,6 +209,9 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(part)
         end = match.end()
+        if end == last and match.group().startswith(("<!--", "<![CDATA[")) and not match.group().endswith(("-->", "]]>")):
+            end = skip_to = page_length
+            break
         closing, tag, marks = match.group(1), match.group(2), match.group(3)
         if tag is None:
             closing, tag, marks = match.group(4), match.group(5), match.group(6)
@@ -151,12 +220,14 @@ def blocks_of(page: str) -> list[Block]:
         tag = tag.lower()
         if muted == ["head"] and not closing and tag not in IN_HEAD:
             muted.clear()
+        while muted and muted[-1] in SHORT and tag not in SHORT and tag not in INLINE and tag not in VOID:
+            muted.pop()
         if tag in RAW:
             if closing:
                 if tag in muted:
                     while muted.pop() != tag:
                         pass
-                if tag in ("form", "button") and not muted:
+                if tag == "button" and not muted:
                     flush()
                 continue
             if marks.endswith("/") and tag in ("svg", "iframe", "object"):
@@ -166,7 +237,10 @@ def blocks_of(page: str) -> list[Block]:
                 close = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, end)
                 end = skip_to = close.end() if close else page_length
                 continue
-            muted.append(tag)
+            if tag != "head" and tag not in last_end:
+                last_end[tag] = lower.rfind(f"</{tag}")
+            if tag == "head" or tag in SHORT or last_end[tag] >= end:
+                muted.append(tag)
             continue
         if tag == "body" and "head" in muted:
             muted.clear()
@@ -182,47 +256,85 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            node = top
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                top = node.parent
+            if opened[tag]:
+                while top.tag != tag:
+                    opened[top.tag] -= 1
+                    top = top.parent
+                opened[tag] -= 1
+                top = top.parent
                 in_link = 0
             continue
         if top.tag == "p":
+            opened["p"] -= 1
             top = top.parent
         closes = CLOSED_BY_SAME.get(tag)
-        if closes:
-            node = top
-            while node.parent is not None and node.tag not in LIST_ROOTS:
+        if closes and any(opened[t] for t in closes):
+            node, goal = top, None
+            for _ in range(UPWARDS):
+                if node.parent is None or node.tag in LIST_ROOTS:
+                    break
                 if node.tag in closes:
-                    top = node.parent
+                    goal = node.parent
                 node = node.parent
+            while goal is not None and top is not goal:
+                opened[top.tag] -= 1
+                top = top.parent
         top = Element(tag, top, marks)
+        opened[tag] += 1
+        if tag in ("main", "article", "h1"):
+            heads.append(top)
     if not muted and end < page_length:
-        pieces.append(page[max(end, skip_to) :])
+        pieces.append(page[max(end, skip_to) :].split("<!--")[0])
     flush()
+    mark_wrappers(blocks, heads)
     return blocks
 
 
+def mark_wrappers(blocks: list[Block], heads: list[Element]) -> None:
+    """Finds the elements that look like boilerplate but hold the page: ``heads`` are its main, article and h1 elements."""
+    mains = [h for h in heads if h.tag == "main"]
+    articles = [h for h in heads if h.tag == "article" and not h.boiler and not h.sealed]
+    titles = [h for h in heads if h.tag == "h1"]
+    total = 0
+    for block in blocks:
+        if not block.element.sealed:
+            total += len(block.text)
+            for holder in block.element.holders():
+                holder.n_chars += len(block.text)
+    above, title_above = set(), set()
+    for found, heads in ((above, mains or (articles if len(articles) == 1 else [])), (title_above, titles if len(titles) == 1 else [])):
+        for head in heads:
+            node = head.parent
+            while node is not None and node not in found:
+                found.add(node)
+                node = node.parent
+    for node in above:
+        node.wraps = True
+    for block in blocks:
+        for node in block.element.holders():
+            if 2 * node.n_chars > total and (node in title_above or node.tag == "form"):
+                node.wraps = True
+
+
 def odds(block: Block) -> float:
-    """Log odds that a block is content; at least CERTAIN either way where the kind of its element decides."""
+    """Log odds that a block is content; -CERTAIN where the kind of its element decides."""
     element = block.element
-    if element.verdict < 0:
+    certain, cost, good = element.state()
+    if certain:
         return -CERTAIN
     n = len(block.text)
     link_share = min(1.0, block.linked / n)
     words = block.text.count(" ") + 1
-    score = -1.0 + min(2.5, n / 80) - 4.0 * link_share * (words < 40)
+    score = cost - 1.0 + min(2.5, n / 80) - 4.0 * link_share * (words < 40)
     if block.text[-1] in ".!?:;\"'”»…)":
         score += 0.8
-    if element.good:
-        score += 4.5
+    if good:
+        score += GOOD
     if element.tag in HEADINGS:
         score += 1.0
     elif element.tag in ("p", "blockquote", "pre"):
         score += 0.8
-    elif element.tag == "li" and not element.good:
+    elif element.tag == "li" and not good:
         score -= 0.8
     if block.text[0] == "©" or block.text.startswith("Copyright"):
         score -= 6.0
@@ -233,8 +345,9 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
     """True for the blocks on the content side of a minimum cut.
 
     ``gains``: log odds, the difference of the two terminal capacities. What a block could send straight
-    from one terminal to the other is left out, as it does not change the cut. Paths run from blocks with
-    capacity left from the source to blocks with capacity left to the sink, the shortest first.
+    from one terminal to the other is left out, as it does not change the cut. Each block with capacity left
+    from the source searches the nearest one with capacity left to the sink. Where it reaches none, no later
+    path can lead from what it reached to the sink, so all that is content and is not searched again.
     """
     n = len(gains)
     left = list(gains)  # above 0: from the source; below: to the sink
@@ -243,30 +356,33 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
         near[a][b] = near[a].get(b, 0.0) + capacity
         near[b][a] = near[b].get(a, 0.0) + capacity
     tiny = 1e-9
-    while True:
-        came = {i: i for i in range(n) if left[i] > tiny}
-        queue, goal = deque(came), None
-        while queue and goal is None:
-            a = queue.popleft()
-            for b, capacity in near[a].items():
-                if capacity > tiny and b not in came:
-                    came[b] = a
-                    if left[b] < -tiny:
-                        goal = b
-                        break
-                    queue.append(b)
-        if goal is None:
-            return [i in came for i in range(n)]
-        path = [goal]
-        while came[path[-1]] != path[-1]:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min(left[path[0]], -left[goal], *(near[a][b] for a, b in zip(path, path[1:], strict=False)))
-        left[path[0]] -= flow
-        left[goal] += flow
-        for a, b in zip(path, path[1:], strict=False):
-            near[a][b] -= flow
-            near[b][a] += flow
+    content = [False] * n
+    for source in range(n):
+        while left[source] > tiny and not content[source]:
+            came, queue, goal = {source: source}, deque([source]), None
+            while queue and goal is None:
+                a = queue.popleft()
+                for b, capacity in near[a].items():
+                    if capacity > tiny and b not in came and not content[b]:
+                        came[b] = a
+                        if left[b] < -tiny:
+                            goal = b
+                            break
+                        queue.append(b)
+            if goal is None:
+                for a in came:
+                    content[a] = True
+                break
+            path = [goal]
+            while path[-1] != source:
+                path.append(came[path[-1]])
+            flow = min(left[source], -left[goal], *(near[b][a] for a, b in zip(path, path[1:], strict=False)))
+            left[source] -= flow
+            left[goal] += flow
+            for a, b in zip(path, path[1:], strict=False):
+                near[b][a] -= flow
+                near[a][b] += flow
+    return content
 
 
 def distance(a: Element, b: Element) -> int:
@@ -294,7 +410,6 @@ def main_text(page: str | None) -> str:
         if before is not None and before < i - 1:
             edges.append((before, i, SIBLING))
         last_under[parent] = i
-    # a block that no path can reach from the other side keeps its own sign
     kept = minimum_cut([odds(b) for b in blocks], edges)
     return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 

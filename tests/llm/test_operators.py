@@ -222,6 +222,50 @@ def test_templates(page, expected):
     assert htmltext.main_text(page.replace("@", LONG_TEXT)).split("\n\n") == [e.replace("@", LONG_TEXT) for e in expected]
 
 
+ARTICLE = ["A head line", *(f"This is sentence number {i} of the article, with a good number of words in it." for i in range(7))]
+BODY = "<h1>A head line</h1>" + "".join(f"<p>{t}</p>" for t in ARTICLE[1:])
+LAYOUTS = [
+    '<div class="content-sidebar-wrap"><article>@</article></div>',
+    '<div class="legal-news"><article>@</article></div>',
+    '<div class="legal-news"><div>@</div></div>',
+    '<div class="related-topic search-layout-main"><article>@</article></div>',
+    '<form action=x method=post><input type=hidden name=state value=1><div>@</div></form>',
+    '<form action=search><input name=q><button>Go</button><article>@</article>',
+    '<form action=search><input name=q><button>Go</button></form><div>@</div>',
+    '<button>Go<select><option>One<option>Two<article>@</article>',
+    '<noscript><div class=wrap>@</div>',
+    '<div class="sidebar"><main>@</main></div>',
+    '<div id="search"><div>@</div></div>',
+    '<div class="page-header"><article>@</article></div>',
+    '<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><div role="search"><form><label>Find</label><input></form></div><article>@</article><form><p>Your name and your mail address, please.</p></form>',
+    '<div class="main-menu"><a href=1>Home</a> <a href=2>World</a></div><div class="post-content">@</div><div class="post-comments"><p>A reader says a good many things in a long sentence here.</p></div>',
+    '<article>@<div class="article-ad"><p>Buy this great product today, it is cheap and it is good.</p></div></article><div class="related-posts"><p>Another text that one could read instead of this one.</p></div>',
+    '<main>@</main><section class="reader-comments"><article><p>A first comment of some length, with many words.</p></article></section>',
+    '<div class="sidebar"><article class="teaser"><p>Another text that one could read instead of this one.</p></article></div><article>@</article><div class="cookie-notice"><p>We use cookies to make this page work as it should.</p></div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    assert htmltext.main_text(f"<html><body>{layout.replace('@', BODY)}</body></html>").split("\n\n") == ARTICLE
+
+
+def test_pages_of_many_blocks():
+    """Work grows with the page, also where no block is certain and where tags are never closed."""
+    import time
+
+    random.seed(12)
+    weak = "".join(f"<div><p>{'word ' * random.randint(1, 25)}<a href=x>{'link ' * random.randint(0, 9)}</a></p></div>" for _ in range(100_000))
+    for page, least in ((weak, 1), ("<div><li>some words here" * 30_000, 0), ("<button>" * 50_000, 0), ("<table><tr><td>x" * 20_000, 0), ("</b></i></div>" * 50_000, 0), ("<a " * 100_000, 0), ("<p>text <!-- x > " * 50_000, 4)):
+        began = time.time()
+        assert len(htmltext.main_text(page)) >= least
+        assert time.time() - began < 10, page[:20]
+    gains = [random.uniform(-2, 2) for _ in range(100_000)]
+    began = time.time()
+    htmltext.minimum_cut(gains, [(i, i + 1, htmltext.NEAR) for i in range(99_999)] + [(i, i + 2, htmltext.SIBLING) for i in range(99_998)])
+    assert time.time() - began < 10
+
+
 def test_pages_of_the_tables(spark):
     for r in table(spark, SF, "pages").join(queries.op2_mincut_html(spark, SF).select("page_id", F.col("text").alias("found")), "page_id").collect():
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
