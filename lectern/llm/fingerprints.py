@@ -37,6 +37,8 @@ LEVELS, SLOTS = 5, 32
 ENOUGH = 8
 #: A text with fewer terms in the band uses all its terms.
 FEW = 8
+#: Texts come in ranges of doc_id of about so many bytes, as long as these are not more than MAX_RANGES.
+RANGE_BYTES = 8 << 20
 MAX_RANGES = 1 << 16
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -99,7 +101,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ``is_guest`` marks copies of rows that stand at the end of another part, to be dropped later.
     """
     spark = docs.sparkSession
-    n_ranges = min(MAX_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long") + 64).alias("bytes")).first()["bytes"] or 0
+    n_ranges = max(1, min(MAX_RANGES, size // RANGE_BYTES))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", _ranges(docs, n_ranges))
     # one row per range: its greatest doc_id, where the order by descending doc_id enters it
     heads = rows.groupBy("part").agg(F.max("doc_id").alias("head"), F.count("doc_id").alias("known")).orderBy(F.desc("part")).collect()
@@ -109,6 +112,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     joined = own.join(F.broadcast(lodged), "doc_id", "left")
     stays = F.array(F.struct(F.col("part"), F.lit(False).alias("is_guest")), F.struct(F.col("guest_of").alias("part"), F.lit(True).alias("is_guest")))
     rows = joined.select("doc_id", "text", F.explode(F.filter(stays, lambda s: s["part"].isNotNull())).alias("s")).select("doc_id", "text", "s.part", "s.is_guest")
+    # the number of tasks goes by the data; the window and what follows keep this partitioning
+    rows = rows.repartition(n_ranges, "part")
     order = Window.partitionBy("part").orderBy("is_guest", F.desc("doc_id"), "text")
     return rows.withColumns({"place": F.row_number().over(order), "next": F.coalesce(F.lead("text").over(order), F.col("text"))})
 

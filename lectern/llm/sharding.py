@@ -12,7 +12,8 @@ brought down to a number that does not depend on the corpus:
 
 The heap runs on the driver over at most ``HEAVY_PARTS + LEVELS * SLOTS`` items. Row numbers inside a
 shard come from counts of *cells*: a bundle, or a piece of a bundle that holds more than 1/256 of the
-rows. No task gets a whole shard or a whole heavy group.
+rows. Rows are dealt to pieces by a number that each got when it was written, so that equal rows part as well.
+No task gets a whole shard or a whole heavy group.
 
 Defined results: a null text counts as an empty one (size 1, checksum 0) and shares the group of empty
 texts; repeated rows each get a slot; a null doc_id is a row like any other; an empty table gives an
@@ -67,6 +68,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("group"),
+            F.monotonically_increasing_id().alias("number"),
         )
     )
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
@@ -87,8 +89,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     cell_rows = max(1, math.ceil(total_rows / CELL_PARTS))
     plan_schema = "bundle string, shard int, pieces int"
     plan = spark.createDataFrame([(b["bundle"], shard_of[b["bundle"]], -(-b["rows"] // cell_rows)) for b in bundles], plan_schema)
-    key = F.xxhash64("doc_id", "text_crc32")
-    rows = rows.join(F.broadcast(plan), "bundle").withColumn("piece", F.pmod(key, F.col("pieces")).cast("int"))
+    rows = rows.join(F.broadcast(plan), "bundle").withColumn("piece", F.pmod(F.xxhash64("number"), F.col("pieces")).cast("int"))
 
     cells = rows.groupBy("shard", "bundle", "piece").count().collect()
     first, offsets = dict.fromkeys(range(n_shards), 0), []
@@ -96,7 +97,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         offsets.append((bundle, piece, first[shard]))
         first[shard] += count
     starts = spark.createDataFrame(offsets, "bundle string, piece int, first long")
-    in_cell = Window.partitionBy("bundle", "piece").orderBy("doc_id", "text_crc32", "size")
+    in_cell = Window.partitionBy("bundle", "piece").orderBy("doc_id", "text_crc32", "size", "number")
     return rows.join(F.broadcast(starts), ["bundle", "piece"]).select(
         "doc_id",
         "size",

