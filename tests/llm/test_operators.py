@@ -483,9 +483,9 @@ def test_ids_of_odd_texts():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, encode = Tokenizer.from_file(path), packing.TokenIds(path)
+    library, encode = Tokenizer.from_file(path), packing.TokenIds(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     texts = ["", "<|endoftext|>", "a<|endoftext|>b", "   x  \n\n y\t", "I'll don't 123²½ é", "中文 한국어 🙂", "\x00\x1c\x85\xa0"]
-    texts += [" " * 10**6, "\n" * 10**6, "a" * 10**6, " \n" * 10**5 + "x", "é" * 10**5, "!" * 10**5]
+    texts += [" " * (packing.LONG_SPACE - 1), "x" + " " * packing.LONG_SPACE + "y", " " * 10**6, "\n" * 10**6, "a" * 10**6, " \n" * 10**5 + "x", "é" * 10**5, "!" * 10**5]
     rng = random.Random(5)
     letters = "ab'sdtrlvem’éñßªºµ 　\t\n\r\x0b\x0c\x1d\x85\xa0!?._-<|>0189²¾ĳſƏɏɐЖ中"
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
