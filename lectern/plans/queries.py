@@ -171,11 +171,11 @@ def pack_asr(spark, sf):
     return I.pack_for_transcription(S.segments(spark, sf))
 
 
-_PTS = "pk AS (SELECT DISTINCT event_id // 100 AS rec_id, round((event_id % 100) * 9.2::DOUBLE, 6) AS pts FROM events WHERE event_id % 7 <> 0)"
+_PTS = "pk AS (SELECT DISTINCT event_id // 100 AS rec_id, round((event_id % 100) * 9.2::DOUBLE, 6) AS pts FROM events)"
 
 
 def _packet_times(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").filter("event_id % 7 <> 0")
+    events = table(spark, sf, "events")
     return events.select(F.expr("event_id div 100").alias(KEY), F.round((F.col("event_id") % 100) * 9.2, 6).alias("pts"))
 
 
@@ -382,18 +382,28 @@ def top_terms(spark, sf):
     return rows.filter("top_terms <> ''")
 
 
-_ENC, _LEC = "(?:the|of) [a-z]+ing|to on|is a", "in the|and [a-z]+ed"
+_ENC, _LEC = ("(?:the|of) [a-z]+ing", "to on", "is a"), ("in the", "and [a-z]+ed")
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id AS rec_id, regexp_replace(lower(text), '\\[\\d+:\\d+\\]', ' ', 'g') AS t FROM documents),
+def _density(encounter: tuple[str, ...], lecture: tuple[str, ...]) -> str:
+    count = lambda patterns: "round_even(100 * len(regexp_extract_all(t, '" + "|".join(patterns).replace("'", "''") + "'))::DOUBLE / words, 1)"
+    return f"""WITH t AS (SELECT doc_id AS rec_id, regexp_replace(lower(text), '\\[\\d+:\\d+\\]', ' ', 'g') AS t FROM documents),
     n AS (SELECT rec_id, t, greatest(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')), 1) AS words FROM t)
-    SELECT rec_id, words::INTEGER AS words, round_even(100 * len(regexp_extract_all(t, '{_ENC}'))::DOUBLE / words, 1) AS encounter, round_even(100 * len(regexp_extract_all(t, '{_LEC}'))::DOUBLE / words, 1) AS lecture FROM n"""
-)
+    SELECT rec_id, words::INTEGER AS words, {count(encounter)} AS encounter, {count(lecture)} AS lecture FROM n"""
+
+
+@query(_density(_ENC, _LEC))
 def encounter_density(spark, sf):
+    """With patterns that the invented prose holds."""
     return X.encounter_score(_transcripts(spark, sf), _ENC, _LEC)
 
 
+@query(_density(X.ENCOUNTER, X.LECTURE))
+def encounter_phrases(spark, sf):
+    """With the patterns themselves."""
+    return X.encounter_score(_transcripts(spark, sf))
+
+
 ENTRIES = ["idiot", "thing", "on the", "ratio*"]
 
 
@@ -700,10 +710,13 @@ def sheet_compact(spark, sf):
 
 # Matching
 
-_KEYS = r"""ti AS (SELECT doc_id, (doc_id + 2)::INTEGER AS "row", regexp_replace(lower(substr(text, 1, 40)), '[^\p{L}\p{N}]', '', 'g') AS key FROM documents WHERE doc_id % 2 = 0),
-    tk AS (SELECT 'v' || doc_id::VARCHAR AS id, "row", key FROM ti WHERE length(key) >= 4),
-    nm AS (SELECT DISTINCT '/media/' || translate(substr(text, 1, 40), '/\.', '   ') || '.m4a' AS path, trim(translate(substr(text, 1, 40), '/\.', '   '), ' ') AS stem FROM documents),
-    fk AS (SELECT path, regexp_replace(lower(stem), '[^\p{L}\p{N}]', '', 'g') AS key FROM nm)"""
+_KEYS = r"""pt AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title FROM pages),
+    tk AS (SELECT * FROM (SELECT 'v' || page_id::VARCHAR AS id, (page_id + 2)::INTEGER AS "row", regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g') AS key FROM pt) WHERE length(key) >= 4),
+    fn AS (SELECT translate(title, '/\.', '   ') AS t, (page_id % 900 + 1)::VARCHAR AS n FROM pt),
+    nm AS (SELECT DISTINCT '/media/' || name || '.m4a' AS path, regexp_replace(trim(name, ' '), '(\.{3}|…)$', '') AS stem FROM (SELECT unnest([t, n || '. ' || t, t || ' (' || n || ')']) AS name FROM fn)),
+    fa AS (SELECT path, unnest([{'place': 0, 's': stem}, {'place': 1, 's': regexp_extract(stem, '^(.*\S)\s*\(\d{1,3}\)$', 1)},
+           {'place': 2, 's': CASE WHEN regexp_matches(stem, '^\s*\d{1,5}\s*(?:[.)_\-–—]|\s|$)') THEN regexp_replace(stem, '^\s*\d{1,5}\s*(?:[.)_\-–—]|\s|$)', '') ELSE '' END}]) AS f FROM nm),
+    fk AS (SELECT path, key, min(place) AS place FROM (SELECT path, f.place AS place, regexp_replace(lower(f.s), '[^\p{L}\p{N}]', '', 'g') AS key FROM fa) WHERE length(key) >= 4 GROUP BY path, key)"""
 
 
 def _match_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -712,16 +725,17 @@ def _match_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return J.file_keys(files, native=True), J.title_keys(titles.select("row", "id"), titles.select("id", "title"), native=True)
 
 
-@query(f"""WITH {_KEYS} SELECT path, min("row")::INTEGER AS "row" FROM fk JOIN tk USING (key) WHERE length(key) >= 4 GROUP BY path""")
+@query(f"""WITH {_KEYS} SELECT path, arg_min("row", place)::INTEGER AS "row" FROM (SELECT path, place, min("row") AS "row" FROM fk JOIN tk USING (key) GROUP BY path, place) GROUP BY path""")
 def match_exact(spark, sf):
-    keys, titles = _match_inputs(spark, sf)
-    return J.exact(keys.filter("place = 0"), titles)
+    return J.exact(*_match_inputs(spark, sf))
 
 
-@query(f"WITH {_KEYS} SELECT path, min(id) AS id FROM fk JOIN tk ON length(fk.key) >= 20 AND starts_with(tk.key, fk.key) GROUP BY path HAVING count(DISTINCT id) = 1")
+@query(
+    f"""WITH {_KEYS}, one AS (SELECT path, place, min(id) AS id FROM fk JOIN tk ON length(fk.key) >= 20 AND starts_with(tk.key, fk.key) GROUP BY path, place HAVING count(DISTINCT id) = 1)
+    SELECT path, arg_min(id, place) AS id FROM one GROUP BY path"""
+)
 def match_prefix(spark, sf):
-    keys, titles = _match_inputs(spark, sf)
-    return J.prefix(keys.filter("place = 0"), titles)
+    return J.prefix(*_match_inputs(spark, sf))
 
 
 @query()

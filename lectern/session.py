@@ -33,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a temporary one is made.
+    The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset and the master
+    is local (tests) a temporary one is made.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint()

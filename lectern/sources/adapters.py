@@ -96,14 +96,20 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), (F.length(html) / 10.0).alias("len_s"))
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even documents as titles: their first 40 characters."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
-    return docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("id"), (F.col("doc_id") + 2).cast("int").alias("row"), F.substring("text", 1, 40).alias("title"), (F.col("n_chars") / 10.0).alias("len_s"))
+    """All pages as videos with their whole titles."""
+    return _page_titles(spark, sf_dir).select(F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("id"), (F.col("page_id") + 2).cast("int").alias("row"), "title", "len_s")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files named by their first 40 characters; separators and dots of the text are left out."""
-    docs = table(spark, sf_dir, "documents")
-    name = F.translate(F.substring("text", 1, 40), "/\\.", "   ")
-    return docs.select(F.concat(F.lit("/media/"), name, F.lit(".m4a")).alias("path"), (F.col("n_chars") / 10.0).alias("duration_s"), "doc_id")
+    """Three files for each page: its whole title, the title after a number, and before a number in brackets."""
+    rows = _page_titles(spark, sf_dir)
+    title = F.translate("title", "/\\.", "   ")
+    number = (F.col("page_id") % 900 + 1).cast("string")
+    names = F.array(title, F.concat(number, F.lit(". "), title), F.concat(title, F.lit(" ("), number, F.lit(")")))
+    return rows.select(F.explode(names).alias("name"), F.col("len_s").alias("duration_s")).select(F.concat(F.lit("/media/"), F.col("name"), F.lit(".m4a")).alias("path"), "duration_s")

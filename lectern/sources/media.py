@@ -13,7 +13,10 @@ from pyspark.sql.window import Window
 from ..functions.catalog import path_key
 
 # Endings of media files and the names of result folders.
-MEDIA = "aac ac3 aif aiff amr ape avi caf dts eac3 flac flv m2ts m4a m4b m4v mka mkv mov mp2 mp3 mp4 mpeg mpg mts mxf oga ogg ogv opus ra rm spx ts tta vob wav webm wma wmv wv 3gp 3g2 f4v asf".split()
+MEDIA = (
+    "m4a mp3 aac wav flac ogg oga opus wma aiff aif alac ape wv amr ac3 eac3 mka caf m4b mp2 mp4 m4v mov mkv "
+    "webm avi wmv flv mpg mpeg ts mts m2ts 3gp 3g2 ogv vob asf dv mxf f4v rm rmvb"
+).split()
 RESULTS = ("готово",)
 
 

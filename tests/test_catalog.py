@@ -62,13 +62,27 @@ def test_columns_links_connections(spark):
     links = ["https://www.youtube.com/watch?v=abcdefghijk&x=1", "https://youtu.be/abcdefghijk", "https://youtube.com/shorts/abcdefghijk", "https://x.com/embed/abcdefghijk", "https://x.com", None]
     found = [r.i for r in spark.createDataFrame([(x,) for x in links], "l string").select(C.link_id(F.col("l")).alias("i")).collect()]
     assert found == ["abcdefghijk"] * 4 + [None, None]
-    fields = {"url": "https://x", "key": "k", "link_col": "C"}
-    line = C.export_connection(fields)
-    assert C.import_connection(line[:20] + " \n" + line[20:]) == fields
-    for bad in ("", "lectern:x", C.export_connection({"url": "x"})):
-        with pytest.raises(ValueError):
-            C.import_connection(bad)
-    assert [C.worker_plan(*x) for x in ((8, 32), (16, 32), (1, 32), (8, 7), (8, 4))] == [(4, 2), (4, 4), (1, 1), (2, 4), (1, 8)]
+
+
+def test_connection_lines(spark):
+    fields = {"url": "https://x/?a=b&c=ü", "key": "k>>>???", "link_col": "C", "note_col": "", "other": "o"}
+    made = spark.createDataFrame([(fields,)], "f map<string,string>").select(C.connection_line(F.col("f")).alias("l")).first().l
+    assert made.startswith("lectern:") and "+" not in made and "/" not in made[8:]
+    lines = [made, f" {made[:20]} \n\t{made[20:]}", "", None, "lectern:x", "lectern:!!!", made[8:], made[:-9]]
+    lines += [r.l for r in spark.createDataFrame([({"url": "x"},), ({"key": "x"},)], "f map<string,string>").select(C.connection_line(F.col("f")).alias("l")).collect()]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, l string").select("i", C.connection_fields(F.col("l")).alias("f")).orderBy("i").collect()
+    kept = {"url": fields["url"], "key": fields["key"], "link_col": "C"}
+    assert [r.f for r in found] == [kept, kept, *[None] * 8]
+
+
+def test_worker_plans():
+    """Never more threads or memory than there are, never less than one process of one thread."""
+    for threads in range(1, 65):
+        for ram in range(1, 65):
+            processes, each = C.worker_plan(threads, ram)
+            assert 1 <= processes <= 4 and each >= 1 and (processes * each <= threads or processes == each == 1)
+            assert processes == 1 or 4 + 1.5 * processes <= ram
+    assert C.worker_plan(64, 64) == (4, 16)
 
 
 def test_numbered_names(spark):
@@ -77,6 +91,34 @@ def test_numbered_names(spark):
     assert [r.output for r in K.numbered_names(names, taken).orderBy("pos").collect()] == ["a.m4a", "a (2).m4a", "b (3).m4a"]
 
 
+def test_numbered_names_take_the_least_free_number(spark):
+    """Against a plain walk in order; the plain name is used where only numbered ones are taken."""
+    rng = random.Random(4)
+    for _ in range(4):
+        taken = {f"{rng.choice('xy')}{rng.choice(['', ' (2)', ' (3)', ' (5)'])}.m4a" for _ in range(5)} | {"b (5).m4a"}
+        names = [rng.choice(["x", "y", "b", "Z"]) for _ in range(9)]
+        used, expected = set(taken), []
+        for name in names:
+            n = 1
+            while (out := f"{name}.m4a" if n == 1 else f"{name} ({n}).m4a") in used:
+                n += 1
+            used.add(out)
+            expected.append(out)
+        df = spark.createDataFrame([(i, n, ".m4a") for i, n in enumerate(names)], "pos int, name string, ext string")
+        found = [r.output for r in K.numbered_names(df, spark.createDataFrame([(t,) for t in taken], "full_name string")).orderBy("pos").collect()]
+        assert found == expected
+    asked = spark.createDataFrame([(1, "a", ".x"), (2, "a", ".x"), (3, "a (2)", ".x")], "pos int, name string, ext string")
+    assert [r.output for r in K.numbered_names(asked, spark.createDataFrame([], "full_name string")).orderBy("pos").collect()] == ["a.x", "a (3).x", "a (2).x"]
+
+
+def test_skips_of_files_without_a_row(spark):
+    table = spark.createDataFrame([(2, "v", [], ""), (3, "r", ["#cc0000"], "")], "row int, id string, bg array<string>, fg string")
+    data = [(i, f"/m/n{i}.m4a", None, False, False) for i in range(50)] + [(60, "/m/a.m4a", 2, False, False), (61, "/m/b.m4a", 2, True, False), (62, "/m/b.m4a", 2, False, False), (63, "/m/c.m4a", 3, False, False)]
+    files = spark.createDataFrame(data, "file_id int, path string, row int, has_cut boolean, has_result boolean")
+    found = {r.file_id: r.skip for r in K.mark_skips(files, table).collect()}
+    assert [found[i] for i in (60, 61, 62, 63)] == ["repeat", None, "same", "red"] and all(found[i] is None for i in range(50))
+
+
 def test_sheet_sinks(spark):
     sheet = spark.createDataFrame([(1, "x", "L", "t1"), (2, "y", "L", "t2"), (3, "x", "L", "t3")], "row int, id string, link string, text string")
     updates = spark.createDataFrame([("x", "N", "new", 1), ("z", "N", "z1", 2), ("z", "N", "z2", 3), ("w", "N", "w1", 4)], "id string, link string, text string, seq int")
