@@ -155,6 +155,13 @@ def hints(events: DataFrame, cuts: DataFrame, st: Settings = DEFAULTS) -> DataFr
     return pauses.join(cuts.alias("c"), inside, "left_anti").select("e.rec_id", "e.start_s", "e.end_s")
 
 
+def speech_ratio(segments: DataFrame, recordings: DataFrame) -> DataFrame:
+    """A-07: the share of each recording that its segments fill, 3 decimals."""
+    spoken = segments.groupBy(KEY).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("spoken_s"))
+    ratio = F.coalesce("spoken_s", F.lit(0.0)) / F.greatest("duration_s", F.lit(1e-9))
+    return recordings.join(spoken, KEY, "left").select(KEY, F.bround(ratio, 3).alias("ratio"))
+
+
 def coverage(cuts: DataFrame, ranges: DataFrame) -> DataFrame:
     """I-20: the share of each range (rec_id, a_s, b_s) that the cuts cover."""
     overlap = F.greatest(F.lit(0.0), F.least("end_s", "b_s") - F.greatest("start_s", "a_s"))

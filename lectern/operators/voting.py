@@ -56,6 +56,16 @@ def every_nth(rows: DataFrame, order: str, most: int = MOST_PIECES) -> DataFrame
     return numbered.filter(F.col("place") % stride == 0).drop("place", "n")
 
 
+# Short names of accents.
+SHORT_ACCENTS = {"британский": "брит.", "американский": "амер.", "ирландский": "ирл.", "австралийский": "австрал.", "индийский": "инд.", "другой": "другой"}
+
+
+def accent_label(group: Column, share: Column) -> Column:
+    """F-24: a group's short name, or the group itself, with its share in whole percent."""
+    names = F.create_map(*[F.lit(x) for pair in SHORT_ACCENTS.items() for x in pair])
+    return F.concat(F.coalesce(F.try_element_at(names, group), group), F.lit(" "), F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
 def smooth_labels(labelled: DataFrame, order: str = "piece") -> DataFrame:
     """W-07: the majority of five neighbours, ties to the lower of the labels 1 and 2."""
     near = Window.partitionBy(KEY).orderBy(order).rowsBetween(-2, 2)

@@ -26,9 +26,44 @@ gaps0 AS (
   UNION ALL SELECT rec_id, 0::DOUBLE, duration_s, 'all' FROM gp WHERE start_s IS NULL),
 gaps AS (SELECT * FROM gaps0 WHERE end_s - start_s >= 0.5::DOUBLE OR place = 'all')"""
 
+MUSIC = """
+music AS (SELECT vec_id // 14 AS rec_id, ((vec_id % 14) * 64 + i - 1)::INTEGER AS sec, abs(embedding[i]::DOUBLE) + CASE WHEN ((vec_id % 14) * 64 + i - 1) % 97 < 12 THEN 0.35::DOUBLE ELSE 0::DOUBLE END AS prob
+          FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+touched AS (SELECT DISTINCT rec_id, unnest(range(floor(start_s)::BIGINT, ceil(end_s)::BIGINT))::INTEGER AS sec FROM speech),
+series AS (SELECT music.*, touched.sec IS NOT NULL AS speech FROM music LEFT JOIN touched USING (rec_id, sec))"""
+
+FRAMES = """
+frames AS (SELECT l_orderkey // 375 AS rec_id, (row_number() OVER (PARTITION BY l_orderkey // 375 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount) - 1) * 0.6::DOUBLE AS t_s,
+           round(20 * log10(l_discount + 1e-9::DOUBLE), 6) AS db, l_discount * l_discount AS power FROM lineitem)"""
+
+FRAMES_IN = "fi AS (SELECT f.rec_id, f.db, f.power, s.start_s, s.end_s FROM frames f JOIN speech s ON s.rec_id = f.rec_id AND f.t_s >= s.start_s AND f.t_s < s.end_s)"
+
+LEVELS = f"""{FRAMES_IN}, sl AS (SELECT rec_id, median(l) AS speech_db FROM (SELECT rec_id, 20 * log10(sqrt(avg(power)) + 1e-9::DOUBLE) AS l FROM fi GROUP BY rec_id, start_s) GROUP BY rec_id),
+    pz AS (SELECT rec_id, end_s AS a, lead(start_s) OVER (PARTITION BY rec_id ORDER BY start_s, end_s) AS b FROM speech),
+    pl AS (SELECT rec_id, median(m) AS bg FROM (SELECT f.rec_id, median(f.db) AS m FROM frames f JOIN pz ON pz.rec_id = f.rec_id AND f.t_s >= a AND f.t_s < b WHERE b - a >= 0.3::DOUBLE GROUP BY f.rec_id, a) GROUP BY rec_id),
+    po AS (SELECT rec_id, quantile_cont(db, 0.1) AS p10 FROM frames GROUP BY rec_id),
+    lv AS (SELECT rec_id, coalesce(speech_db, -30::DOUBLE) AS speech_db, coalesce(bg, p10) AS background_db FROM recordings LEFT JOIN sl USING (rec_id) LEFT JOIN pl USING (rec_id) LEFT JOIN po USING (rec_id))"""
+
+KINDS = """
+gf AS (SELECT g.rec_id, g.start_s, quantile_cont(f.db, 0.95) AS peak, 20 * log10(sqrt(avg(power)) + 1e-9::DOUBLE) AS rms FROM gaps g JOIN frames f ON f.rec_id = g.rec_id AND f.t_s >= g.start_s AND f.t_s < g.end_s GROUP BY 1, 2),
+    gs AS (SELECT rec_id, start_s, unnest(range(floor(start_s)::BIGINT, greatest(ceil(end_s), floor(start_s) + 1)::BIGINT))::INTEGER AS sec FROM gaps),
+    gm AS (SELECT rec_id, start_s, avg((prob >= 0.3::DOUBLE)::INTEGER) AS ms FROM gs JOIN music USING (rec_id, sec) GROUP BY 1, 2),
+    kinds AS (SELECT rec_id, start_s, end_s, place, CASE WHEN coalesce(ms, 0) >= 0.5 THEN 'музыка' WHEN coalesce(peak, -120) < -50 OR coalesce(peak, -120) < background_db + 12 THEN 'тишина'
+           WHEN coalesce(rms, -120) < speech_db - 10 THEN 'тихие звуки' ELSE 'шум/другое' END AS kind
+    FROM gaps LEFT JOIN gf USING (rec_id, start_s) LEFT JOIN gm USING (rec_id, start_s) LEFT JOIN lv USING (rec_id))"""
+
+UNDER = """
+ma AS (SELECT *, (prob >= 0.3::DOUBLE)::INTEGER AS r FROM series), mb AS (SELECT *, min(r) OVER w AS core FROM ma WINDOW w AS (PARTITION BY rec_id ORDER BY sec ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    mc AS (SELECT *, (max(core) OVER w) * r = 1 AND speech AS m FROM mb WINDOW w AS (PARTITION BY rec_id ORDER BY sec ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    md AS (SELECT *, m OR (lag(m, 1, false) OVER w AND lead(m, 1, false) OVER w) AS f FROM mc WINDOW w AS (PARTITION BY rec_id ORDER BY sec)),
+    me AS (SELECT rec_id, sec, sec - row_number() OVER (PARTITION BY rec_id ORDER BY sec) AS island FROM md WHERE f),
+    mf AS (SELECT rec_id, min(sec)::DOUBLE AS start_s, least((max(sec) + 1)::DOUBLE, any_value(duration_s)) AS end_s FROM me JOIN recordings USING (rec_id) GROUP BY rec_id, island HAVING count(*) >= 2),
+    under AS (SELECT * FROM mf WHERE NOT (end_s - start_s <= 4 AND EXISTS (SELECT 1 FROM kinds k WHERE k.rec_id = mf.rec_id AND kind = 'музыка' AND (abs(mf.start_s - k.end_s) <= 1 OR abs(k.start_s - mf.end_s) <= 1))))"""
+
 BAD = """
-bad AS (SELECT rec_id, start_s, end_s, [CASE WHEN place = 'all' THEN 'нет речи' ELSE place END] AS reasons FROM gaps
-        WHERE (place IN ('intro', 'outro', 'all') AND end_s - start_s >= 3::DOUBLE) OR (place = 'inside' AND end_s - start_s > 7::DOUBLE))"""
+bad AS (SELECT rec_id, start_s, end_s, [CASE WHEN place = 'all' THEN 'нет речи' ELSE kind END] AS reasons FROM kinds
+        WHERE (place IN ('intro', 'outro', 'all') AND end_s - start_s >= 3::DOUBLE) OR (place = 'inside' AND (end_s - start_s > 7::DOUBLE OR (kind = 'музыка' AND end_s - start_s >= 2::DOUBLE)))
+        UNION ALL SELECT rec_id, start_s, end_s, ['музыка под речью'] FROM under)"""
 
 
 def merged(source: str, name: str) -> str:
@@ -50,13 +85,8 @@ cuts AS (SELECT * FROM (SELECT rec_id, CASE WHEN start_s <= 1 THEN 0::DOUBLE ELS
 
 GAPS_OF_SEGMENTS = GAPS.format(segs="segments")
 GAPS_OF_SPEECH = GAPS.format(segs="speech")
-BASE = ",".join([SEGMENTS, SPEECH, GAPS_OF_SPEECH, BAD, CUTS])
-
-MUSIC = """
-music AS (SELECT vec_id // 14 AS rec_id, ((vec_id % 14) * 64 + i - 1)::INTEGER AS sec, abs(embedding[i]::DOUBLE) AS prob
-          FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
-touched AS (SELECT DISTINCT rec_id, unnest(range(floor(start_s)::BIGINT, ceil(end_s)::BIGINT))::INTEGER AS sec FROM speech),
-series AS (SELECT music.*, touched.sec IS NOT NULL AS speech FROM music LEFT JOIN touched USING (rec_id, sec))"""
+HEARD = ",".join([SEGMENTS, SPEECH, GAPS_OF_SPEECH, MUSIC, FRAMES, LEVELS, KINDS])
+BASE = ",".join([HEARD, UNDER, BAD, CUTS])
 
 BACKGROUND = """
 bg0 AS (SELECT *, sum(prob) OVER (PARTITION BY rec_id ORDER BY sec ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9::DOUBLE AS mean, (prob >= 0.1::DOUBLE / 2)::INTEGER AS loud FROM series),
@@ -68,10 +98,6 @@ bg4 AS (SELECT rec_id, min(sec) AS a, max(sec) + 1 AS b FROM bg3 GROUP BY rec_id
 background AS (SELECT bg4.rec_id, (a - x.back)::DOUBLE AS start_s, least((b + coalesce(y.fore, 0))::DOUBLE, duration_s) AS end_s FROM bg4
                JOIN bg2 x ON x.rec_id = bg4.rec_id AND x.sec = a LEFT JOIN bg2 y ON y.rec_id = bg4.rec_id AND y.sec = b JOIN recordings r ON r.rec_id = bg4.rec_id)"""
 
-FRAMES = """
-frames AS (SELECT l_orderkey % 40 AS rec_id, (row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount) - 1) * 0.6::DOUBLE AS t_s,
-           round(20 * log10(l_discount + 1e-9::DOUBLE), 6) AS db, l_discount * l_discount AS power FROM lineitem)"""
-
 WORDS = """
 ln AS (SELECT doc_id AS rec_id, l.i - 1 AS line, l.t AS t FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda t, i: {'i': i, 't': t})) AS l FROM documents)),
 wd AS (SELECT rec_id, line, p.i AS k, p.w AS word FROM (SELECT rec_id, line, unnest(list_transform(list_filter(regexp_split_to_array(t, '[ \\t\\r]+'), lambda w: w <> ''), lambda w, i: {'i': i, 'w': w})) AS p FROM ln)),

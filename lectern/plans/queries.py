@@ -47,14 +47,23 @@ def _speech(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return I.drop_blips(segs, recs).select(KEY, "start_s", "end_s"), recs
 
 
+def _heard(spark: SparkSession, sf: str, speech: DataFrame, recs: DataFrame) -> DataFrame:
+    """The gaps with what is heard in them."""
+    frames = S.frames(spark, sf)
+    return W.classify_gaps(I.gaps(speech, recs).drop("duration_s"), frames, S.music(spark, sf), W.levels(frames, speech, recs))
+
+
 def _events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     speech, recs = _speech(spark, sf)
-    return I.gaps(speech, recs).withColumn("kind", F.lit(None).cast("string")), recs
+    return _heard(spark, sf, speech, recs), recs
 
 
 def _cuts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    events, recs = _events(spark, sf)
-    return I.cut_list(events, recs), events, recs
+    """The cuts by gaps with their kinds and by music under speech, the gaps, and the recordings."""
+    speech, recs = _speech(spark, sf)
+    events = keep(_heard(spark, sf, speech, recs))
+    under = W.music_under_speech(S.music(spark, sf), speech, events, recs)
+    return I.cut_list(events, recs, under), events, recs
 
 
 def _reasons(df: DataFrame) -> DataFrame:
@@ -203,6 +212,11 @@ def widen_keyframes(spark, sf):
     return I.widen_to_keyframes(I.keep_ranges(cuts, recs), _packet_times(spark, sf), recs)
 
 
+@query(f"WITH {O.SEGMENTS}, {O.SPEECH} SELECT rec_id, round_even(coalesce(sum(end_s - start_s), 0) / greatest(any_value(duration_s), 1e-9::DOUBLE), 3) AS ratio FROM recordings LEFT JOIN speech USING (rec_id) GROUP BY rec_id")
+def speech_ratio(spark, sf):
+    return I.speech_ratio(*_speech(spark, sf))
+
+
 @query(f"WITH {O.BASE}, {O.KEPT} SELECT rec_id, round_even(start_s * 44100, 0)::BIGINT AS start_sample, round_even(end_s * 44100, 0)::BIGINT AS end_sample FROM kept")
 def trim_plan(spark, sf):
     cuts, _, recs = _cuts(spark, sf)
@@ -227,18 +241,10 @@ def cut_text_parsed(spark, sf):
 # Time series
 
 
-@query(
-    f"""WITH {O.SEGMENTS}, {O.SPEECH}, {O.MUSIC},
-    ma AS (SELECT *, (prob >= 0.3::DOUBLE)::INTEGER AS r FROM series), mb AS (SELECT *, min(r) OVER w AS core FROM ma WINDOW w AS (PARTITION BY rec_id ORDER BY sec ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-    mc AS (SELECT *, (max(core) OVER w) * r = 1 AND speech AS m FROM mb WINDOW w AS (PARTITION BY rec_id ORDER BY sec ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-    md AS (SELECT *, m OR (lag(m, 1, false) OVER w AND lead(m, 1, false) OVER w) AS f FROM mc WINDOW w AS (PARTITION BY rec_id ORDER BY sec)),
-    me AS (SELECT rec_id, sec, sec - row_number() OVER (PARTITION BY rec_id ORDER BY sec) AS island FROM md WHERE f)
-    SELECT rec_id, min(sec)::DOUBLE AS start_s, least((max(sec) + 1)::DOUBLE, any_value(duration_s)) AS end_s FROM me JOIN recordings USING (rec_id) GROUP BY rec_id, island HAVING count(*) >= 2"""
-)
+@query(f"WITH {O.HEARD}, {O.UNDER} SELECT * FROM under")
 def music_under_speech(spark, sf):
     speech, recs = _speech(spark, sf)
-    events = I.gaps(speech, recs).withColumn("kind", F.lit(None).cast("string"))
-    return W.music_under_speech(S.music(spark, sf), speech, events, recs).drop("reasons")
+    return W.music_under_speech(S.music(spark, sf), speech, _heard(spark, sf, speech, recs), recs).drop("reasons")
 
 
 @query(f"WITH {O.SEGMENTS}, {O.SPEECH}, {O.MUSIC}, {O.BACKGROUND} SELECT * FROM background")
@@ -258,11 +264,8 @@ def music_share(spark, sf):
     return W.music_share(music, speech, W.background_music(music, speech, recs), none)
 
 
-_FRAMES_IN = "fi AS (SELECT f.rec_id, f.db, f.power, s.start_s, s.end_s FROM frames f JOIN speech s ON s.rec_id = f.rec_id AND f.t_s >= s.start_s AND f.t_s < s.end_s)"
-
-
 @query(
-    f"""WITH {O.SEGMENTS}, {O.SPEECH}, {O.FRAMES}, {_FRAMES_IN}
+    f"""WITH {O.SEGMENTS}, {O.SPEECH}, {O.FRAMES}, {O.FRAMES_IN}
     SELECT rec_id, start_s, count(*) AS n, round(median(db) + 1e-9::DOUBLE, 4) AS p50, round(quantile_cont(db, 0.9) + 1e-9::DOUBLE, 4) AS p90, round(20 * log10(sqrt(avg(power)) + 1e-9::DOUBLE) + 1e-9::DOUBLE, 4) AS level FROM fi GROUP BY rec_id, start_s"""
 )
 def frame_percentiles(spark, sf):
@@ -271,36 +274,18 @@ def frame_percentiles(spark, sf):
     return rows.agg(F.count("*").alias("n"), _level(F.median("db")).alias("p50"), _level(F.percentile("db", 0.9)).alias("p90"), _level(W.decibels(F.avg("power"))).alias("level"))
 
 
-_LEVELS = f"""{_FRAMES_IN}, sl AS (SELECT rec_id, median(l) AS speech_db FROM (SELECT rec_id, 20 * log10(sqrt(avg(power)) + 1e-9::DOUBLE) AS l FROM fi GROUP BY rec_id, start_s) GROUP BY rec_id),
-    pz AS (SELECT rec_id, end_s AS a, lead(start_s) OVER (PARTITION BY rec_id ORDER BY start_s, end_s) AS b FROM speech),
-    pl AS (SELECT rec_id, median(m) AS bg FROM (SELECT f.rec_id, median(f.db) AS m FROM frames f JOIN pz ON pz.rec_id = f.rec_id AND f.t_s >= a AND f.t_s < b WHERE b - a >= 0.3::DOUBLE GROUP BY f.rec_id, a) GROUP BY rec_id),
-    po AS (SELECT rec_id, quantile_cont(db, 0.1) AS p10 FROM frames GROUP BY rec_id),
-    lv AS (SELECT rec_id, coalesce(speech_db, -30::DOUBLE) AS speech_db, coalesce(bg, p10) AS background_db FROM recordings LEFT JOIN sl USING (rec_id) LEFT JOIN pl USING (rec_id) LEFT JOIN po USING (rec_id))"""
-
-
-@query(f"WITH {O.SEGMENTS}, {O.SPEECH}, {O.FRAMES}, {_LEVELS} SELECT rec_id, round(speech_db + 1e-9::DOUBLE, 4) AS speech_db, round(background_db + 1e-9::DOUBLE, 4) AS background_db FROM lv")
+@query(f"WITH {O.SEGMENTS}, {O.SPEECH}, {O.FRAMES}, {O.LEVELS} SELECT rec_id, round(speech_db + 1e-9::DOUBLE, 4) AS speech_db, round(background_db + 1e-9::DOUBLE, 4) AS background_db FROM lv")
 def levels(spark, sf):
     speech, recs = _speech(spark, sf)
     return W.levels(S.frames(spark, sf), speech, recs).select(KEY, _level(F.col("speech_db")).alias("speech_db"), _level(F.col("background_db")).alias("background_db"))
 
 
-@query(
-    f"""WITH {O.SEGMENTS}, {O.SPEECH}, {O.GAPS_OF_SPEECH}, {O.FRAMES}, {O.MUSIC}, {_LEVELS},
-    gf AS (SELECT g.rec_id, g.start_s, quantile_cont(f.db, 0.95) AS peak, 20 * log10(sqrt(avg(power)) + 1e-9::DOUBLE) AS rms FROM gaps g JOIN frames f ON f.rec_id = g.rec_id AND f.t_s >= g.start_s AND f.t_s < g.end_s GROUP BY 1, 2),
-    gs AS (SELECT rec_id, start_s, unnest(range(floor(start_s)::BIGINT, greatest(ceil(end_s), floor(start_s) + 1)::BIGINT))::INTEGER AS sec FROM gaps),
-    gm AS (SELECT rec_id, start_s, avg((prob >= 0.3::DOUBLE)::INTEGER) AS ms FROM gs JOIN music USING (rec_id, sec) GROUP BY 1, 2)
-    SELECT rec_id, start_s, end_s, place, CASE WHEN coalesce(ms, 0) >= 0.5 THEN 'музыка' WHEN coalesce(peak, -120) < -50 OR coalesce(peak, -120) < background_db + 12 THEN 'тишина'
-           WHEN coalesce(rms, -120) < speech_db - 10 THEN 'тихие звуки' ELSE 'шум/другое' END AS kind
-    FROM gaps LEFT JOIN gf USING (rec_id, start_s) LEFT JOIN gm USING (rec_id, start_s) LEFT JOIN lv USING (rec_id)"""
-)
+@query(f"WITH {O.HEARD} SELECT * FROM kinds")
 def gap_class(spark, sf):
-    speech, recs = _speech(spark, sf)
-    frames = S.frames(spark, sf)
-    events = I.gaps(speech, recs).drop("duration_s")
-    return W.classify_gaps(events, frames, S.music(spark, sf), W.levels(frames, speech, recs))
+    return _events(spark, sf)[0]
 
 
-_QUIET = f"""{_FRAMES_IN.replace('f.db,', 'f.db, f.t_s,')},
+_QUIET = f"""{O.FRAMES_IN.replace('f.db,', 'f.db, f.t_s,')},
     qs AS (SELECT fi.rec_id, db, unnest(range(greatest(floor((t_s - 30) / 5)::BIGINT + 1, 0), least(floor((t_s + 30) / 5)::BIGINT, ceil(duration_s / 5)::BIGINT - 1) + 1)) AS slot FROM fi JOIN recordings r ON r.rec_id = fi.rec_id)"""
 
 
@@ -480,17 +465,24 @@ def _group() -> Column:
 _ACC = """ac AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS rec_id, doc_id AS chunk, doc_id * 8::DOUBLE AS start_s, doc_id * 8::DOUBLE + 8 AS end_s, CASE lang WHEN 'en' THEN 'британский' WHEN 'de' THEN 'европейский' ELSE 'другой' END AS g FROM documents WHERE lang IS NOT NULL)"""
 
 
-@query(
-    f"""WITH {_ACC}, nb AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY chunk) - 1 AS p, count(*) OVER (PARTITION BY rec_id) AS n FROM ac),
+_VOTE = f"""{_ACC}, nb AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY chunk) - 1 AS p, count(*) OVER (PARTITION BY rec_id) AS n FROM ac),
     pk AS (SELECT * FROM nb WHERE n <= 80 OR list_contains(list_transform(range(0, 80), lambda i: round_even(i * ((n - 1) / 79::DOUBLE), 0)::BIGINT), p)),
-    ct AS (SELECT rec_id, g, count(*) AS v, min(chunk) AS f FROM pk GROUP BY rec_id, g), tot AS (SELECT *, sum(v) OVER (PARTITION BY rec_id) AS n, row_number() OVER (PARTITION BY rec_id ORDER BY v DESC, f) AS r FROM ct)
-    SELECT rec_id, max(n)::BIGINT AS n, max(CASE WHEN r = 1 THEN g END) AS top, max(CASE WHEN r = 1 THEN round_even(v / n::DOUBLE, 2) END) AS share FROM tot GROUP BY rec_id"""
-)
+    ct AS (SELECT rec_id, g, count(*) AS v, min(chunk) AS f FROM pk GROUP BY rec_id, g), tot AS (SELECT *, sum(v) OVER (PARTITION BY rec_id) AS n, row_number() OVER (PARTITION BY rec_id ORDER BY v DESC, f) AS r FROM ct),
+    vo AS (SELECT rec_id, max(n)::BIGINT AS n, max(CASE WHEN r = 1 THEN g END) AS top, max(CASE WHEN r = 1 THEN round_even(v / n::DOUBLE, 2) END) AS share FROM tot GROUP BY rec_id)"""
+
+
+@query(f"WITH {_VOTE} SELECT * FROM vo")
 def accent_vote(spark, sf):
     chunks = A.evenly_spaced(S.accents(spark, sf), "chunk")
     return A.vote(chunks, _group()).select(KEY, F.col("n").cast("long").alias("n"), "top", F.try_element_at("groups", F.col("top")).alias("share"))
 
 
+@query(f"""WITH {_VOTE} SELECT rec_id, CASE top WHEN 'британский' THEN 'брит.' ELSE top END || ' ' || round(share * 100)::INTEGER::VARCHAR || '%' AS label FROM vo""")
+def accent_labels(spark, sf):
+    found = accent_vote(spark, sf)
+    return found.select(KEY, A.accent_label(F.col("top"), F.col("share")).alias("label"))
+
+
 @query(
     f"""WITH {_ACC}, ch AS (SELECT *, CASE WHEN lag(g) OVER w = g AND start_s - lag(end_s) OVER w <= 160 THEN 0 ELSE 1 END AS new FROM ac WINDOW w AS (PARTITION BY rec_id ORDER BY start_s, end_s)),
     ci AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS c FROM ch)
@@ -591,16 +583,23 @@ def _catalog_files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(n.alias("file_id"), path.alias("path"), (n + 2).cast("int").alias("row"), (n % 7 == 0).alias("has_cut"), (n % 3 == 0).alias("has_result"))
 
 
-@query(
-    f"""WITH {O.CATALOG}, {_FILES}, hd AS (SELECT id, bool_or(red) AS hr FROM cat WHERE "row" = first_row GROUP BY id),
+_MARKS = f"""{O.CATALOG}, {_FILES}, hd AS (SELECT id, bool_or(red) AS hr FROM cat WHERE "row" = first_row GROUP BY id),
     fj AS (SELECT file_id, path, cat.id, coalesce(red OR hr, false) AS red, has_cut, has_result, path LIKE '% (1).m4a' AS copy FROM fl LEFT JOIN cat USING ("row") LEFT JOIN hd ON hd.id = cat.id),
-    fr AS (SELECT *, row_number() OVER (PARTITION BY id, red ORDER BY NOT has_cut, NOT has_result, copy, file_id) AS p FROM fj)
-    SELECT file_id, path, CASE WHEN id IS NULL THEN NULL WHEN red THEN 'red' WHEN p = 1 THEN NULL ELSE 'repeat' END AS skip FROM fr"""
-)
+    fr AS (SELECT *, row_number() OVER (PARTITION BY id, red ORDER BY NOT has_cut, NOT has_result, copy, file_id) AS p FROM fj),
+    sk AS (SELECT file_id, path, CASE WHEN id IS NULL THEN NULL WHEN red THEN 'red' WHEN p = 1 THEN NULL ELSE 'repeat' END AS skip FROM fr)"""
+
+
+@query(f"WITH {_MARKS} SELECT * FROM sk")
 def skip_marks(spark, sf):
     return K.mark_skips(_catalog_files(spark, sf), S.catalog(spark, sf))
 
 
+@query(f"""WITH {_MARKS} SELECT DISTINCT cat.id FROM sk JOIN fl USING (file_id) JOIN cat ON cat."row" = fl."row" WHERE coalesce(skip, '') <> 'repeat'""")
+def have_ids(spark, sf):
+    files, rows = _catalog_files(spark, sf), S.catalog(spark, sf)
+    return K.have_ids(files.join(K.mark_skips(files, rows).select("file_id", "skip"), "file_id"), rows)
+
+
 @query(
     f"""WITH {O.CATALOG}, up AS (SELECT (page_id + 2)::INTEGER AS "row", CASE WHEN page_id % 2 = 0 THEN '0:10-0:20' ELSE 'good' END AS tc, CASE WHEN page_id % 4 = 1 THEN '0:10-0:20' END AS mine, page_id % 6 AS y FROM pages),
     uj AS (SELECT "row", CASE WHEN coalesce(cuts, '') = '' OR cuts = tc OR (mine IS NOT NULL AND cuts = mine) THEN tc END AS cuts, CASE WHEN y IN (0, 1) AND coalesce(note, '') = '' THEN CASE y WHEN 0 THEN 'A' ELSE 'A + B' END END AS note FROM up LEFT JOIN catalog USING ("row"))
@@ -782,7 +781,7 @@ def cut_plan(spark, sf):
 
 
 @query(
-    f"""WITH {O.BASE}, {O.MUSIC}, {O.BACKGROUND},
+    f"""WITH {O.BASE}, {O.BACKGROUND},
     tr AS (SELECT DISTINCT rec_id FROM background), lay AS (SELECT rec_id, start_s, end_s, reasons FROM cuts WHERE rec_id IN (SELECT rec_id FROM tr) UNION ALL SELECT rec_id, start_s, end_s, ['фоновая музыка под речью'] FROM background),
     {O.merged('lay', 'lm')}, fin AS (SELECT rec_id, start_s, least(end_s, duration_s) AS end_s, reasons FROM lm JOIN recordings USING (rec_id) WHERE least(end_s, duration_s) > start_s UNION ALL SELECT rec_id, start_s, end_s, reasons FROM cuts WHERE rec_id NOT IN (SELECT rec_id FROM tr))
     SELECT rec_id, start_s, end_s, array_to_string(reasons, ' + ') AS reasons FROM fin"""
@@ -797,7 +796,7 @@ def final_cuts(spark, sf):
 def full_analysis(spark, sf):
     """All rules in one plan, from model tables to cut lists."""
     segs = S.segments(spark, sf)
-    return R.analyze(R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, sf), S.frames(spark, sf))).timecodes
+    return R.analyze(R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, sf), S.frames(spark, sf), S.words(spark, sf))).timecodes
 
 
 @query()
