@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, htmltext, langid, neardup, packing, sharding, tokencount, toxicity, urlfilter
+from . import decontamination, divergence, fingerprints, htmltext, langid, neardup, packing, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_systolic_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,10 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grammar_toxicity": op8_grammar_toxicity,
     "op9_boosted_url_filter": op9_boosted_url_filter,
     "op10_positional_decontamination": op10_positional_decontamination,
+    "op11_systolic_divergence": op11_systolic_divergence,
     "proximity_matches": proximity_matches,
 }
 
-#: What DuckDB can say: exact window matches by joining windows as text, with no index.
+#: What DuckDB can say, by plain joins of windows, terms and prefixes.
 ORACLE_SQL: dict[str, str] = {
     "op10_positional_decontamination": r"""
         WITH d AS (
@@ -118,4 +123,24 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, item_id, cast(pos AS integer) AS "at" FROM near JOIN need USING (item_id, ws) WHERE seen = needed
     """,
+    "op11_systolic_divergence": r"""
+        WITH d AS (SELECT coalesce(lang,'') lang, coalesce(source,'') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
+        w AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        sums AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * l.v) AS p,
+                1 + (1000000000::hugeint * (k.n + 5)) // (l.n + 5 * l.v) AS q
+              FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN sums s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        rows AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS integer) AS rank
+        FROM rows QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+    """,
 }
