@@ -211,6 +211,17 @@ def _meeting(residents: DataFrame, guests: DataFrame, keys: list[str], meet) ->
     return residents.groupBy(*keys).cogroup(guests.groupBy(*[f"guest_{k}" for k in keys])).applyInPandas(meet, MEETING)
 
 
+def _settle(residents: DataFrame) -> None:
+    """Keeps the rows where they are, in a plan that tells later ones how they are dealt, so that they are not shuffled again."""
+    conf, name = residents.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        residents.persist()
+    finally:
+        conf.set(name, before)
+
+
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, seats: int = SEATS, cells: int = CELLS) -> DataFrame:
     """lang, source, part, item, value, rank: every pair of sources of a language, and each source's ``top`` terms."""
     spark = docs.sparkSession
@@ -238,8 +249,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, seats:
             .join(vectors.select("lang", "segment", "source", "piece"), ["lang", "segment", "source"], "left")
             .select("lang", "segment", "seat", "source", "size", "kept", F.coalesce("n", F.lit(0)).alias("n"), "piece")
             .repartition(n_parts, "lang", "segment", "seat")
-            .persist()
         )
+        _settle(residents)
         try:
             keys = ["lang", "segment", "seat"]
             own = places.filter("whole IS NOT NULL").select("lang", "segment", F.explode(F.sequence(F.lit(0), F.lit(seats - 1))).alias("seat"), "size", "kept", F.col("all").alias("n"), F.col("whole").alias("piece"), "terms")
