@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, fingerprints, htmltext, langid, neardup, packing, sharding, tokencount, toxicity, urlfilter
+from . import conversationtrie, decontamination, divergence, fingerprints, htmltext, langid, neardup, packing, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op11_systolic_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_doubling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversationtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_boosted_url_filter": op9_boosted_url_filter,
     "op10_positional_decontamination": op10_positional_decontamination,
     "op11_systolic_divergence": op11_systolic_divergence,
+    "op12_prefix_doubling_trie": op12_prefix_doubling_trie,
     "proximity_matches": proximity_matches,
 }
 
@@ -143,4 +148,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS integer) AS rank
         FROM rows QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
     """,
+    "op12_prefix_doubling_trie": r"""
+        WITH t AS (
+          SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS said,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+          FROM conversations WHERE conv_id IS NOT NULL),
+        crc(n, x) AS (SELECT n, x FROM (SELECT n, n AS x0 FROM range(256) r(n)), LATERAL (SELECT list_reduce(list_prepend(x0, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x)),
+        tab AS (SELECT list(x ORDER BY n) AS xs FROM crc),
+        ids AS (SELECT DISTINCT c FROM t),
+        hs AS (SELECT c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda s: ascii(s)::bigint)),
+                      lambda a, b: xor(a >> 8, xs[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h FROM ids, tab),
+        seqs AS (SELECT c, list({r: role, s: said} ORDER BY i) AS ts FROM t GROUP BY c),
+        built AS (SELECT hs.c, list_concat(coalesce(b.ts[1:h], []), o.ts[h + 1:]) AS ts
+          FROM hs JOIN seqs o ON o.c = hs.c LEFT JOIN seqs b ON b.c = hs.c - hs.c % 5),
+        pre AS (SELECT c, len(ts) AS length, d, ts[1:d] AS p FROM built, LATERAL (SELECT unnest(range(0, len(ts) + 1)) AS d)),
+        nodes AS (SELECT d, p, min(c) AS c, count(*) AS n, coalesce(sha256(string_agg(CASE WHEN length = d THEN c::varchar END, ',' ORDER BY c)), sha256('')) AS ends FROM pre GROUP BY d, p),
+        kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+        vals AS (SELECT n.d, n.p, n.c, n.n, n.ends, coalesce(k.k, 0) AS k, CASE WHEN n.d = 0 THEN 0 ELSE (n.n - 1) * strlen(n.p[n.d].s) END AS saved
+          FROM nodes n LEFT JOIN kids k ON k.d = n.d AND k.p = n.p),
+        up AS (SELECT a, p[1:a] AS p, sum(saved) AS saved, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves FROM vals, LATERAL (SELECT unnest(range(0, d + 1)) AS a) GROUP BY ALL)
+        SELECT v.c AS conv_id, v.d AS depth, q.c AS parent_conv_id, v.n AS n_convs, v.k AS n_children, cast(up.leaves AS bigint) AS n_leaves, cast(up.saved AS bigint) AS saved_tokens, v.ends AS ends_sha256
+        FROM vals v JOIN up ON up.a = v.d AND up.p = v.p LEFT JOIN nodes q ON q.d = v.d - 1 AND q.p = v.p[1:v.d - 1]
+    """,
 }
