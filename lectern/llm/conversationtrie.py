@@ -3,12 +3,12 @@
 Turns are numbered per conversation, conversations are rebuilt (their first turns come from the first conversation of
 their five), and every distinct prefix of a rebuilt conversation is a node.
 
-Prefixes get their names as in a parallel prefix scan, in about twice log2 of the longest conversation rounds of joins:
+Prefixes get their names by doubling, in log2 of the longest conversation rounds of joins:
 
-1. Up: a turn's name is a dense number of its (role, text). The name of a block of 2^(k+1) turns is a dense number of
-   the names of its two halves, so after k rounds every aligned block of 2^k turns has a name.
-2. Down: a depth is the sum of its binary digits, so a prefix is a row of aligned blocks of falling size. Beginning with
-   the largest, each round puts the next block behind the prefixes known so far and numbers the pairs.
+1. A turn's name is a dense number of its (role, text). The name of a block of 2^(k+1) turns is a dense number of the
+   names of its two halves, so after k rounds every aligned block of 2^k turns has a name.
+2. A depth is the sum of its binary digits, so a prefix is a row of aligned blocks of falling size, and its name is the
+   list of their names, at most log2 of its depth, composed by one shuffle.
 
 Two prefixes of one depth have the same name if and only if their turns are equal. Then nodes are groups of (depth,
 name). Sums over subtrees need no walk: a node's value is put on its smallest member, whose prefixes are its ancestors;
@@ -91,25 +91,31 @@ def dense_names(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.join(named, list(keys))
 
 
-def prefix_names(turns: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
-    """Names of turns (conv, i, name) and of prefixes (conv, depth, name, depth from 1) of conversations up to ``longest`` turns."""
-    first = stored(dense_names(turns.select("conv", "i", "digest"), "digest").select("conv", "i", "name"))
-    blocks = [first]
-    while 2 << (len(blocks) - 1) <= longest:
+def block_names(turns: DataFrame, longest: int) -> list[DataFrame]:
+    """For k = 0, 1, 2 … the names (conv, i, name) of the aligned blocks of 2^k turns, i-th of the conversation."""
+    blocks = [stored(dense_names(turns.select("conv", "i", "digest"), "digest").select("conv", "i", "name"))]
+    while 1 << len(blocks) <= longest:
         side = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.col("name")))
         halves = blocks[-1].groupBy("conv", F.shiftright("i", 1).alias("at")).agg(side(0).alias("left"), side(1).alias("right")).filter("right IS NOT NULL")
         blocks.append(stored(dense_names(halves, "left", "right").select("conv", F.col("at").alias("i"), "name")))
-    known: DataFrame | None = None
-    for k in range(len(blocks) - 1, -1, -1):
-        # the block of size 2^k that ends a prefix is the one at an even place
-        ends = blocks[k].filter(F.col("i") % 2 == 0).select("conv", (F.col("i") * (1 << k)).alias("start"), F.col("name").alias("last"))
-        begun = ends.filter("start = 0").select("conv", F.col("start"), F.lit(0).cast("long").alias("before"), "last")
-        if known is not None:
-            more = ends.filter("start > 0").join(known.select("conv", F.col("depth").alias("start"), F.col("name").alias("before")), ["conv", "start"])
-            begun = begun.unionByName(more)
-        added = stored(dense_names(begun, "start", "before", "last").select("conv", (F.col("start") + (1 << k)).alias("depth"), "name"))
-        known = added if known is None else known.unionByName(added)
-    return first, known
+    return blocks
+
+
+def prefix_names(blocks: list[DataFrame]) -> DataFrame:
+    """conv, depth (from 1) and name: the names of the blocks that the depth's binary digits stand for, largest first.
+
+    A block of 2^k turns at an even place is in the prefixes that end in it or behind it before the next such block.
+    """
+    parts: DataFrame | None = None
+    for k, block in enumerate(blocks):
+        size = F.lit(1 << k).cast("long")
+        ends = F.explode(F.sequence((F.col("i") + 1) * size, (F.col("i") + 2) * size - 1))
+        part = block.filter(F.col("i") % 2 == 0).select("conv", ends.alias("depth"), F.struct(F.lit(-k).alias("order"), "name").alias("part"))
+        parts = part if parts is None else parts.unionByName(part)
+    # blocks in a row that the last ones are missing of would end beyond the conversation
+    composed = parts.groupBy("conv", "depth").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = F.size("parts") == F.bit_count("depth")
+    return composed.filter(whole).select("conv", "depth", F.transform("parts", lambda x: x["name"]).alias("name"))
 
 
 def _suffix_sums(values: DataFrame) -> DataFrame:
@@ -156,9 +162,10 @@ def trie(conversations: DataFrame) -> DataFrame:
     number: Column = F.col("conv")
     with scratch(conversations.sparkSession):
         turns, lengths = rebuilt_turns(stored(numbered_turns(conversations)))
-        turns, lengths = stored(turns), stored(lengths)
+        turns = stored(turns)
         longest = lengths.agg(F.max("length")).first()[0] or 0
-        _, names = prefix_names(turns, longest)
+        names = prefix_names(block_names(turns, longest))
+        names = stored(dense_names(names.withColumnRenamed("name", "blocks"), "depth", "blocks").select("conv", "depth", "name"))
         roots = lengths.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("name"))
         # each prefix with the bytes of its last turn and the name of its parent, by one shuffle
         no = F.lit(None).cast("long")
@@ -166,9 +173,9 @@ def trie(conversations: DataFrame) -> DataFrame:
         beside = (
             own.select("conv", "depth", "name", no.alias("bytes"), no.alias("above"))
             .unionByName(turns.select("conv", (F.col("i") + 1).alias("depth"), no.alias("name"), "bytes", no.alias("above")))
-            .unionByName(own.join(lengths, "conv").filter("depth < length").select("conv", (F.col("depth") + 1).alias("depth"), no.alias("name"), no.alias("bytes"), F.col("name").alias("above")))
+            .unionByName(own.select("conv", (F.col("depth") + 1).alias("depth"), no.alias("name"), no.alias("bytes"), F.col("name").alias("above")))
         )
-        prefixes = stored(beside.groupBy("conv", "depth").agg(F.max("name").alias("name"), F.max("bytes").alias("bytes"), F.max("above").alias("above")))
+        prefixes = stored(beside.groupBy("conv", "depth").agg(F.max("name").alias("name"), F.max("bytes").alias("bytes"), F.max("above").alias("above")).filter("name IS NOT NULL"))
         nodes = stored(
             prefixes.groupBy("depth", "name").agg(F.min(number).alias("conv"), F.count("*").alias("n_convs"), F.min("bytes").alias("bytes"), F.min("above").alias("above"))
         )
