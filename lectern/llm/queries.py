@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversationtrie, decontamination, divergence, fingerprints, htmltext, langid, neardup, packing, sharding, tokencount, toxicity, urlfilter
+from . import conversationtrie, decontamination, divergence, fingerprints, htmltext, langid, neardup, packing, quality, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op12_prefix_doubling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversationtrie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_positional_decontamination": op10_positional_decontamination,
     "op11_systolic_divergence": op11_systolic_divergence,
     "op12_prefix_doubling_trie": op12_prefix_doubling_trie,
+    "op13_rule_quality": op13_rule_quality,
     "proximity_matches": proximity_matches,
 }
 
