@@ -65,12 +65,13 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word streams of ``words`` as one row of arrays per document that has words."""
-    lines = F.transform(F.split("text", "\n"), lambda t, line: F.transform(F.filter(F.split(t, "[ \t\r]+"), lambda w: w != ""), lambda w: F.struct(w.alias("word"), line.alias("line"))))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(KEY), F.flatten(lines).alias("w")).filter(F.size("w") > 0)
-    starts = F.transform(F.col("w.line"), lambda line, no: 0.5 + 0.4 * no + 1.0 * line)
-    rows = rows.select(KEY, F.col("w.word").alias("words"), starts.alias("starts"))
+    parts = lambda t: F.array_remove(F.split(t, "[ \t\r]+"), "")
+    lines = F.split("text", "\n")
+    of_line = F.flatten(F.transform(lines, lambda t, line: F.array_repeat(line, F.size(parts(t)))))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(KEY), F.flatten(F.transform(lines, parts)).alias("words"), of_line.alias("lines")).filter(F.size("words") > 0)
+    rows = rows.select(KEY, "words", F.transform("lines", lambda line, no: 0.5 + 0.4 * no + 1.0 * line).alias("starts"))
     rows = rows.select(KEY, "words", "starts", F.transform("starts", lambda s: s + 0.3).alias("ends"))
-    return rows.withColumn("duration_s", F.array_max("ends") + 2.0)
+    return rows.withColumn("duration_s", F.element_at("ends", -1) + 2.0)
 
 
 def word_recordings(stream: DataFrame) -> DataFrame:
