@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import audio_extension, is_lossless
-
-COUNTS = "file string, packets long, identical long, pieces long"
+from ..session import keep
+from .numbering import numbered
 
 
 def parse_probe(json_text: Column) -> Column:
@@ -49,36 +53,113 @@ def packet_starts(packets: DataFrame) -> DataFrame:
     return packets.filter(F.col("pts").isNotNull() & ~F.isnan("pts")).select("file", "pts")
 
 
-def match_packets(source: DataFrame, result: DataFrame) -> DataFrame:
-    """J-13, A-14: per file how many result packets are copies of source packets, taken in order.
+#: Result packets that are walked over in one piece of work.
+CHUNK = 1 << 14
+MAP = "file string, chunk long, upto long, first long, end long, matched long, jumps long"
 
-    Both: file, seq, hash. The walk over one file depends on its own last step and runs as a function per file;
-    it holds hashes as numbers, not packets.
-    """
 
-    def ordered(frame: pd.DataFrame) -> list[int]:
-        return frame.sort_values([frame.columns[1], frame.columns[2]])[frame.columns[2]].tolist() if len(frame) else []
-
-    def walk(key: tuple, src: pd.DataFrame, dst: pd.DataFrame) -> pd.DataFrame:
-        hashes = ordered(src)
-        places: dict[int, list[int]] = {}
-        for i in range(len(hashes) - 1, -1, -1):
-            places.setdefault(hashes[i], []).append(i)  # from the last to the first, so that passed ones pop off
-        at = matched = jumps = 0
-        for h in ordered(dst):
-            if at < len(hashes) and hashes[at] == h:
-                at, matched = at + 1, matched + 1
+def chunk_map(hashes: list[int], places: dict[int, list[int]]) -> list[tuple[int, int, int, int, int]]:
+    """What the walk over a chunk of result packets does from every place in the source that it can begin at.
+
+    ``places``: ascending places of each hash in the source. Rows (upto, first, end, matched, jumps), ascending: from a
+    place up to ``upto``, and beyond that of the row before, the first match is at ``first``, the walk goes on at
+    ``end``, and so many packets matched, so many of them not at the next place (the first one not counted). From
+    beyond the last row nothing matches.
+
+    All beginnings walk together. Those that match at the same place are one from then on, so a packet moves few.
+    """
+    spots = sorted(p for found in places.values() for p in found)
+    n = len(spots)
+    # where the walks are: twice the place, and one more for those that have not matched yet, up to a spot
+    keys, walks = [2 * s + 1 for s in spots], list(range(n))
+    parent, matched, jumps, first = list(range(n)), [0] * n, [0] * n, [0] * n
+    for h in hashes:
+        found = places.get(h, ())
+        for k in range(len(found) - 1, -1, -1):
+            p = found[k]
+            b = bisect_right(keys, 2 * p + 1)
+            if not b:
+                break
+            a = bisect_left(keys, 2 * (found[k - 1] + 1)) if k else 0
+            if a == b:
+                continue
+            for at in range(a, b):
+                walk = walks[at]
+                matched[walk] += 1
+                if keys[at] & 1:
+                    first[walk] = p
+                elif keys[at] != 2 * p:
+                    jumps[walk] += 1
+            if b < len(keys) and keys[b] == 2 * p + 2:
+                b += 1  # one that stands there already
+            if b - a == 1:
+                keys[a] = 2 * p + 2
                 continue
-            later = places.get(h, [])
-            while later and later[-1] < at:
-                later.pop()
-            if later:
-                at, matched, jumps = later[-1] + 1, matched + 1, jumps + 1
-        return pd.DataFrame([(key[0], len(dst), matched, jumps + 1)], columns=["file", "packets", "identical", "pieces"])
+            for at in range(a, b):
+                parent[walks[at]] = len(parent)
+            keys[a:b], walks[a:b] = [2 * p + 2], [len(parent)]
+            parent.append(len(parent))
+            matched.append(0)
+            jumps.append(0)
+            first.append(0)
+    end = {walk: key // 2 for key, walk in zip(keys, walks, strict=True)}
+    for walk in range(len(parent) - 1, -1, -1):
+        if parent[walk] != walk:
+            up = parent[walk]
+            matched[walk] += matched[up]
+            jumps[walk] += jumps[up]
+            end[walk] = end[up]
+    return [(spots[i], first[i], end[i], matched[i], jumps[i]) for i in range(n)]
+
+
+def _chunk_maps(key: tuple, result: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
+    places: dict[int, list[int]] = {}
+    for h, place in source.sort_values("s_place")[["s_h", "s_place"]].itertuples(index=False):
+        places.setdefault(h, []).append(place)
+    rows = chunk_map(result.sort_values("r_no")["r_h"].tolist(), places)
+    return pd.DataFrame([(key[0], key[1], *row) for row in rows], columns=[c.split()[0] for c in MAP.split(", ")])
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The walk of each file through its chunks' maps, which come in order: one row per file."""
+    file, chunk, at, matched, jumps = None, -1, 0, 0, 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([matched], pa.int64()), pa.array([jumps], pa.int64())], names=["file", "identical", "jumps"])
+
+    for batch in batches:
+        for own, number, upto, first, end, n, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != file:
+                if file is not None:
+                    yield made()
+                file, chunk, at, matched, jumps = own, -1, 0, 0, 0
+            if number != chunk and upto >= at:
+                jumps += more + (first != at)
+                chunk, at, matched = number, end, matched + n
+    if file is not None:
+        yield made()
+
+
+def match_packets(source: DataFrame, result: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """J-13, A-14: per file how many result packets are copies of source packets, taken in order.
 
+    Both: file, seq, hash. Each packet goes to its hash's next place in the source; one without such a place is passed
+    over. What that walk does in a chunk of ``chunk`` result packets is a map from where it begins, made from the places
+    of the chunk's hashes alone. Chunks of one file are mapped in many tasks; following the maps from chunk to chunk
+    is one pass over their sorted rows, which holds one place.
+    """
+    light = lambda df: df.select("file", "seq", "hash").filter(F.col("file").isNotNull())
+    h = F.xxhash64("hash")
     # own names on either side: both may stem from one table
-    light = lambda df, side: df.select(F.col("file").alias(f"{side}_file"), F.col("seq").alias(f"{side}_seq"), F.xxhash64("hash").alias(f"{side}_h"))
-    return light(source, "s").groupBy("s_file").cogroup(light(result, "r").groupBy("r_file")).applyInPandas(walk, COUNTS)
+    src = numbered(light(source), ["seq", "hash"], ["file"]).select(F.col("file").alias("s_file"), h.alias("s_h"), (F.col("no") - 1).alias("s_place"))
+    dst = keep(numbered(light(result), ["seq", "hash"], ["file"]).select(F.col("file").alias("r_file"), h.alias("r_h"), F.col("no").alias("r_no"), F.expr(f"(no - 1) div {chunk}").alias("r_chunk")))
+    wanted = dst.select(F.col("r_file").alias("s_file"), F.col("r_h").alias("s_h"), F.col("r_chunk").alias("s_chunk")).distinct()
+    near = src.join(wanted, ["s_file", "s_h"])
+    maps = dst.groupBy("r_file", "r_chunk").cogroup(near.groupBy("s_file", "s_chunk")).applyInPandas(_chunk_maps, MAP)
+    walked = maps.repartition("file").sortWithinPartitions("file", "chunk", "upto").mapInArrow(_followed, "file string, identical long, jumps long")
+    files = light(source).select("file").distinct().join(dst.groupBy(F.col("r_file").alias("file")).agg(F.count("*").alias("packets")), "file", "full_outer").join(walked, "file", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return files.select("file", none("packets").alias("packets"), none("identical").alias("identical"), (none("jumps") + 1).alias("pieces"))
 
 
 def verify(counts: DataFrame) -> DataFrame:

@@ -763,12 +763,47 @@ def match_files(spark, sf):
 # Verification
 
 
-@query()
+def _walk_sql(file: str, hashed: str, place: str) -> str:
+    """The walk packet by packet, all files side by side."""
+    return f"""WITH RECURSIVE li AS (SELECT {file} AS file, l_orderkey * 10 + l_linenumber AS seq, {place} AS moved, {hashed} AS h, l_quantity AS q FROM lineitem),
+    sp AS (SELECT file, h, row_number() OVER (PARTITION BY file ORDER BY seq, h) - 1 AS p FROM li),
+    rp AS (SELECT file, h, row_number() OVER (PARTITION BY file ORDER BY moved, h) AS i FROM li WHERE q > 10),
+    pl AS (SELECT file, h, list(p ORDER BY p) AS ps FROM sp GROUP BY ALL),
+    d AS MATERIALIZED (SELECT rp.file, i, ps FROM rp LEFT JOIN pl USING (file, h)),
+    w AS (
+      SELECT DISTINCT file, 0::BIGINT AS i, 0::BIGINT AS "at", 0::BIGINT AS m, 0::BIGINT AS j FROM d
+      UNION ALL SELECT file, i, coalesce(nx + 1, "at"), m + (nx IS NOT NULL)::BIGINT, j + (coalesce(nx, "at") <> "at")::BIGINT
+      FROM (SELECT w.file, d.i, w."at", m, j, list_filter(ps, lambda p: p >= w."at")[1] AS nx FROM w JOIN d ON d.file = w.file AND d.i = w.i + 1)
+    )
+    SELECT file, max(i) AS packets, max(m) AS identical, max(j) + 1 AS pieces, max(i) > 0 AND max(i) = max(m) AS lossless FROM w GROUP BY file"""
+
+
+def _packets(spark: SparkSession, sf: str, file: Column, hashed: Column, moved: Column) -> DataFrame:
+    items = table(spark, sf, "lineitem").withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    items = items.select(file.cast("string").alias("file"), "seq", hashed.alias("hash"), moved.alias("moved"), "l_quantity")
+    return Y.verify(Y.match_packets(items.select("file", "seq", "hash"), items.filter("l_quantity > 10").select("file", F.col("moved").alias("seq"), "hash")))
+
+
+@query(_walk_sql("(l_orderkey % 50)::VARCHAR", "md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey)", "l_orderkey * 10 + l_linenumber"))
 def verify_counts(spark, sf):
-    """The ordered walk over packets; tested against a plain version."""
-    text = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey")
-    items = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).cast("string").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.md5(text).alias("hash"), "l_quantity")
-    return Y.verify(Y.match_packets(items.select("file", "seq", "hash"), items.filter("l_quantity > 10").select("file", "seq", "hash")))
+    """Fifty files from which packets were left out."""
+    return _packets(spark, sf, F.col("l_orderkey") % 50, F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey")), F.col("seq"))
+
+
+@query(_walk_sql("(l_orderkey % 50)::VARCHAR", "(l_partkey % 400) || '|' || l_linenumber", "l_orderkey * 10 + l_linenumber + CASE WHEN l_suppkey % 11 = 0 THEN 20005 ELSE 0 END"))
+def verify_reordered(spark, sf):
+    """Packets that repeat, and some of the result put later than they were."""
+    later = F.when(F.col("l_suppkey") % 11 == 0, F.lit(20005)).otherwise(F.lit(0))
+    return _packets(spark, sf, F.col("l_orderkey") % 50, F.concat_ws("|", F.col("l_partkey") % 400, "l_linenumber"), F.col("seq") + later)
+
+
+@query(
+    """WITH s AS (SELECT l_quantity AS q, row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate))) AS p FROM lineitem), r AS (SELECT p, lag(p, 1, 0) OVER (ORDER BY p) AS b FROM s WHERE q > 10)
+    SELECT 'all' AS file, count(*) AS packets, count(*) AS identical, count(*) FILTER (p <> b + 1) + 1 AS pieces, true AS lossless FROM r"""
+)
+def verify_one_file(spark, sf):
+    """All line items as one file, whose walk is shared out by chunks."""
+    return _packets(spark, sf, F.lit("all"), F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")), F.col("seq"))
 
 
 @query(

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.catalog import path_key
+from ..operators.numbering import numbered
 
 # Endings of media files and the names of result folders.
 MEDIA = (
@@ -68,30 +68,21 @@ def append_texts(sheet: DataFrame, updates: DataFrame) -> DataFrame:
     old = kept.select("row", "id", F.when(mine, F.col("new_link")).otherwise(F.col("link")).alias("link"), F.when(mine, F.col("new_text")).otherwise(F.col("text")).alias("text"))
     added = latest.join(owners, "id", "left_anti")
     last = F.broadcast(sheet.agg(F.coalesce(F.max("row"), F.lit(1)).alias("last"), F.count("*").alias("n")))
-    numbered = _numbered(added, "first_seq").crossJoin(last)  # one row
-    new = numbered.select((F.col("last") + F.col("no")).cast("int").alias("row"), "id", F.col("new_link").alias("link"), F.col("new_text").alias("text"))
+    new = numbered(added, ["first_seq"]).crossJoin(last)  # one row
+    new = new.select((F.col("last") + F.col("no")).cast("int").alias("row"), "id", F.col("new_link").alias("link"), F.col("new_text").alias("text"))
     heading = last.filter("n = 0").select(F.lit(1).alias("row"), F.lit(None).cast("string").alias("id"), F.lit("Ссылка").alias("link"), F.lit("Расшифровка").alias("text"))
     return old.unionByName(new).unionByName(heading)
 
 
-def _numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds ``no``, 1 to n by an order column, from counts of ordered ranges instead of one sorted task."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    sized = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sized.alias("a").join(sized.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    return ranged.withColumn("place", place).join(F.broadcast(before), "part").withColumn("no", F.col("before") + F.col("place")).drop("part", "place", "before")
-
-
 def compact(sheet: DataFrame, cells: list[str]) -> DataFrame:
     """S-12: rows whose cells are not all blank, renumbered in order; adds ``new_row``."""
     filled = F.trim(F.concat_ws("", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells])) != ""
-    return _numbered(sheet.filter(filled), "row").withColumnRenamed("no", "new_row")
+    return numbered(sheet.filter(filled), ["row"], name="new_row")
 
 
 def in_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """X-04: adds ``batch``, ``size`` rows each, in order."""
-    return _numbered(rows, order).withColumn("batch", F.floor((F.col("no") - 1) / size)).drop("no")
+    return numbered(rows, [order]).withColumn("batch", F.floor((F.col("no") - 1) / size)).drop("no")
 
 
 def write_links(links: DataFrame, folder: str) -> None:
