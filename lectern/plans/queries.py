@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..operators import voting as A
 from ..operators import words as V
 from ..operators.intervals import KEY
 from ..session import keep, table
-from ..settings import DEFAULTS, REPEAT_NOTE
+from ..settings import DEFAULTS, REPEAT_NOTE, Settings
 from ..sources import adapters as S
 from ..sources import media as M
 from . import oracle as O
@@ -298,8 +299,6 @@ def quiet_levels(spark, sf):
 @query()
 def quiet_speech(spark, sf):
     """Walks over segments by their own last step; tested against a plain version."""
-    from dataclasses import replace
-
     speech, recs = _speech(spark, sf)
     return W.quiet_speech(S.frames(spark, sf), speech, recs, frame_s=0.6, st=replace(DEFAULTS, quiet_abs=-20.0, quiet_rel=-0.2))
 
@@ -312,8 +311,6 @@ def quiet_speech(spark, sf):
     SELECT rec_id, start_s, end_s FROM ch LEFT JOIN sh USING (rec_id, start_s) WHERE coalesce(s, 0) < 0.3"""
 )
 def speech_chunks(spark, sf):
-    from dataclasses import replace
-
     return W.speech_chunks(S.segments(spark, sf), S.music(spark, sf), replace(DEFAULTS, music_thr=0.1))
 
 
@@ -473,8 +470,8 @@ def _group() -> Column:
 _ACC = """ac AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS rec_id, doc_id AS chunk, doc_id * 8::DOUBLE AS start_s, doc_id * 8::DOUBLE + 8 AS end_s, CASE lang WHEN 'en' THEN 'британский' WHEN 'de' THEN 'европейский' ELSE 'другой' END AS g FROM documents WHERE lang IS NOT NULL)"""
 
 
-_VOTE = f"""{_ACC}, nb AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY chunk) - 1 AS p, count(*) OVER (PARTITION BY rec_id) AS n FROM ac),
-    pk AS (SELECT * FROM nb WHERE n <= 80 OR list_contains(list_transform(range(0, 80), lambda i: round_even(i * ((n - 1) / 79::DOUBLE), 0)::BIGINT), p)),
+_VOTE = f"""{_ACC}, vb AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY chunk) - 1 AS p, count(*) OVER (PARTITION BY rec_id) AS n FROM ac),
+    pk AS (SELECT * FROM vb WHERE n <= 80 OR list_contains(list_transform(range(0, 80), lambda i: round_even(i * ((n - 1) / 79::DOUBLE), 0)::BIGINT), p)),
     ct AS (SELECT rec_id, g, count(*) AS v, min(chunk) AS f FROM pk GROUP BY rec_id, g), tot AS (SELECT *, sum(v) OVER (PARTITION BY rec_id) AS n, row_number() OVER (PARTITION BY rec_id ORDER BY v DESC, f) AS r FROM ct),
     vo AS (SELECT rec_id, max(n)::BIGINT AS n, max(CASE WHEN r = 1 THEN g END) AS top, max(CASE WHEN r = 1 THEN round_even(v / n::DOUBLE, 2) END) AS share FROM tot GROUP BY rec_id)"""
 
@@ -842,11 +839,79 @@ def full_analysis(spark, sf):
     return R.analyze(R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, sf), S.frames(spark, sf), S.words(spark, sf))).timecodes
 
 
+_PHRASED = _PHRASES.replace(O.WORDS + ",", "").replace("JOIN wrec r", "JOIN recordings r")
+_LAYERED = f"""{O.BASE.replace("cuts AS (", "base_cuts AS (")}, {O.BACKGROUND}, {O.WORDS}, {_PHRASED},
+    added AS (SELECT rec_id, start_s, end_s, ['m'] AS reasons FROM background UNION ALL SELECT rec_id, start_s, end_s, ['w'] FROM hv WHERE NOT coalesce(ps = start_s AND pend = end_s, false)),
+    lay AS (SELECT rec_id, start_s, end_s, reasons FROM base_cuts WHERE rec_id IN (SELECT rec_id FROM added) UNION ALL SELECT * FROM added),
+    {O.merged('lay', 'lm')},
+    cuts AS (SELECT rec_id, start_s, least(end_s, duration_s) AS end_s FROM lm JOIN recordings USING (rec_id) WHERE least(end_s, duration_s) > start_s UNION ALL SELECT rec_id, start_s, end_s FROM base_cuts WHERE rec_id NOT IN (SELECT rec_id FROM added)),
+    {O.TIMECODES}"""
+
+
+def _inputs(spark: SparkSession, sf: str) -> R.Inputs:
+    segs = S.segments(spark, sf)
+    accents = S.accents(spark, sf).withColumn("grp", _group())
+    return R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, sf), S.frames(spark, sf), S.words(spark, sf), accents, S.voice(spark, sf)).by_recording()
+
+
+def _listed(st: Settings = DEFAULTS) -> Settings:
+    return replace(st, words=", ".join(ENTRIES))
+
+
+@query(f"WITH {_LAYERED} SELECT rec_id, coalesce(t, 'good') AS timecodes FROM recordings LEFT JOIN tc USING (rec_id)")
+def layered_timecodes(spark, sf):
+    """Cut lists with music under voices and phrases, from a first analysis that keeps its layers."""
+    return R.first_analysis(_inputs(spark, sf), _listed()).lists
+
+
+@query(f"WITH {_LAYERED} SELECT rec_id, coalesce(t, 'good') AS timecodes FROM recordings LEFT JOIN tc USING (rec_id)")
+def refreshed_timecodes(spark, sf):
+    """The same lists by bringing up to date an analysis with other settings and with other words of every third recording."""
+    inputs = _inputs(spark, sf)
+    old = replace(inputs, words=inputs.words.withColumn("word", F.when(F.col(KEY) % 3 == 0, F.lit("thing")).otherwise(F.col("word"))))
+    kept = R.first_analysis(old, replace(_listed(), bg_music_thr=0.12, max_gap=9.0))
+    return R.refresh(kept, inputs, _listed())[0].lists
+
+
+_RESULTS = f"""{_LAYERED}, {_VOTE},
+    xn AS (SELECT r.rec_id, k, greatest(0::DOUBLE, duration_s * (k + 0.5::DOUBLE) / 4 - 22.5::DOUBLE) AS a, duration_s FROM recordings r, range(4) t(k) WHERE r.rec_id IN (SELECT rec_id FROM words)),
+    xl AS (SELECT n.rec_id, n.k, n.a, coalesce(string_agg(trim(word), ' ' ORDER BY word_no), '') AS t FROM xn n LEFT JOIN words w ON w.rec_id = n.rec_id AND w.start_s >= a AND w.start_s < least(duration_s, a + 45) GROUP BY 1, 2, 3),
+    xt AS (SELECT rec_id, string_agg('[' || {O.fmt('a')} || '] ' || t, chr(10) ORDER BY k) AS text FROM xl GROUP BY rec_id),
+    xk AS (SELECT rec_id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w, i: {{'i': i, 'w': w}})) AS p FROM xt),
+    xh AS (SELECT rec_id, {_HIT} AS hit FROM (SELECT rec_id, p.i AS i, p.w AS w FROM xk)),
+    xc AS (SELECT rec_id, count(*) AS words, count(hit) AS hits FROM xh GROUP BY rec_id),
+    cv AS (SELECT DISTINCT rec_id, unnest(range(floor(start_s)::BIGINT, ceil(end_s)::BIGINT))::INTEGER AS sec FROM (SELECT rec_id, start_s, end_s FROM background UNION ALL SELECT rec_id, start_s, end_s FROM base_cuts WHERE list_contains(reasons, 'музыка под речью'))),
+    xm AS (SELECT rec_id, round_even(count(cv.sec)::DOUBLE / count(*), 3) AS share FROM series LEFT JOIN cv USING (rec_id, sec) WHERE speech GROUP BY rec_id),
+    xs AS (SELECT rec_id, round_even(coalesce(sum(end_s - start_s), 0) / greatest(any_value(duration_s), 1e-9::DOUBLE), 3) AS ratio FROM recordings LEFT JOIN segments USING (rec_id) GROUP BY rec_id)"""
+
+
+@query(
+    f"""WITH {_RESULTS} SELECT r.rec_id, coalesce(t, 'good') AS timecodes, ratio AS speech_ratio, xm.share AS music_share, vo.n AS accent_n, vo.top AS accent_top, vo.share AS accent_share,
+    CASE WHEN xt.text IS NOT NULL THEN coalesce(xc.words, 0) END AS words, CASE WHEN xt.text IS NOT NULL THEN coalesce(xc.hits, 0) END AS hits,
+    array_to_string(list_filter([CASE WHEN xt.text IS NOT NULL AND NOT 100::DOUBLE * coalesce(xc.hits, 0) / greatest(coalesce(xc.words, 0), 1) >= 1 THEN 'НЕ МЕДИЦИНСКАЯ ТЕМА' END,
+      CASE WHEN vo.top <> 'британский' THEN 'НЕ БРИТАНСКИЙ АКЦЕНТ' END, CASE WHEN xm.share >= 0.5 THEN 'МУЗЫКА ПОД РЕЧЬЮ' END], lambda x: x IS NOT NULL), ' + ') AS why
+    FROM recordings r LEFT JOIN tc USING (rec_id) LEFT JOIN xs USING (rec_id) LEFT JOIN xm USING (rec_id) LEFT JOIN vo USING (rec_id) LEFT JOIN xt USING (rec_id) LEFT JOIN xc USING (rec_id)"""
+)
+def full_results(spark, sf):
+    """Everything that a full analysis tells of a recording but the two voices, whose clustering SQL cannot say."""
+    st, inputs = replace(_listed(), dialogue=False), _inputs(spark, sf)
+    kept = R.first_analysis(inputs, st)
+    found = R.results(inputs, kept.lists, kept.base_cuts, kept.speech, VOCABULARY, st)
+    why = F.coalesce(F.array_join("why", " + "), F.lit(""))
+    return found.select(KEY, "timecodes", "speech_ratio", "music_share", F.col("accent_n").cast("long").alias("accent_n"), "accent_top", "accent_share", "words", "hits", why.alias("why"))
+
+
+@query()
+def full_verdicts(spark, sf):
+    """All verdicts of a full analysis, voices included; tested against ``full_results`` and the verdicts' own queries."""
+    inputs = _inputs(spark, sf)
+    kept = R.first_analysis(inputs, _listed())
+    return R.results(inputs, kept.lists, kept.base_cuts, kept.speech, VOCABULARY, _listed())
+
+
 @query()
 def recompute_lists(spark, sf):
     """Cut lists again with other settings for half of the recordings; tested against a full analysis."""
-    from dataclasses import replace
-
     segs = S.segments(spark, sf)
     inputs = R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, sf))
     first = R.analyze(inputs, replace(DEFAULTS, bg_music_thr=0.12))

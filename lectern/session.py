@@ -30,6 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keep_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``keep`` of ``df`` dealt by ``keys``: windows, groups and joins on the keys read it without another exchange.
+
+    The plan is made without adaptive changes, as only then the kept rows are known to lie where they were dealt.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return keep(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        conf.set(name, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there.
 

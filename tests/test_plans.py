@@ -24,3 +24,54 @@ def test_recompute_equals_full_analysis(spark):
         expected = target[rec] if rec % 2 == 0 else before[rec]
         assert r.timecodes == expected and r.changed == (expected != before[rec]) == r.recut
     assert any(before[rec] != target[rec] for rec in before)
+
+
+def test_refresh_equals_a_first_analysis(spark):
+    """Changes of gaps, music, words and of the inputs themselves; recordings that go and that come."""
+    segs = S.segments(spark, SF)
+    listed = replace(DEFAULTS, words="thing, on the")
+    whole = R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, SF), S.frames(spark, SF), S.words(spark, SF)).by_recording()
+    least = whole.recordings.agg(F.min(KEY)).first()[0]
+    part = whole.only(recordings=whole.recordings.filter(F.col(KEY) != least), segments=whole.recordings.filter(F.col(KEY) != least))
+    lists = lambda kept: {r.rec_id: r.timecodes for r in kept.lists.collect()}
+    first = R.first_analysis(part, listed)
+    # a recording comes, another loses its words, and the words of a third change
+    said = F.when(F.col(KEY) == least + 2, F.lit("thing")).otherwise(F.col("word"))
+    changed = replace(whole, words=whole.words.filter(F.col(KEY) != least + 1).withColumn("word", said))
+    for inputs, st in ((changed, listed), (changed, replace(listed, max_gap=5.0, words="on the", bg_music_thr=0.2)), (part, replace(listed, bg_music=False, words=""))):
+        state, changes = R.refresh(first, inputs, st)
+        again = R.first_analysis(inputs, st)
+        assert lists(state) == lists(again)
+        for name in ("marks", "base_cuts", "extra"):
+            rows = [sorted((tuple(map(str, r)) for r in getattr(s, name).select(*sorted(getattr(again, name).columns)).collect())) for s in (state, again)]
+            assert rows[0] == rows[1], name
+        before = lists(first)
+        assert {r.rec_id: r.changed for r in changes.collect()} == {rec: None if rec not in before else now != before[rec] for rec, now in lists(state).items()}
+        first = state
+
+
+def test_only_layers_whose_marks_changed_are_stale(spark):
+    segs = S.segments(spark, SF)
+    inputs = R.Inputs(segs.select(KEY, "start_s", "end_s"), S.recordings(segs), S.music(spark, SF), None, S.words(spark, SF))
+    marks = lambda i, st: {(r.rec_id, r.layer): r.mark for r in R.layer_marks(i, st).collect()}
+    old = marks(inputs, DEFAULTS)
+    stale = lambda new: {layer for (rec, layer), mark in new.items() if old[rec, layer] != mark}
+    assert stale(marks(inputs, replace(DEFAULTS, bg_window=7))) == {"music"}
+    assert stale(marks(inputs, replace(DEFAULTS, phrase_max=9.0))) == {"words"}
+    assert stale(marks(inputs, replace(DEFAULTS, blip_max=1.0))) == {"base", "music"}
+    assert stale(marks(inputs, replace(DEFAULTS, separation=0.5, threads=3))) == set()
+    shuffled = replace(inputs, words=inputs.words.orderBy(F.rand(1)), segments=inputs.segments.orderBy(F.desc("start_s")))
+    assert stale(marks(shuffled, DEFAULTS)) == set()
+    twice = replace(inputs, words=inputs.words.unionByName(inputs.words.filter(F.col(KEY) == 3).limit(2)))
+    assert {k for k, mark in marks(twice, DEFAULTS).items() if mark != old[k]} == {(3, "words")}
+
+
+def test_verdicts_agree_with_their_own_queries(spark):
+    from lectern.plans.queries import QUERIES
+
+    found = {r.rec_id: r for r in QUERIES["full_verdicts"](spark, SF).collect()}
+    votes = {r.rec_id: (r.n, r.top, r.share) for r in QUERIES["accent_vote"](spark, SF).collect()}
+    talks = {r.rec_id: r.conversation for r in QUERIES["dialogue_structure"](spark, SF).collect()}
+    for rec, r in found.items():
+        assert (r.accent_n, r.accent_top, r.accent_share) == votes.get(rec, (None, None, None)) and r.conversation == talks.get(rec)
+        assert (r.why is None) == (rec not in talks)
