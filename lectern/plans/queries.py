@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import timecodes as T
 from ..operators import catalog as K
+from ..operators import chains as H
 from ..operators import intervals as I
 from ..operators import matching as J
 from ..operators import suitability as U
@@ -757,6 +758,18 @@ def match_files(spark, sf):
     return J.match_files(files, titles.select("row", "id"), titles.select("id", "title"), titles.select("id", "len_s"), native=True)
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT doc_id AS path, CASE doc_id % 50 WHEN 0 THEN NULL WHEN 1 THEN doc_id + 40 ELSE doc_id - 1 - doc_id % 3 END AS "to" FROM documents),
+    w AS (SELECT path, path AS "at", [path] AS seen FROM p UNION ALL SELECT w.path, p."to", list_append(seen, p."to") FROM w JOIN p ON p.path = w."at" WHERE p."to" IS NOT NULL AND NOT list_contains(seen, p."to"))
+    SELECT path, max(len(seen)) - 1 AS steps FROM w GROUP BY path HAVING max(len(seen)) > 1"""
+)
+def source_chains(spark, sf):
+    """How many sources each file's chain has, rings among them; a document stands for a file cut from another."""
+    n = F.col("doc_id")
+    to = F.when(n % 50 == 1, n + 40).when(n % 50 != 0, n - 1 - n % 3)
+    return H.lengths(table(spark, sf, "documents").select(n.alias("path"), to.alias("to")).filter("to IS NOT NULL")).filter("steps > 0")
+
+
 # Verification
 
 

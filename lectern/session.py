@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only where that is unset and the master is local
+    (tests) a temporary one is made.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def keep_by(df: DataFrame, *keys: str) -> DataFrame:
     """``keep`` of ``df`` dealt by ``keys``: windows, groups and joins on the keys read it without another exchange.
 
@@ -44,16 +58,19 @@ def keep_by(df: DataFrame, *keys: str) -> DataFrame:
         conf.set(name, before)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there.
+def keep_sized(df: DataFrame) -> DataFrame:
+    """``keep`` as a table of files, whose size is then known as it is.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset and the master
-    is local (tests) a temporary one is made.
+    A checkpoint goes on with the size estimated for its plan; where each round joins what the one before kept, that
+    estimate is squared again and again, until its digits alone take minutes.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/lectern-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
