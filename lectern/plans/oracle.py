@@ -127,3 +127,19 @@ KEPT = """
 kp AS (SELECT rec_id, duration_s, c.start_s, c.end_s, greatest(0::DOUBLE, coalesce(max(c.end_s) OVER (PARTITION BY rec_id ORDER BY c.start_s, c.end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t,
        max(c.end_s) OVER (PARTITION BY rec_id) AS top FROM recordings LEFT JOIN cuts c USING (rec_id)),
 kept AS (SELECT * FROM (SELECT rec_id, t AS start_s, coalesce(start_s, duration_s) AS end_s FROM kp UNION ALL SELECT DISTINCT rec_id, top, duration_s FROM kp WHERE start_s IS NOT NULL) WHERE end_s - start_s > 0.05::DOUBLE)"""
+
+ITEM_LOG = """
+facts AS (SELECT user_id AS item, epoch_us(ts) // 3600 AS t, event_id AS seq,
+          CASE event_type WHEN 'view' THEN 'row' WHEN 'click' THEN CASE WHEN value < 15 THEN 'found' ELSE 'music' END WHEN 'signup' THEN 'analysed' WHEN 'purchase' THEN 'cut' WHEN 'error' THEN 'failed' END AS kind,
+          CASE event_type WHEN 'view' THEN CASE WHEN value <= 60 THEN value > 5 END WHEN 'signup' THEN value > 10 WHEN 'error' THEN value < 150 END AS flag FROM events),
+fa AS (SELECT *, count(*) FILTER (kind IN ('found', 'analysed', 'cut')) OVER w AS era, max(CASE WHEN kind = 'row' THEN (t, seq) END) OVER w AS row_at, max(CASE WHEN kind IN ('analysed', 'cut') THEN (t, seq) END) OVER w AS reached_at,
+       max(CASE WHEN kind = 'music' THEN (t, seq) END) OVER w AS music_at, lead(t) OVER (PARTITION BY item ORDER BY t, seq) AS next_at
+       FROM facts WHERE item IS NOT NULL AND t IS NOT NULL AND kind IS NOT NULL WINDOW w AS (PARTITION BY item ORDER BY t, seq)),
+fb AS (SELECT fa.*, r.flag AS inside, d.kind AS reached, d.flag AS fits, coalesce(music_at > reached_at, false) AS music,
+       count(*) FILTER (fa.kind = 'failed') OVER e AS attempt, count(*) FILTER (fa.kind = 'failed' AND NOT coalesce(fa.flag, false)) OVER e > 0 AS hopeless
+       FROM fa LEFT JOIN facts r ON r.item = fa.item AND r.seq = fa.row_at[2] LEFT JOIN facts d ON d.item = fa.item AND d.seq = fa.reached_at[2] WINDOW e AS (PARTITION BY fa.item, era ORDER BY fa.t, fa.seq)),
+fc AS (SELECT *, CASE WHEN hopeless OR attempt > 4 THEN 'error' WHEN reached = 'cut' THEN CASE WHEN music THEN 'recut' ELSE 'cut' END WHEN reached = 'analysed' THEN CASE WHEN fits THEN 'done' ELSE 'unfit' END
+       WHEN inside IS NULL THEN 'waits' WHEN inside THEN 'queued' ELSE 'out' END AS state, t + 1000000 * (2 ** attempt)::BIGINT AS due FROM fb),
+item_log AS (
+  SELECT item, t AS "at", 'state' AS what, state, attempt::INTEGER AS attempt FROM (SELECT *, lag(state) OVER (PARTITION BY item ORDER BY t, seq) AS before FROM fc) WHERE state IS DISTINCT FROM before
+  UNION ALL SELECT item, due, 'retry', state, attempt::INTEGER FROM fc WHERE kind = 'failed' AND state <> 'error' AND (next_at IS NULL OR next_at > due))"""

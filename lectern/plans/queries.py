@@ -948,6 +948,27 @@ def stream_sessions(spark, sf):
     return found.select("user_id", "n_events", F.unix_micros("session_start").alias("start_us"))
 
 
+@query(f"WITH {O.ITEM_LOG} SELECT * FROM item_log")
+def item_states(spark, sf):
+    """States of all items and their repetitions; the same rows come from a stream (see tests)."""
+    from ..streaming.items import item_log
+
+    return item_log(S.item_facts(spark, sf))
+
+
+@query(
+    f"""WITH {O.ITEM_LOG}, st AS (SELECT item, "at", CASE WHEN "at" - lag("at") OVER w <= 3000000 THEN 0 ELSE 1 END AS new FROM item_log WHERE what = 'state' WINDOW w AS (PARTITION BY item ORDER BY "at")),
+    gr AS (SELECT item, "at", sum(new) OVER (PARTITION BY item ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS g FROM st)
+    SELECT item, min("at") AS first_us, max("at") + 3000000 AS save_us, count(*) AS n_changes FROM gr GROUP BY item, g"""
+)
+def coalesced_saves(spark, sf):
+    """Changes of an item's state that follow each other within 3 s are saved once."""
+    from ..streaming.items import coalesced, item_log
+
+    changes = item_log(S.item_facts(spark, sf)).filter("what = 'state'").select("item", F.timestamp_micros("at").alias("ts"))
+    return coalesced(changes, ["item"]).select("item", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("save_ts").alias("save_us"), "n_changes")
+
+
 # Relational queries over the general tables: plain Spark, kept apart as nothing of the engine is in them
 
 

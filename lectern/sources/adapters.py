@@ -126,3 +126,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("page_id") % 900 + 1).cast("string")
     names = F.array(title, F.concat(number, F.lit(". "), title), F.concat(title, F.lit(" ("), number, F.lit(")")))
     return rows.select(F.explode(names).alias("name"), F.col("len_s").alias("duration_s")).select(F.concat(F.lit("/media/"), F.col("name"), F.lit(".m4a")).alias("path"), "duration_s")
+
+
+def item_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of items from all events: a user is an item, an hour a second, the kind of event and its value the fact."""
+    value = F.col("value")
+    kinds = {"view": F.lit("row"), "click": F.when(value < 15, "found").otherwise("music"), "signup": F.lit("analysed"), "purchase": F.lit("cut"), "error": F.lit("failed")}
+    kind, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    for event, fact in kinds.items():
+        kind = F.when(F.col("event_type") == event, fact).otherwise(kind)
+    for event, limit in {"view": 5, "signup": 10, "error": 150}.items():
+        flag = F.when(F.col("event_type") == event, value > limit if event != "error" else value < limit).otherwise(flag)
+    flag = F.when((F.col("event_type") == "view") & (value > 60), None).otherwise(flag)
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("item"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600)).cast("long").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), flag.alias("flag")
+    )
