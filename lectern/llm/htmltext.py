@@ -11,7 +11,10 @@ minimum cut, found by augmenting paths, separates content from boilerplate at le
 Class and id words, roles and forms enter as costs. A name whose last word tells of boilerplate (``site-footer``,
 ``ad-slot``) costs much, one that only holds such a word (``legal-news``) little. An element of the first kind that
 turns out to wrap the page (it holds ``main``, the only article, or most of the text with the only top heading; a form:
-most of the text) costs nothing. Only menus, footers, sidebars and dialogs by their tags, page headers and what is
+most of the text) costs nothing. Neither does ``main`` or the page's only article for its own name, nor, where no other
+prose is left on the page, an element whose name can also be that of an article (``notice``, ``legal``). Readers' comments
+are found by their structure besides: elements of one kind side by side after the first prose, short, without headings and
+each with an author and a date, or within something named a discussion. Only menus, footers, sidebars and dialogs by their tags, page headers and what is
 hidden have a capacity that no sum of smoothness edges reaches.
 
 Defined results: null or empty html gives an empty text of 0 characters; a page without an accepted block
@@ -64,6 +67,16 @@ OTHERS = set("related recommended sponsored promoted".split())
 TEXTS = set("posts articles stories links content items news reading videos entries".split())
 #: Words that make a class tell of the page around, as in ``with-sidebar``.
 AROUND = set("has with no without layout columns open closed".split())
+#: Names that tell of boilerplate beside an article, but may also be the name of one.
+MAY_HOLD = set("notice notices notification alert disclaimer legal search teaser teasers widget widgets social related recommended share sharing paywall sidebar aside".split())
+#: Names of what readers write, of what may be that, and of entries that an author dates.
+READERS = set("comment comments reply replies respond disqus".split())
+TALKS = set("discussion discussions responses feedback userposts thread threads".split())
+ENTRIES = set("live update updates timeline liveblog".split())
+AUTHOR_WORDS = set("author user username byline commenter avatar nick nickname vcard poster member".split())
+DATE_WORDS = set("date time timestamp when posted ago datetime published".split())
+#: A comment: how far above its author or date it begins at most, and how many characters comments have on average at most.
+SIGNED_UPWARDS, COMMENT_CHARS = 4, 1500
 HARD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_WORDS = set("article content main post entry story body text maincontent articlebody postbody entrycontent".split())
 
@@ -72,6 +85,7 @@ TAG = re.compile(
     re.S,
 )
 MARKS = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+SIGNS = re.compile(r"\b(class|itemprop|rel)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -82,9 +96,15 @@ NEAR, FAR, SIBLING = 1.2, 0.35, 0.5
 UPWARDS = 64
 
 
+def words_in(name: str) -> list[str]:
+    """The words of a class or id; ``commentlist`` and its like count as ``comments``."""
+    words = [w.lower() for w in PIECES.findall(name)]
+    return ["comments" if w.startswith("comment") and not w.startswith("commenta") and not w.startswith("commentin") else w for w in words]
+
+
 def name_kind(name: str) -> str:
     """What a class or id says: ``boiler``, ``perhaps`` (holds a word of boilerplate), ``header``, ``good`` or nothing."""
-    words = [w.lower() for w in PIECES.findall(name)]
+    words = words_in(name)
     if not words or AROUND.intersection(words):
         return ""
     telling = [w for w in words if w not in PLAIN_WORDS]
@@ -102,7 +122,7 @@ def name_kind(name: str) -> str:
 class Element:
     """An element with what its own tag and attributes say; ``state`` adds what the elements around it say."""
 
-    __slots__ = ("tag", "parent", "depth", "certain", "boiler", "perhaps", "header", "good", "wraps", "known", "n_chars", "holder", "sealed")
+    __slots__ = ("tag", "parent", "depth", "certain", "boiler", "perhaps", "header", "good", "wraps", "known", "n_chars", "holder", "sealed", "name", "signed")
 
     def __init__(self, tag: str, parent: Element | None, marks: str):
         self.tag, self.parent = tag, parent
@@ -114,6 +134,9 @@ class Element:
         self.perhaps = self.wraps = False
         self.known = None
         self.n_chars = 0
+        self.name: tuple[str, ...] = ()
+        #: Bit 1: an author stands in it, bit 2: a date.
+        self.signed = 0
         if marks and tag not in ("html", "body"):
             self._read(marks)
         #: The nearest element, from itself on, that looks like boilerplate, and whether one around it is so for certain.
@@ -132,6 +155,7 @@ class Element:
         for name, value in MARKS.findall(marks):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
+                self.name += tuple(words_in(value))
                 kinds = {name_kind(part) for part in value.split()}
                 self.boiler = self.boiler or "boiler" in kinds
                 self.perhaps = self.perhaps or "perhaps" in kinds
@@ -166,6 +190,17 @@ class Element:
         return certain, cost, good
 
 
+def signs(tag: str, marks: str) -> int:
+    """Whether an element tells an author (1), a date (2), both or nothing."""
+    found = 2 if tag == "time" else 0
+    if marks:
+        for name, value in SIGNS.findall(marks):
+            words = AUTHOR_WORDS | DATE_WORDS if name.lower() != "rel" else {"author"}
+            words = words.intersection(w.lower() for w in PIECES.findall(value))
+            found |= (1 if words & AUTHOR_WORDS else 0) | (2 if words & DATE_WORDS else 0)
+    return found
+
+
 class Block:
     __slots__ = ("text", "element", "linked")
 
@@ -176,6 +211,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, each with its innermost block-level element, whose wrappers are marked."""
     heads: list[Element] = []
+    units: dict[Element, None] = {}  # elements that hold an author or a date, or lie side by side in a discussion
     top = Element("", None, "")
     pieces: list[str] = []
     blocks: list[Block] = []
@@ -246,7 +282,9 @@ def blocks_of(page: str) -> list[Block]:
             muted.clear()
         if muted:
             continue
+        sign = 0 if closing else signs(tag, marks)
         if tag in INLINE:
+            sign_upwards(top, sign, units)
             if tag == "a":
                 in_link = 0 if closing else 1
             elif tag == "br":
@@ -281,19 +319,99 @@ def blocks_of(page: str) -> list[Block]:
                 top = top.parent
         top = Element(tag, top, marks)
         opened[tag] += 1
+        sign_upwards(top, sign, units)
+        if in_talk(top):
+            units[top] = None
         if tag in ("main", "article", "h1"):
             heads.append(top)
     if not muted and end < page_length:
         pieces.append(page[max(end, skip_to) :].split("<!--")[0])
     flush()
+    mark_comments(blocks, units)
     mark_wrappers(blocks, heads)
     return blocks
 
 
+def sign_upwards(element: Element, sign: int, units: dict[Element, None]) -> None:
+    """Notes an author or a date at the elements that may be the comment it belongs to."""
+    for _ in range(SIGNED_UPWARDS if sign else 0):
+        if element.parent is None or element.signed | sign == element.signed:
+            return
+        element.signed |= sign
+        units[element] = None
+        element = element.parent
+
+
+def in_talk(element: Element) -> bool:
+    """Whether it may be one of the contributions to something named a discussion, also one list deeper."""
+    around = element.parent
+    if around is not None and around.tag in LIST_ROOTS and not TALKS.intersection(around.name):
+        around = around.parent
+    return element.tag in ("li", "div", "article", "section", "dd") and around is not None and named_talk(around)
+
+
+def named_talk(element: Element) -> bool:
+    return bool(TALKS.intersection(element.name)) or {"user", "posts"} <= set(element.name)
+
+
+def is_prose(block: Block) -> bool:
+    return len(block.text) >= 40 and block.text[-1] in ".!?\"'”»…" and 2 * block.linked < len(block.text) and block.element.tag not in HEADINGS
+
+
+def mark_comments(blocks: list[Block], units: dict[Element, None]) -> None:
+    """Finds readers' comments by their structure and marks them, and what holds nothing else, as boilerplate."""
+    groups: dict[tuple[int, str, str], list[Element]] = {}
+    for unit in units:
+        if unit.parent is not None and not ENTRIES.intersection(unit.name) and not ENTRIES.intersection(unit.parent.name):
+            groups.setdefault((id(unit.parent), unit.tag, unit.name[0] if unit.name else ""), []).append(unit)
+    groups = {k: g for k, g in groups.items() if all(in_talk(u) for u in g) and (len(g) > 1 or g[0].signed) or len(g) > 1 and all(u.signed == 3 for u in g)}
+    if not groups:
+        return
+    of_unit = {unit: key for key, group in groups.items() for unit in group}
+    chars, bad, first = Counter(), set(), {}
+    first_prose = len(blocks)
+    held: list[tuple[Block, tuple | None]] = []
+    for i, block in enumerate(blocks):
+        node, key = block.element, None
+        for _ in range(UPWARDS):
+            if node is None:
+                break
+            if node in of_unit:
+                key = of_unit[node]  # the outermost counts
+                chars[key] += len(block.text)
+                first.setdefault(key, i)
+                if block.element.tag in ("h1", "h2", "h3"):
+                    bad.add(key)
+            node = node.parent
+        held.append((block, key))
+        if key is None and first_prose == len(blocks) and is_prose(block) and not block.element.sealed and block.element.holder is None:
+            first_prose = i
+    marked = set()
+    for key, group in groups.items():
+        if key not in bad and first.get(key, -1) > first_prose and chars[key] <= COMMENT_CHARS * len(group):
+            marked.add(key)
+            for unit in group:
+                unit.boiler = True
+    around = {group[0].parent for key, group in groups.items() if key in marked}
+    around |= {p.parent for p in around if p.tag in LIST_ROOTS and p.parent is not None and named_talk(p.parent)}
+    around = {p for p in around if p.tag not in ("", "html", "body", "main", "article")}
+    for block, key in held:
+        if key not in marked and (is_prose(block) or block.element.tag in ("h1", "h2")):
+            node = block.element
+            for _ in range(UPWARDS):
+                if node is None:
+                    break
+                around.discard(node)
+                node = node.parent
+    for parent in around:
+        parent.boiler = True
+
+
 def mark_wrappers(blocks: list[Block], heads: list[Element]) -> None:
     """Finds the elements that look like boilerplate but hold the page: ``heads`` are its main, article and h1 elements."""
     mains = [h for h in heads if h.tag == "main"]
-    articles = [h for h in heads if h.tag == "article" and not h.boiler and not h.sealed]
+    articles = [h for h in heads if h.tag == "article" and not h.sealed]
+    plain = [h for h in articles if not h.boiler]
     titles = [h for h in heads if h.tag == "h1"]
     total = 0
     for block in blocks:
@@ -301,6 +419,8 @@ def mark_wrappers(blocks: list[Block], heads: list[Element]) -> None:
             total += len(block.text)
             for holder in block.element.holders():
                 holder.n_chars += len(block.text)
+    if plain or len(articles) != 1 or READERS.intersection(articles[0].name) or 2 * articles[0].n_chars <= total:
+        articles = plain
     above, title_above = set(), set()
     for found, heads in ((above, mains or (articles if len(articles) == 1 else [])), (title_above, titles if len(titles) == 1 else [])):
         for head in heads:
@@ -308,7 +428,7 @@ def mark_wrappers(blocks: list[Block], heads: list[Element]) -> None:
             while node is not None and node not in found:
                 found.add(node)
                 node = node.parent
-    for node in above:
+    for node in (*above, *mains, *(articles if len(articles) == 1 else [])):
         node.wraps = True
     for block in blocks:
         for node in block.element.holders():
@@ -331,7 +451,7 @@ def odds(block: Block) -> float:
     if good:
         score += GOOD
     if element.tag in HEADINGS:
-        score += 1.0
+        score += 1.8 if element.tag == "h1" else 1.0
     elif element.tag in ("p", "blockquote", "pre"):
         score += 0.8
     elif element.tag == "li" and not good:
@@ -397,6 +517,31 @@ def distance(a: Element, b: Element) -> int:
     return steps
 
 
+def wrap_by_name(blocks: list[Block]) -> bool:
+    """Where no prose is left: reads the elements through that hold the most of it, two paragraphs at least, and may be articles by name."""
+    prose, n_chars = Counter(), Counter()
+    for block in blocks:
+        if not block.element.sealed and is_prose(block):
+            chain = list(block.element.holders())
+            if all(not h.wraps and HARD_WORDS.intersection(h.name) and HARD_WORDS.intersection(h.name) <= MAY_HOLD for h in chain):
+                prose.update(chain[-1:])
+                n_chars[chain[-1] if chain else None] += len(block.text)
+    held = [h for h in prose if prose[h] > 1]
+    if not held:
+        return False
+    best = max(held, key=lambda h: n_chars[h])
+    for block in blocks:
+        chain = list(block.element.holders())
+        if best in chain:
+            for holder in chain:
+                holder.wraps = True
+        node = block.element
+        while node is not None and node.known is not None:
+            node.known = None
+            node = node.parent
+    return True
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
@@ -411,6 +556,8 @@ def main_text(page: str | None) -> str:
             edges.append((before, i, SIBLING))
         last_under[parent] = i
     kept = minimum_cut([odds(b) for b in blocks], edges)
+    if not any(k and is_prose(b) for b, k in zip(blocks, kept, strict=True)) and wrap_by_name(blocks):
+        kept = minimum_cut([odds(b) for b in blocks], edges)
     return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 

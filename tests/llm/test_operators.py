@@ -250,13 +250,59 @@ def test_layouts(layout):
     assert htmltext.main_text(f"<html><body>{layout.replace('@', BODY)}</body></html>").split("\n\n") == ARTICLE
 
 
+NAMES = "notice alert legal search teaser widget social related".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("layout", ['<article class="#">@</article>', '<div class="#">@</div>', '<main id="#">@</main>', '<div class="#"><div>@</div></div><div class="footer">Some words.</div>'])
+def test_article_of_a_boilerplate_name(name, layout):
+    assert htmltext.main_text(f"<html><body>{layout.replace('#', name).replace('@', BODY)}</body></html>").split("\n\n") == ARTICLE
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_boilerplate_beside_an_article(name):
+    """The same names beside a text that is there: dropped, as is an advert on a page without a text."""
+    beside = "<p>A sentence that stands beside the text of the page.</p>" * 2
+    assert htmltext.main_text(f'<body><article>{BODY}</article><div class="{name}">{beside}</div></body>').split("\n\n") == ARTICLE
+    assert htmltext.main_text(f'<body><article></article><div class="ad">{beside}</div><div class="cookie-notice">{beside}</div></body>') == ""
+
+
+COMMENT = "<p>A reader says a good many things in a long sentence here.</p>"
+THREADS = [
+    f'<ol class="#"><li>{COMMENT}</li><li>{COMMENT}</li></ol>',
+    f'<div class="#"><div class="item"><span class="author">Ann</span> <time>May 1</time>{COMMENT}</div></div>',
+    f'<section class="#"><h3>2 answers</h3><ul><li><b class="user">Ann</b>{COMMENT}</li><li><b class="user">Bob</b>{COMMENT}</li></ul></section>',
+    f'<div class="block"><div class="odd-1"><a class="author">Ann</a> <time>May 1</time>{COMMENT}</div><div class="odd-2"><a class="author">Bob</a> <time>May 2</time>{COMMENT}</div></div>',
+]
+
+
+@pytest.mark.parametrize("name", "commentlist discussion responses feedback userposts".split())
+@pytest.mark.parametrize("thread", THREADS)
+def test_comments_inside_main(name, thread):
+    assert htmltext.main_text(f"<body><main>{BODY}{thread.replace('#', name)}</main></body>").split("\n\n") == ARTICLE
+
+
+def test_what_only_looks_like_comments():
+    """A chapter named discussion, a byline, dated entries of an article, articles with headings side by side."""
+    text = "".join(f"<p>{t}</p>" for t in ARTICLE[1:])
+    for page in (
+        f"<main>{BODY}<section id='discussion'><h2>Discussion</h2>{text}</section></main>",
+        f"<main><div class='byline'>By <span class='author'>Ann</span> <time>May 1</time></div>{BODY}{text}</main>",
+        f"<main>{BODY}<div class='timeline'>" + "".join(f"<div><b class='author'>Ann</b> <time>May 1</time><p>{t}</p></div>" for t in ARTICLE[1:]) + "</div></main>",
+        f"<main>{BODY}" + "".join(f"<section><h2>Part</h2><b class='author'>Ann</b> <time>May 1</time><p>{t}</p></section>" for t in ARTICLE[1:]) + "</main>",
+    ):
+        found = htmltext.main_text(page).split("\n\n")
+        assert all(found.count(t) == 2 for t in ARTICLE[1:])
+
+
 def test_pages_of_many_blocks():
     """Work grows with the page, also where no block is certain and where tags are never closed."""
     import time
 
     random.seed(12)
     weak = "".join(f"<div><p>{'word ' * random.randint(1, 25)}<a href=x>{'link ' * random.randint(0, 9)}</a></p></div>" for _ in range(100_000))
-    for page, least in ((weak, 1), ("<div><li>some words here" * 30_000, 0), ("<button>" * 50_000, 0), ("<table><tr><td>x" * 20_000, 0), ("</b></i></div>" * 50_000, 0), ("<a " * 100_000, 0), ("<p>text <!-- x > " * 50_000, 0)):
+    for page, least in ((weak, 1), ("<div><li>some words here" * 30_000, 0), ("<button>" * 50_000, 0), ("<table><tr><td>x" * 20_000, 0), ("</b></i></div>" * 50_000, 0), ("<a " * 100_000, 0), ("<p>text <!-- x > " * 50_000, 0),
+        ("<div class=notice><p>Some words that end as sentences do, with a point." * 20_000, 0), ("<div class=discussion><li class=author>x" * 20_000, 0), (f"<p>{LONG_TEXT}</p>" + "<div class=user><time>x" * 20_000, 0)):
         began = time.time()
         assert len(htmltext.main_text(page)) >= least
         assert time.time() - began < 10, page[:20]
