@@ -62,11 +62,15 @@ def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that were stored inside it; nothing that reads them may be run later."""
+def scratch(spark: SparkSession, also: str | None = None) -> Iterator[None]:
+    """Deletes at its end the tables that were stored inside it; nothing that reads them may be run later.
+
+    The table ``also`` goes with them, unless what ran inside has failed.
+    """
     _written.append([])
     try:
         yield
+        _written[-1].extend([also] if also else [])
     finally:
         configuration = spark._jsc.hadoopConfiguration()
         for path in _written.pop():

@@ -9,7 +9,7 @@ a window may begin; a place is kept once, however many windows ask for it. Compa
 with all windows gives the exact matches. ``proximity_matches`` finds items whose rarest terms stand close
 together without being a phrase.
 
-Postings, places and matches are rows of their own until they are gathered per text, as pieces of its own
+Postings, places and spots are rows of their own until they are gathered per text, as pieces of its own
 positions, so nothing grows with the length of items or with how often their words repeat. Tables are
 broadcast only up to ``BROADCAST_BYTES`` of summed size; otherwise Spark shuffles.
 
@@ -98,10 +98,11 @@ def places(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return found.filter(F.col("place.start") >= 0).groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows``: row, doc_id, n_words of every row; ``matches``: row, start, width, item_id of the windows that stand in a row.
+def window_places(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows``: row, doc_id, n_words of every row; ``spots``: row, start, width, phrase of the windows that stand in a
+    row; ``windows``: item_id, phrase.
 
-    Both are written; equal rows share their matches.
+    All are written; equal rows share their spots. A spot is one row, however many items have its window.
     """
     windows = stored(_windows(_item_words(benchmark)))
     phrases = stored(windows.select("phrase").distinct())
@@ -116,8 +117,20 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     )
     rows = stored(joined.select("row", "doc_id", n.cast("long").alias("n_words"), held.alias("held")))
     spread = rows.filter(F.size("held") > 0).dropDuplicates(["row"]).select("row", F.explode("held").alias("h")).select("row", "h.*")
-    matches = stored(spread.join(_light(windows), "phrase").select("row", "start", "width", "item_id"))
-    return rows.drop("held"), matches
+    spots = stored(spread.join(_light(phrases), "phrase").select("row", "start", "width", "phrase"))
+    return rows.drop("held"), spots, windows
+
+
+def exact_matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of ``window_places`` and ``matches``: row, start, width, item_id, a row for each spot and item, as asked."""
+    rows, spots, windows = window_places(docs, benchmark)
+    return rows, spots.join(_light(windows), "phrase").select("row", "start", "width", "item_id")
+
+
+def items_of(spots: DataFrame, windows: DataFrame) -> DataFrame:
+    """row, item_id, once each: a window counts once a row before it meets the items that have it."""
+    once = spots.select("row", "phrase").distinct()
+    return once.join(_light(windows), "phrase").select("row", "item_id").distinct()
 
 
 def _covered(stretches: Column) -> Column:
@@ -134,10 +147,12 @@ def _covered(stretches: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    rows, matches = exact_matches(docs.select("doc_id", "text"), benchmark)
-    ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
-    found = matches.groupBy("row").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "width")))).alias("n_hit"), ids.alias("ids"))
-    found = stored(found.select("row", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
+    rows, spots, windows = window_places(docs.select("doc_id", "text"), benchmark)
+    hit = spots.groupBy("row").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "width")))).alias("n_hit"))
+    ids = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
+    named = items_of(spots, windows).groupBy("row").agg(ids.alias("ids"))
+    named = named.select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
+    found = stored(hit.join(named, "row"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     return rows.join(_light(found), "row", "left").select(
         "doc_id",
@@ -151,8 +166,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    _, matches = exact_matches(docs.select("doc_id", "text"), benchmark)
-    leaks = stored(matches.select(F.col("row.x").alias("x"), F.col("row.y").alias("y")).distinct())
+    _, spots, _ = window_places(docs.select("doc_id", "text"), benchmark)
+    leaks = stored(spots.select(F.col("row.x").alias("x"), F.col("row.y").alias("y")).distinct())
     # all columns ride in one struct, so that none can clash
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row_key().alias("row")).select("doc", "row.x", "row.y")
     return whole.join(_light(leaks), ["x", "y"], "left_anti").select("doc.*")

@@ -821,6 +821,21 @@ def test_long_items_of_few_words(spark):
     assert kept.columns == ["doc_id", "text", "x", "row"] and sorted(r.text or "" for r in kept.collect()) == ["", "w1 w2"]
 
 
+def test_one_window_of_many_items_many_times(spark):
+    """A window that stands 20,000 times in a text and in 200 items is looked up in them once."""
+    import time
+
+    window = " ".join(f"v{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, " ".join([window] * 20_000)), (2, "x " + window), (3, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{window} own{i}") for i in range(200)], "item_id long, text string")
+    began = time.time()
+    found = sorted(map(tuple, decontamination.contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items").collect()))
+    assert found == [(1, 200_000, 200_000, 200), (2, 11, 10, 200), (3, 1, 0, 0)]
+    assert time.time() - began < 30
+    _, matches = decontamination.exact_matches(docs.filter("doc_id = 2"), items)
+    assert sorted(map(tuple, matches.select("start", "width", "item_id").collect())) == [(1, 10, i) for i in range(200)]
+
+
 def test_leaks_equal_plain_search(spark):
     random.seed(8)
     words = "a b c d e f g".split()
