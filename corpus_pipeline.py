@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, language, near-duplicates, benchmark leaks, packing.
 
 Each stage is a function of (spark, docs, sf_dir). ``run`` writes the rows of each stage as Parquet into the
-checkpoint folder of the session and reads them again as the documents of the next. All stages but the last
+checkpoint folder of the session and reads them again as the documents of the next; what a stage has stored on its
+way, and the rows that it read, are deleted once its own are written. All stages but the last
 return the columns of the documents they get.
 
 Decisions: texts that the toxicity grammar scores 0.3 or more go; texts without a letter, which have no
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontamination, langid, neardup, packing, toxicity
-from lectern.llm.common import checkpoint_folder, table
+from lectern.llm.common import checkpoint_folder, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark, before):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs, before = spark.read.parquet(path), path
     return docs
