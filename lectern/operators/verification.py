@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.catalog import audio_extension, is_lossless
 from ..session import keep
@@ -53,36 +54,35 @@ def packet_starts(packets: DataFrame) -> DataFrame:
     return packets.filter(F.col("pts").isNotNull() & ~F.isnan("pts")).select("file", "pts")
 
 
-#: Result packets that are walked over in one piece of work.
-CHUNK = 1 << 14
+#: Result packets that are walked over in one piece of work, and how many places of a hash are few.
+CHUNK, FEW = 1 << 14, 16
 MAP = "file string, chunk long, upto long, first long, end long, matched long, jumps long"
 
 
-def chunk_map(hashes: list[int], places: dict[int, list[int]]) -> list[tuple[int, int, int, int, int]]:
+def chunk_map(hashes: list[int], places: dict[int, list[int]], low: int = 0, high: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """What the walk over a chunk of result packets does from every place in the source that it can begin at.
 
     ``places``: ascending places of each hash in the source. Rows (upto, first, end, matched, jumps), ascending: from a
     place up to ``upto``, and beyond that of the row before, the first match is at ``first``, the walk goes on at
     ``end``, and so many packets matched, so many of them not at the next place (the first one not counted). From
-    beyond the last row nothing matches.
+    beyond the last row nothing matches. The walk is known to begin at ``low`` to ``high``; without ``high`` anywhere.
 
     All beginnings walk together. Those that match at the same place are one from then on, so a packet moves few.
     """
     spots = sorted(p for found in places.values() for p in found)
+    spots = spots[bisect_left(spots, low) : None if high is None else bisect_left(spots, high) + 1]
     n = len(spots)
     # where the walks are: twice the place, and one more for those that have not matched yet, up to a spot
     keys, walks = [2 * s + 1 for s in spots], list(range(n))
     parent, matched, jumps, first = list(range(n)), [0] * n, [0] * n, [0] * n
     for h in hashes:
-        found = places.get(h, ())
-        for k in range(len(found) - 1, -1, -1):
-            p = found[k]
-            b = bisect_right(keys, 2 * p + 1)
-            if not b:
-                break
-            a = bisect_left(keys, 2 * (found[k - 1] + 1)) if k else 0
-            if a == b:
-                continue
+        found = places.get(h)
+        rest = bisect_right(keys, 2 * found[-1] + 1) if found else 0
+        while rest:
+            # the last walk that is left, and all that match where it does
+            k = bisect_left(found, keys[rest - 1] >> 1)
+            p, b = found[k], rest
+            rest = a = bisect_left(keys, 2 * (found[k - 1] + 1), 0, b) if k else 0
             for at in range(a, b):
                 walk = walks[at]
                 matched[walk] += 1
@@ -113,10 +113,14 @@ def chunk_map(hashes: list[int], places: dict[int, list[int]]) -> list[tuple[int
 
 
 def _chunk_maps(key: tuple, result: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
-    places: dict[int, list[int]] = {}
-    for h, place in source.sort_values("s_place")[["s_h", "s_place"]].itertuples(index=False):
+    bounds = source[source["s_high"] >= 0].iloc[0]
+    result = result.sort_values("r_no")
+    single = result[result["r_n"] == 1]
+    places: dict[int, list[int]] = {h: [place] for h, place in zip(single["r_h"].tolist(), single["r_first"].tolist(), strict=True)}
+    others = source[source["s_high"] < 0].sort_values("s_place")
+    for h, place in zip(others["s_h"].tolist(), others["s_place"].tolist(), strict=True):
         places.setdefault(h, []).append(place)
-    rows = chunk_map(result.sort_values("r_no")["r_h"].tolist(), places)
+    rows = chunk_map(result["r_h"].tolist(), places, int(bounds["s_place"]), int(bounds["s_high"]))
     return pd.DataFrame([(key[0], key[1], *row) for row in rows], columns=[c.split()[0] for c in MAP.split(", ")])
 
 
@@ -147,17 +151,41 @@ def match_packets(source: DataFrame, result: DataFrame, chunk: int = CHUNK) -> D
     over. What that walk does in a chunk of ``chunk`` result packets is a map from where it begins, made from the places
     of the chunk's hashes alone. Chunks of one file are mapped in many tasks; following the maps from chunk to chunk
     is one pass over their sorted rows, which holds one place.
+
+    A packet leaves the walk behind the first place of its hash, and matches at the last one or before. So the greatest
+    first and last places of the chunks before bound where a chunk's walk begins: hashes with one place leave one
+    beginning. Places of hashes that have many come to every chunk with the hash; where a file has more of those than
+    ``chunk``, its chunks have as many packets, so no more places than packets are sent. Such a file's places are
+    held in one task.
     """
     light = lambda df: df.select("file", "seq", "hash").filter(F.col("file").isNotNull())
     h = F.xxhash64("hash")
     # own names on either side: both may stem from one table
     src = numbered(light(source), ["seq", "hash"], ["file"]).select(F.col("file").alias("s_file"), h.alias("s_h"), (F.col("no") - 1).alias("s_place"))
-    dst = keep(numbered(light(result), ["seq", "hash"], ["file"]).select(F.col("file").alias("r_file"), h.alias("r_h"), F.col("no").alias("r_no"), F.expr(f"(no - 1) div {chunk}").alias("r_chunk")))
-    wanted = dst.select(F.col("r_file").alias("s_file"), F.col("r_h").alias("s_h"), F.col("r_chunk").alias("s_chunk")).distinct()
-    near = src.join(wanted, ["s_file", "s_h"])
-    maps = dst.groupBy("r_file", "r_chunk").cogroup(near.groupBy("s_file", "s_chunk")).applyInPandas(_chunk_maps, MAP)
+    known = keep(src.groupBy("s_file", "s_h").agg(F.count("*").alias("n"), F.min("s_place").alias("first"), F.max("s_place").alias("last")))
+    longer = keep(known.filter(F.col("n") > FEW).groupBy("s_file").agg(F.sum("n").alias("length")).filter(F.col("length") > chunk).select(F.col("s_file").alias("l_file"), "length"))
+    longer = F.broadcast(longer) if longer.count() <= FEW * CHUNK else longer
+    told = known.select(F.col("s_file").alias("r_file"), F.col("s_h").alias("r_h"), F.col("n").alias("r_n"), F.col("first").alias("r_first"), F.col("last").alias("r_last"))
+    dst = numbered(light(result), ["seq", "hash"], ["file"]).select(F.col("file").alias("r_file"), h.alias("r_h"), F.col("no").alias("r_no"))
+    dst = dst.join(told, ["r_file", "r_h"]).join(longer, F.col("r_file") == F.col("l_file"), "left")
+    length = F.coalesce("length", F.lit(chunk))
+    dst = keep(dst.select("r_file", F.floor((F.col("r_no") - 1) / length).alias("r_chunk"), "r_h", "r_no", "r_n", "r_first", "r_last"))
+    before = Window.partitionBy("s_file").orderBy("s_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    reached = lambda c: F.coalesce(F.max(c).over(before) + 1, F.lit(0))
+    chunks = dst.groupBy(F.col("r_file").alias("s_file"), F.col("r_chunk").alias("s_chunk")).agg(F.max("r_first").alias("first"), F.max("r_last").alias("last"))
+    bounds = keep(chunks.select("s_file", "s_chunk", F.lit(0).cast("long").alias("s_h"), reached("first").alias("s_place"), reached("last").alias("s_high")))
+    near = bounds
+    # hashes with one place have it in the packet's row
+    if not known.filter(F.col("n") > 1).isEmpty():
+        wanted = dst.filter(F.col("r_n") > 1).select(F.col("r_file").alias("s_file"), F.col("r_h").alias("s_h"), F.col("r_chunk").alias("s_chunk")).distinct()
+        wanted = wanted.join(bounds.select("s_file", "s_chunk", F.col("s_place").alias("low")), ["s_file", "s_chunk"])
+        again = src.join(wanted, ["s_file", "s_h"]).filter(F.col("s_place") >= F.col("low"))
+        near = near.unionByName(again.select("s_file", "s_chunk", "s_h", "s_place", F.lit(-1).cast("long").alias("s_high")))
+    packets = dst.select("r_file", "r_chunk", "r_h", "r_no", "r_n", "r_first")
+    maps = packets.groupBy("r_file", "r_chunk").cogroup(near.groupBy("s_file", "s_chunk")).applyInPandas(_chunk_maps, MAP)
     walked = maps.repartition("file").sortWithinPartitions("file", "chunk", "upto").mapInArrow(_followed, "file string, identical long, jumps long")
-    files = light(source).select("file").distinct().join(dst.groupBy(F.col("r_file").alias("file")).agg(F.count("*").alias("packets")), "file", "full_outer").join(walked, "file", "left")
+    sizes = light(result).groupBy("file").agg(F.count("*").alias("packets"))
+    files = known.select(F.col("s_file").alias("file")).distinct().join(sizes, "file", "full_outer").join(walked, "file", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return files.select("file", none("packets").alias("packets"), none("identical").alias("identical"), (none("jumps") + 1).alias("pieces"))
 

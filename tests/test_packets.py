@@ -76,3 +76,25 @@ def test_numbers_of_rows(spark):
     within = {r[2]: n for k in ("a", "b", None) for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=key), 1)}
     assert {r.i: r.no for r in numbered(frame, ["o", "i"], ["k"]).collect()} == within
     assert numbered(frame.limit(0), ["o"]).count() == 0
+
+
+def test_known_beginnings_leave_few_rows():
+    random.seed(10)
+    for _ in range(200):
+        source, result = random.choices("abcdefgh", k=30), random.choices("abcdefghz", k=12)
+        places = {h: [p for p, s in enumerate(source) if s == h] for h in set(result)}
+        low = random.randrange(31)
+        high = random.randrange(low, 31)
+        whole, some = Y.chunk_map(result, places), Y.chunk_map(result, places, low, high)
+        of = lambda rows, begin: next((r for r in rows if r[0] >= begin), None)
+        assert len(some) <= high - low + 1
+        assert all(of(whole, begin) == of(some, begin) for begin in range(low, high + 1))
+
+
+def test_frequent_hashes_do_not_come_to_every_chunk(spark):
+    """A source of 20 hashes and chunks of 50 packets: sent to each chunk, its places are 400 times the file."""
+    source = spark.range(20_000).select(F.lit("f").alias("file"), F.col("id").alias("seq"), (F.col("id") * 7 % 20).cast("string").alias("hash"))
+    result = source.filter("seq % 9 <> 0").withColumn("seq", F.col("seq") + F.when(F.col("seq") % 11 == 0, 25).otherwise(0))
+    side = lambda df: [r.hash for r in df.orderBy("seq", "hash").collect()]
+    _, matched, jumps = walk(side(source), side(result))
+    assert Y.match_packets(source, result, chunk=50).first()[1:] == (17777, matched, jumps + 1)
