@@ -114,3 +114,12 @@ def test_quiet_walk_equals_plain_steps(spark):
                     chosen.remove(edge(chosen))
             expected.append((rec, min(chosen) * 5.0, max(chosen) * 5.0 + 4.5))
     assert found == sorted(expected) and len(expected) > 3
+
+
+def test_shares_round_as_in_sql(spark):
+    """46 of 80 is 0.575, which as a double lies below the half; 203 of 400 likewise."""
+    chunks = spark.range(80).select(F.lit(1).alias("rec_id"), F.col("id").alias("chunk"), F.when(F.col("id") < 46, "en").otherwise("de").alias("label"))
+    assert A.vote(chunks, F.col("label")).first().groups == {"en": 0.57, "de": 0.42}
+    music = spark.range(400).select(F.lit(1).alias("rec_id"), F.col("id").cast("int").alias("sec"), F.lit(0.0).alias("prob"))
+    ranges = lambda end: spark.createDataFrame([(1, 0.0, float(end), ["x"])], "rec_id int, start_s double, end_s double, reasons array<string>")
+    assert W.music_share(music, ranges(400).drop("reasons"), ranges(203), ranges(1).limit(0)).first().share == 0.507
