@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import timeseries as W
-from lectern.operators.intervals import KEY
+from lectern.operators import words as V
 from lectern.plans import recording as R
 from lectern.settings import DEFAULTS, Settings
 
@@ -82,3 +84,35 @@ def test_frames_are_read_once(spark):
     frames = t["frames"].mapInArrow(counted, t["frames"].schema)
     R.base_analysis(R.Inputs(t["segments"], t["recordings"], t["music"], frames), Settings(quiet_enabled=False))
     assert read.value == len(rows["frames"])
+
+
+def test_quiet_slots_against_each_window(spark):
+    t, rows = made(spark)
+    st, expected = Settings(quiet_win=20.0), {}
+    for rec, duration in rows["recordings"]:
+        spoken = [f for f in rows["frames"] if f[0] == rec and any(s[0] == rec and s[1] <= f[1] < s[2] for s in rows["segments"])]
+        for slot in range(math.ceil(duration / 5)):
+            heard = [f[2] for f in spoken if math.floor((f[1] - 10) / 5) + 1 <= slot <= math.floor((f[1] + 10) / 5)]
+            if len(heard) * 0.6 >= 5:
+                expected[rec, slot] = float(np.percentile(heard, 90))
+    found = {(r.rec_id, r.slot): r.level for r in W.quiet_levels(t["frames"], t["segments"], t["recordings"], 0.6, st=st).collect()}
+    assert found == pytest.approx(expected) and len(found) > 20
+
+
+def test_quiet_speech_does_not_write_a_frame_per_slot(spark):
+    """No explode of frames to the slots that hear them: the plan's only one makes the slots of recordings."""
+    t, _ = made(spark)
+    frames = t["frames"].withColumn("db", F.col("db"))
+    plan = W.quiet_levels(frames, t["segments"], t["recordings"], 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Generate explode(sequence(0" in plan
+
+
+def test_ends_of_sentences_are_sought_once_per_talk(spark, monkeypatch):
+    times = []
+    monkeypatch.setattr(V, "_stopped", lambda words, marks, f=V._stopped: times.append(marks) or f(words, marks))
+    talk = spark.createDataFrame([(1, ["thing"] * 300, [0.4 * k for k in range(300)], [0.4 * k + 0.3 for k in range(300)], 130.0)], "rec_id long, words array<string>, starts array<double>, ends array<double>, duration_s double")
+    held = {}
+    monkeypatch.setattr(V, "_searched", lambda talks, out, found_in: held.setdefault("f", found_in))
+    V.talk_cuts(talk, ["thing"])
+    starts, ends = (pa.scalar([0.4 * k + d for k in range(300)]) for d in (0.0, 0.3))
+    assert held["f"](V.SEPARATOR.join(["thing"] * 300), starts, ends, 130.0) and len(times) == 2
