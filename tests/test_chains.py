@@ -37,3 +37,13 @@ def test_a_chain_of_a_thousand_files(spark):
     found = {r.path: r for r in J.identify(spark.createDataFrame(files, "path string, tags map<string,string>, source string"), rows, titles).collect()}
     assert {r.id for r in found.values()} == {"bbbbbbbbbbb"}
     assert found["/m/c999.m4a"].how == "ссылка внутри файла" + "".join(f" (исходный файл c{k}.m4a)" for k in range(999))
+
+
+def test_rounds_send_nothing_whole_through_the_driver(spark, monkeypatch):
+    """No round of a chain is broadcast, however small what it has kept."""
+    plans = []
+    monkeypatch.setattr(chains, "keep_sized", lambda df, f=chains.keep_sized: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    frame = spark.createDataFrame([(k, k - 1) for k in range(1, 40)] + [(100, 101), (101, 100), (102, 100)], "path long, to long")
+    found = chains.lengths(frame)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 42 and len(plans) > 5 and not any("Broadcast" in p for p in plans)
