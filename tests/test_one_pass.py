@@ -66,6 +66,18 @@ def test_gaps_and_their_kinds(spark, seed):
     assert {(r.rec_id, r.start_s, r.end_s): r.kind for r in found} == plain_kinds(rows)
 
 
+def test_segments_of_no_length_take_no_frames_from_the_gap_behind_them(spark):
+    segs = [(1, 0.0, 0.0), (1, 6.0, 10.0), (1, 20.0, 20.0), (1, 30.0, 40.0)]
+    frames = [(1, k * 0.5, -20.0 if 10 <= k * 0.5 < 20 else -60.0, 0.001 * (k % 7 + 1)) for k in range(100)]
+    music = [(1, s, 0.5 if s < 6 else 0.0) for s in range(50)]
+    rows = {"segments": segs, "recordings": [(1, 50.0)], "frames": frames, "music": music}
+    t = {name: spark.createDataFrame(rows[name], made(spark)[0][name].schema) for name in rows}
+    found = W.hear_gaps(t["frames"], t["music"], t["segments"], t["recordings"]).collect()
+    assert {(r.rec_id, r.start_s, r.end_s): r.kind for r in found} == plain_kinds(rows)
+    assert {(r.start_s, r.end_s) for r in found} == {(0.0, 6.0), (10.0, 20.0), (20.0, 30.0), (40.0, 50.0)}
+    assert W.levels(t["frames"], t["segments"], t["recordings"]).first().background_db == -60.0
+
+
 def test_seconds_that_ranges_touch(spark):
     t, rows = made(spark)
     touched = {(rec, s) for rec, a, b in rows["segments"] for s in range(math.floor(a), math.ceil(b))}
