@@ -48,6 +48,22 @@ def test_quiet_speech(spark):
     assert [(r.start_s, r.end_s) for r in W.quiet_speech(f, s, recs).collect()] == [(200.0, 399.0)]
 
 
+def test_quiet_speech_tells_the_median_level_of_the_run_and_the_reference(spark):
+    frames, segs = [], []
+    for k in range(30):  # the last third lower and lower
+        level = -20.0 if k < 20 else -40.0 - k
+        segs.append((1, k * 10.0, k * 10.0 + 9.0))
+        frames += [(1, k * 10.0 + j * 0.3, level, 1.0) for j in range(30)]
+    f = spark.createDataFrame(frames, "rec_id long, t_s double, db double, power double")
+    s = spark.createDataFrame(segs, "rec_id long, start_s double, end_s double")
+    recs = spark.createDataFrame([(1, 300.0)], "rec_id long, duration_s double")
+    slots = {r.slot: r.level for r in W.quiet_levels(f, s, recs, frame_s=0.3).collect()}
+    ref = float(np.percentile(list(slots.values()), 80))
+    quiet = [v for v in slots.values() if v < -31 and v - ref < -7]
+    found = W.quiet_speech(f, s, recs, frame_s=0.3).collect()
+    assert len(set(quiet)) > 2 and [(r.start_s, r.end_s, r.level, r.ref) for r in found] == [(200.0, 299.0, float(np.median(quiet)), ref)]
+
+
 def test_ward_finds_two_clouds():
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(0, 0.1, (30, 4)), rng.normal(3, 0.1, (20, 4))])
