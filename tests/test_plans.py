@@ -75,3 +75,16 @@ def test_verdicts_agree_with_their_own_queries(spark):
     for rec, r in found.items():
         assert (r.accent_n, r.accent_top, r.accent_share) == votes.get(rec, (None, None, None)) and r.conversation == talks.get(rec)
         assert (r.why is None) == (rec not in talks)
+
+
+def test_verdicts_count_all_chunks_and_words(spark):
+    """The places that a sample would take say something else."""
+    spots = {round(i * 239 / 79) for i in range(80)}
+    accents = spark.createDataFrame([(1, k, "x" if k in spots else "y", "x" if k in spots else "y") for k in range(240)], "rec_id long, chunk int, label string, grp string")
+    words = spark.createDataFrame([(1, k, k * 0.4, k * 0.4 + 0.3, "heat" if k % 3 == 0 else "of") for k in range(2000)], "rec_id long, word_no int, start_s double, end_s double, word string")
+    segs = spark.createDataFrame([(1, 0.0, 800.0)], "rec_id long, start_s double, end_s double")
+    recs = spark.createDataFrame([(1, 900.0)], "rec_id long, duration_s double")
+    inputs = R.Inputs(segs, recs, None, None, words, accents)
+    lists = recs.select(KEY, F.lit("good").alias("timecodes"))
+    found = R.results(inputs, lists, segs, segs, ("heat",)).first()
+    assert (found.accent_n, found.accent_top, found.accent_share) == (240, "y", 0.67) and (found.words, found.hits) == (2000, 667)

@@ -71,6 +71,23 @@ def test_ward_finds_two_clouds():
     assert set(labels[:30]) == {1} and set(labels[30:]) == {2}
 
 
+def test_ward_from_means_equals_ward_from_all_distances(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 40, 150):
+        points = rng.normal(0, 1, (n, 5))
+        by_distances = W.ward_two(points)
+        monkeypatch.setattr(W, "MATRIX_ROWS", 1)
+        assert W.ward_two(points).tolist() == by_distances.tolist()
+        monkeypatch.undo()
+
+
+def test_all_pieces_of_a_recording_are_clustered(spark):
+    """Every second piece alone would be one voice."""
+    rows = [(1, i, i * 1.5, i * 1.5 + 1.5, [1.0, 0.001 * (i % 7)] if i % 2 else [0.001 * (i % 5), 1.0]) for i in range(1510)]
+    r = A.dialogue_structure(spark.createDataFrame(rows, "rec_id long, piece int, start_s double, end_s double, vec array<double>")).first()
+    assert r.pieces == 1510 and r.minor_share == 0.5
+
+
 def test_dialogue(spark):
     rng = np.random.default_rng(2)
     voices = np.eye(8)[[0, 1]]
