@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ CHUNK, FEW = 1 << 14, 16
 MAP = "file string, chunk long, upto long, first long, end long, matched long, jumps long"
 
 
-def chunk_map(hashes: list[int], places: dict[int, list[int]], low: int = 0, high: int | None = None) -> list[tuple[int, int, int, int, int]]:
+def chunk_map(hashes: Sequence[int], places: dict[int, Sequence[int]], low: int = 0, high: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """What the walk over a chunk of result packets does from every place in the source that it can begin at.
 
     ``places``: ascending places of each hash in the source. Rows (upto, first, end, matched, jumps), ascending: from a
@@ -69,7 +70,8 @@ def chunk_map(hashes: list[int], places: dict[int, list[int]], low: int = 0, hig
 
     All beginnings walk together. Those that match at the same place are one from then on, so a packet moves few.
     """
-    spots = sorted(p for found in places.values() for p in found)
+    reach = lambda found: None if high is None else bisect_left(found, high) + 1
+    spots = sorted(p for found in places.values() for p in found[bisect_left(found, low) : reach(found)])
     spots = spots[bisect_left(spots, low) : None if high is None else bisect_left(spots, high) + 1]
     n = len(spots)
     # where the walks are: twice the place, and one more for those that have not matched yet, up to a spot
@@ -112,16 +114,28 @@ def chunk_map(hashes: list[int], places: dict[int, list[int]], low: int = 0, hig
     return [(spots[i], first[i], end[i], matched[i], jumps[i]) for i in range(n)]
 
 
-def _chunk_maps(key: tuple, result: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
-    bounds = source[source["s_high"] >= 0].iloc[0]
-    result = result.sort_values("r_no")
-    single = result[result["r_n"] == 1]
-    places: dict[int, list[int]] = {h: [place] for h, place in zip(single["r_h"].tolist(), single["r_first"].tolist(), strict=True)}
-    others = source[source["s_high"] < 0].sort_values("s_place")
-    for h, place in zip(others["s_h"].tolist(), others["s_place"].tolist(), strict=True):
-        places.setdefault(h, []).append(place)
-    rows = chunk_map(result["r_h"].tolist(), places, int(bounds["s_place"]), int(bounds["s_high"]))
-    return pd.DataFrame([(key[0], key[1], *row) for row in rows], columns=[c.split()[0] for c in MAP.split(", ")])
+def _places(hashes: np.ndarray, places: np.ndarray) -> dict[int, array]:
+    """The ascending places of each hash, eight bytes each."""
+    order = np.lexsort((places, hashes))
+    hashes, places = hashes[order], places[order]
+    begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.array([], dtype=int)
+    ends = np.r_[begins[1:], len(hashes)].astype(int)
+    return {int(hashes[i]): array("q", places[i:j].tobytes()) for i, j in zip(begins.tolist(), ends.tolist(), strict=False)}
+
+
+def _chunk_maps(key: tuple, result: pa.Table, source: pa.Table) -> pa.Table:
+    s_h, s_place = source["s_h"].to_numpy(), source["s_place"].to_numpy()
+    bounds = int(np.flatnonzero(s_place < 0)[0])
+    low, high = -1 - int(s_place[bounds]), int(s_h[bounds])
+    r_h, r_first = result["r_h"].to_numpy(), result["r_first"].to_numpy()
+    single, first_of = np.unique(r_h[r_first >= 0], return_index=True)
+    others = s_place >= 0
+    places = _places(np.r_[s_h[others], single], np.r_[s_place[others], r_first[r_first >= 0][first_of]])
+    hashes = array("q", r_h[np.argsort(result["r_no"].to_numpy(), kind="stable")].tobytes())
+    rows = chunk_map(hashes, places, low, high)
+    names = [c.split()[0] for c in MAP.split(", ")]
+    columns = [pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array([key[1].as_py()] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))]
+    return pa.table(dict(zip(names, columns, strict=True)))
 
 
 def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +187,17 @@ def match_packets(source: DataFrame, result: DataFrame, chunk: int = CHUNK) -> D
     before = Window.partitionBy("s_file").orderBy("s_chunk").rowsBetween(Window.unboundedPreceding, -1)
     reached = lambda c: F.coalesce(F.max(c).over(before) + 1, F.lit(0))
     chunks = dst.groupBy(F.col("r_file").alias("s_file"), F.col("r_chunk").alias("s_chunk")).agg(F.max("r_first").alias("first"), F.max("r_last").alias("last"))
-    bounds = keep(chunks.select("s_file", "s_chunk", F.lit(0).cast("long").alias("s_h"), reached("first").alias("s_place"), reached("last").alias("s_high")))
-    near = bounds
+    bounds = keep(chunks.select("s_file", "s_chunk", reached("first").alias("s_place"), reached("last").alias("s_high")))
+    # the row of a chunk's bounds is known by a place below 0
+    near = bounds.select("s_file", "s_chunk", F.col("s_high").alias("s_h"), (-1 - F.col("s_place")).alias("s_place"))
     # hashes with one place have it in the packet's row
     if not known.filter(F.col("n") > 1).isEmpty():
         wanted = dst.filter(F.col("r_n") > 1).select(F.col("r_file").alias("s_file"), F.col("r_h").alias("s_h"), F.col("r_chunk").alias("s_chunk")).distinct()
         wanted = wanted.join(bounds.select("s_file", "s_chunk", F.col("s_place").alias("low")), ["s_file", "s_chunk"])
         again = src.join(wanted, ["s_file", "s_h"]).filter(F.col("s_place") >= F.col("low"))
-        near = near.unionByName(again.select("s_file", "s_chunk", "s_h", "s_place", F.lit(-1).cast("long").alias("s_high")))
-    packets = dst.select("r_file", "r_chunk", "r_h", "r_no", "r_n", "r_first")
-    maps = packets.groupBy("r_file", "r_chunk").cogroup(near.groupBy("s_file", "s_chunk")).applyInPandas(_chunk_maps, MAP)
+        near = near.unionByName(again.select("s_file", "s_chunk", "s_h", "s_place"))
+    packets = dst.select("r_file", "r_chunk", "r_h", "r_no", F.when(F.col("r_n") == 1, F.col("r_first")).otherwise(F.lit(-1)).alias("r_first"))
+    maps = packets.groupBy("r_file", "r_chunk").cogroup(near.groupBy("s_file", "s_chunk")).applyInArrow(_chunk_maps, MAP)
     walked = maps.repartition("file").sortWithinPartitions("file", "chunk", "upto").mapInArrow(_followed, "file string, identical long, jumps long")
     sizes = light(result).groupBy("file").agg(F.count("*").alias("packets"))
     files = known.select(F.col("s_file").alias("file")).distinct().join(sizes, "file", "full_outer").join(walked, "file", "left")

@@ -98,3 +98,25 @@ def test_frequent_hashes_do_not_come_to_every_chunk(spark):
     side = lambda df: [r.hash for r in df.orderBy("seq", "hash").collect()]
     _, matched, jumps = walk(side(source), side(result))
     assert Y.match_packets(source, result, chunk=50).first()[1:] == (17777, matched, jumps + 1)
+
+
+def test_a_chunk_holds_few_bytes_per_place():
+    """Places and hashes are numbers of eight bytes, not objects; the walk's result is that of the lists."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(5), 100_000
+    hashes = rng.integers(-(2**62), 2**62, 50)[rng.integers(0, 50, n)]
+    result = hashes[rng.random(n) < 0.8]
+    same = lambda v, k: pa.array(np.full(k, v))
+    left = pa.table({"r_file": pa.array(["7"] * len(result)), "r_chunk": same(0, len(result)), "r_h": result, "r_no": np.arange(1, len(result) + 1), "r_first": same(-1, len(result))})
+    right = pa.table({"s_file": pa.array(["7"] * (n + 1)), "s_chunk": same(0, n + 1), "s_h": np.append(hashes, 0), "s_place": np.append(np.arange(n), -1)})
+    tracemalloc.start()
+    found = Y._chunk_maps((pa.scalar("7"), pa.scalar(0)), left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lists = {int(h): np.flatnonzero(hashes == h).tolist() for h in np.unique(hashes)}
+    rows = Y.chunk_map(result.tolist(), lists, 0, 0)
+    assert [tuple(r.values())[2:] for r in found.to_pylist()] == rows and peak < 64 * n
